@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import consensus, heat, ops, reading, relational, streams, text  # noqa: F401  they enter their queries
+from . import consensus, editorial, heat, ops, reading, relational, streams, text  # noqa: F401  they enter their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
