@@ -33,7 +33,7 @@ from .common import fresh_dir, partitions
 MAGIC = b"EF01"
 EVERY = 256
 END_ID = 2
-_MEMO = 500_000
+_MEMO = 400_000
 
 
 class EliasFano:
@@ -91,76 +91,71 @@ class EliasFano:
         return cls(n, bits, data[at : at + low], data[at + low : at + low + high], np.frombuffer(data, "<i8", samples, at + low + high))
 
 
-#: Letters for which lower-casing and splitting by the vocabulary's pattern are plain: each run of them is one pre-token.
-_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Letters and marks for which normalizing and splitting by the vocabulary's pattern are plain: a run of either is one
+#: pre-token.
 _PIECES = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*$#&%]*)")
 
 
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be printed, else the next free
+    one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
+
+
+class _Memo(dict):
+    """Remembers what ``make`` gives; forgets all when full."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Encodes whole texts as the tokenizers library does, word by word, each distinct word once while it is remembered.
 
     The vocabulary's normalizer and pre-tokenizer never look across white space, so a text's ids are the ids of its words,
-    one after another. New words of plain letters go to the library many at a time: their ids are told apart by the
-    end-of-word mark that the last id of every pre-token carries. All other words go to it one by one.
+    one after another. A word of plain letters with plain marks after it is a pre-token of each, and goes to the library's
+    model itself; all other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, end_of_word: str = "</w>"):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, k in vocabulary.items():
-            self.ends[k] = token.endswith(end_of_word)
-        self.kind = np.dtype("<u2") if len(self.ends) <= 1 << 16 else np.dtype("<u4")
-        self.memo: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
-
-    def _learn_plain(self, words: list[str]) -> None:
-        for k in range(0, len(words), 2000):
-            some = words[k : k + 2000]
-            ids = self._ids(" ".join(some))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                starts = np.concatenate([[0], stops[:-1]])
-                data, size = ids.tobytes(), self.kind.itemsize
-                for w, a, b in zip(some, (starts * size).tolist(), (stops * size).tolist(), strict=True):
-                    self.plain[w] = data[a:b]
-            else:  # not one pre-token a word
-                for w in some:
-                    self.plain[w] = self._ids(w).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > _MEMO or len(self.plain) > _MEMO:
-            self.memo, self.plain = {}, {}
-        split = {w: m for w in words if (m := _PIECES.fullmatch(w))}
-        new = {x for m in split.values() if (x := m[1].lower()) not in self.plain and _SIMPLE.fullmatch(x)}
-        marks = {m[2] for m in split.values() if m[2] and m[2] not in self.plain}
-        self._learn_plain(sorted(new))
-        for x in marks:
-            self.plain[x] = self._ids(x).tobytes()
-        for w in words:
-            m = split.get(w)
-            if m and m[1].lower() in self.plain:
-                self.memo[w] = self.plain[m[1].lower()] + (self.plain[m[2]] if m[2] else b"")
-            else:
-                self.memo[w] = self._ids(w).tobytes()
+        self.model = self.tokenizer.model
+        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.alphabet = byte_alphabet()
+        self.words = _Memo(self._word, _MEMO)
+        self.letters = _Memo(self._letters, 2 * _MEMO)
+        self.marks = _Memo(self.whole, _MEMO)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.alphabet.__getitem__, word.encode()))
+        size = self.kind.itemsize
+        return b"".join([t.id.to_bytes(size, "little") for t in self.model.tokenize(word)])
+
+    def _word(self, word: str) -> bytes:
+        m = _PIECES.fullmatch(word)
+        if not m:
+            return self.whole(word)
+        letters = self.letters[m[1].lower()]
+        return letters + self.marks[m[2]] if m[2] else letters
 
     def encode(self, text: str) -> bytes:
         """The ids' bytes."""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            distinct = set(words)
-            missing = distinct - self.memo.keys()
-            self._learn(missing)
-            if not distinct <= self.memo.keys():  # the memo was emptied for the new ones
-                self._learn(distinct - self.memo.keys())
-            return b"".join([self.memo[w] for w in words]) if distinct <= self.memo.keys() else b"".join([self._ids(w).tobytes() for w in words])
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -184,13 +179,6 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str =
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 texts = part.column(1).to_pylist()
-                # learn the new words of many texts together
-                words = set()
-                for x in texts:
-                    words.update(x.replace("\n", " ").split(" "))
-                words.difference_update(coder.memo.keys())
-                if words:
-                    coder._learn(words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.encode(x) + end for x in texts], pa.binary())], ["doc_id", "ids"])
 
     return rows.mapInArrow(work, "doc_id bigint, ids binary")
