@@ -69,14 +69,24 @@ def test_quality_learns_and_keeps_odd_rows(spark, odd):
     assert kept.columns == docs.columns and 0.7 < kept.count() / docs.count() < 1
 
 
-def test_dual_coordinate_descent_against_subgradient():
+def test_dual_coordinate_descent_reaches_the_optimum():
+    """No step away from its weights lowers the hinge-loss objective."""
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(80)]
     y = np.array([1 if (r < 12).sum() > (r > 28).sum() else -1 for r in rows])
     ratio = quality.log_count_ratios(rows, y)
-    w, b = quality.dual_coordinate_descent(rows, ratio, y, epochs=200)
-    m = quality.margins(rows, w * ratio, ratio * ratio, b)
-    assert ((m > 0) == (y > 0)).mean() > 0.95
+    w, b = quality.dual_coordinate_descent(rows, ratio, y, epochs=400)
+    cost = np.where(y == 1, 1.0, max(1.0, (y == 1).sum() / (y == -1).sum())) * quality.C * 100
+
+    def objective(v, c):
+        return 0.5 * (v @ v + c * c) + (cost * np.maximum(0, 1 - y * quality.margins(rows, v * ratio, ratio * ratio, c))).sum()
+
+    best = objective(w, b)
+    for _ in range(300):
+        step = np.zeros(quality.SPACE)
+        step[:40] = rng.normal(size=40) * rng.choice([1e-3, 1e-2, 1e-1])
+        assert objective(w + step, b + rng.normal() * 1e-2) > best - 1e-3 * best
+    assert best < objective(np.zeros(quality.SPACE), 0.0) / 2
 
 
 def mix_by_hand(rows, weights=(1, 2, 3)):
