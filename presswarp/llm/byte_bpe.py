@@ -6,8 +6,10 @@ block is one row. Those rows are shuffled by word; each distinct word is encoded
 second shuffle and are put in the places of the words' numbers. Decoding joins the ids with the table of the tokens' bytes,
 which the vocabulary bounds (about 50,000 rows), so that table goes to the tasks whole.
 
-Blocks are made twice, once for the words and once for the documents. Both sides carry a digest of the block's words and a
-mismatch fails the job, so an input that changes between the two readings can't give wrong ids.
+What a block has of words goes to the shuffle in packets, one for each slot (a hash of the word, as many slots as shuffle
+partitions), so the rows of the shuffles are few and small: a packet holds the words and their numbers, compressed. The
+numbered documents and the packets are written once, as a table in the shared folder, so both ways start from the same
+blocks and a lost executor costs only the tasks it had.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows are encoded one by one; an empty
 table gives an empty result; the columns named in ``keep`` are carried through, others not read.
@@ -17,22 +19,23 @@ from __future__ import annotations
 
 import base64
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions
+from .common import fresh_dir, partitions
 
-BLOCK_WORDS = 400_000  # distinct words after which a block ends
-BLOCK_PLACES = 4_000_000  # and words in all
-_MEMO = 400_000
+BLOCK_WORDS = 180_000  # distinct words after which a block ends
+BLOCK_PLACES = 1_500_000  # and words in all
+_MEMO = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,16 +62,16 @@ class Block:
 
     def numbers(self, text: str) -> bytes:
         words = self.words
-        return np.array([words.setdefault(w, len(words)) for w in self.pattern.findall(text)], np.uint32).tobytes()
+        return b"".join([words.setdefault(w, len(words)).to_bytes(4, "little") for w in self.pattern.findall(text)])
 
     def add(self, text: str) -> bytes:
         """The numbers of the text's words, as bytes of 32 bits each."""
         out, cuts = [], self.cuts
-        for line in _lines(text):
-            if type(line) is list:
-                out.extend(map(cuts.__getitem__, line))
-            else:
-                out.append(self.numbers(line))
+        for first, rest in _stretches(text):
+            if first:
+                out.append(self.numbers(first))
+            if rest:
+                out.extend(map(cuts.__getitem__, rest))
         joined = b"".join(out)
         self.places += len(joined) // 4
         return joined
@@ -76,19 +79,15 @@ class Block:
     def full(self) -> bool:
         return len(self.words) >= BLOCK_WORDS or self.places >= BLOCK_PLACES
 
-    def digest(self) -> bytes:
-        h = xxhash.xxh3_128()
-        for w in self.words:
-            h.update(w.encode("utf-8", "surrogatepass") + b"\0")
-        return h.digest()
-
 
 class _Cuts(dict):
+    """A word that stands after a single space: the numbers of what the two together are."""
+
     def __init__(self, block: Block):
         self.block = block
 
-    def __missing__(self, cut: str) -> bytes:
-        value = self[cut] = self.block.numbers(cut)
+    def __missing__(self, word: str) -> bytes:
+        value = self[word] = self.block.numbers(" " + word)
         return value
 
 
@@ -97,8 +96,8 @@ _W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"([{_W}]{{2,}}|[{_W.replace(' ', '')}])")
 
 
-def _lines(text: str) -> Iterator[list[str] | str]:
-    """Pieces that no match goes across: lists of cuts (words with the space before them), or strings to be matched whole.
+def _stretches(text: str) -> Iterator[tuple[str, list[str]]]:
+    """Pieces that no match goes across: (a string to be matched whole, words that follow with a single space before each).
 
     White space other than a single space is a run of its own. A match that begins in a run ends in it, but that the run's
     last character, if it is a space, begins the word after it.
@@ -110,64 +109,68 @@ def _lines(text: str) -> Iterator[list[str] | str]:
             last = k == len(pieces) - 2 and not pieces[-1]
             if piece[-1] == " " and not last:
                 if len(piece) > 1:
-                    yield piece[:-1]
+                    yield piece[:-1], []
                 lead = " "
             elif last or len(piece) == 1:
-                yield piece
+                yield piece, []
             else:  # all but the last character, then that: the pattern leaves one before a word
-                yield piece[:-1]
-                yield piece[-1]
+                yield piece[:-1], []
+                yield piece[-1], []
         elif piece:
             first, *rest = piece.split(" ")
             if rest and first == "":  # a text that begins with one space
                 first, rest = " " + rest[0], rest[1:]
-            if rest and rest[-1] == "":  # or ends with one
-                yield [lead + first, *(f" {w}" for w in rest[:-1])]
-                yield " "
-            else:
-                yield [lead + first, *(f" {w}" for w in rest)]
+            ends = bool(rest) and rest[-1] == ""
+            yield lead + first, rest[:-1] if ends else rest
+            if ends:
+                yield " ", []
             lead = ""
 
 
-def _blocks(docs: DataFrame, text: str, pattern: str, words: bool, keep: list[str]) -> DataFrame:
-    """words: (block, digest, number, word); else (block, digest, numbers, keep...)."""
+def _blocks(docs: DataFrame, text: str, pattern: str, keep: list[str], slots: int) -> DataFrame:
+    """Rows of two kinds: packets of words (block, slot, numbers, sizes, words) and documents (block, numbers, keep...)."""
     names = docs.columns
+    kinds = {c: pa.binary() for c in ("numbers", "sizes", "words")}
+    order = ["block", "slot", *kinds, *keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, here, count = regex.compile(pattern), TaskContext.get().partitionId(), 0
-        block, held, rows = Block(compiled), [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            name, digest = (here << 24) + count, block.digest()
-            if words:
-                found = list(block.words)
-                for k in range(0, len(found), 20_000):
-                    some = [w.encode("utf-8", "surrogatepass") for w in found[k : k + 20_000]]
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(range(k, k + n), pa.int32()), pa.array(some, pa.binary())], ["block", "digest", "number", "word"])
-            else:
-                for part, numbers in zip(held, rows, strict=True):
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([digest] * n, pa.binary()), pa.array(numbers, pa.binary()), *part.columns], ["block", "digest", "numbers", *keep])
+        block, fields = Block(compiled), {}
+        shrink = zstandard.ZstdCompressor(level=1).compress
+
+        def rows(n: int, given: dict) -> pa.RecordBatch:
+            given["block"] = pa.array([(here << 24) + count] * n, pa.int64())
+            blank = {"slot": pa.int32(), **kinds, **fields}
+            return pa.RecordBatch.from_arrays([given.get(c) if c in given else pa.nulls(n, blank[c]) for c in order], order)
+
+        def packets() -> pa.RecordBatch:
+            block.cuts.clear()
+            raw = [w.encode("utf-8", "surrogatepass") for w in block.words]
+            slot = np.fromiter((zlib.crc32(w) % slots for w in raw), np.int32, len(raw))
+            order_ = np.argsort(slot, kind="stable")
+            used, first = np.unique(slot[order_], return_index=True)
+            parts = {"numbers": [], "sizes": [], "words": []}
+            for number in np.split(order_.astype(np.uint32), first[1:]):
+                some = [raw[n] for n in number.tolist()]
+                parts["numbers"].append(shrink(_packed(np.diff(number, prepend=np.uint32(0)).tobytes())))
+                parts["sizes"].append(shrink(_packed(np.fromiter(map(len, some), np.uint32, len(some)).tobytes())))
+                parts["words"].append(shrink(b"".join(some)))
+            return rows(len(used), {"slot": pa.array(used, pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in parts.items()}})
 
         for batch in batches:
+            fields.update({c: batch.schema.field(c).type for c in keep})
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                numbers = [block.add(x or "") for x in part.column(names.index(text)).to_pylist()]
-                if not words:
-                    held.append(part.select(keep))
-                    rows.append([_packed(x) for x in numbers])
+                numbers = [shrink(_packed(block.add(x or ""))) for x in part.column(names.index(text)).to_pylist()]
+                yield rows(part.num_rows, {"numbers": pa.array(numbers, pa.binary()), **{c: part.column(names.index(c)) for c in keep}})
                 if block.full():
-                    yield from close()
-                    block, held, rows, count = Block(compiled), [], [], count + 1
-        if block.places or held:
-            yield from close()
+                    yield packets()
+                    block, count = Block(compiled), count + 1
+        if block.words:
+            yield packets()
 
-    if words:
-        return docs.mapInArrow(work, "block bigint, digest binary, number int, word binary")
-    kept = [docs.schema[c] for c in keep]
-    head = [T.StructField("block", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("numbers", T.BinaryType())]
-    return docs.mapInArrow(work, T.StructType([*head, *kept]))
+    head = [T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in kinds]]
+    return docs.mapInArrow(work, T.StructType([*head, *[docs.schema[c] for c in keep]]))
 
 
 def _packed(numbers: bytes) -> bytes:
@@ -192,27 +195,35 @@ def _unpacked(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _encoded_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, digest, number, ids): each distinct word of a partition is encoded once. words must be dealt by word."""
-    shared = words.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary's table
+def _encoded_words(packets: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(block, numbers, sizes, ids): packets with their words' ids. packets must be dealt by slot, so all of a word's packets
+    are in one partition, where it is encoded once."""
+    shared = packets.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary's table
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        piece = tiktoken.Encoding("ranks", pat_str=r"\S+|\s+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
+        piece = tiktoken.Encoding("ranks", pat_str=r"\\S+|\\s+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
+        shrink, grow = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         memo: dict[bytes, bytes] = {}
         for batch in batches:
-            column = batch.column(3).dictionary_encode()
-            ids = []
-            for w in column.dictionary.to_pylist():
-                if (found := memo.get(w)) is None:
-                    if len(memo) >= _MEMO:
-                        memo.clear()
-                    found = memo[w] = np.array(piece(w), "<u4").tobytes()
-                ids.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()).take(column.indices)], ["block", "digest", "number", "ids"])
-
-    return words.mapInArrow(work, "block bigint, digest binary, number int, ids binary")
+            sizes_out, ids_out = [], []
+            for sizes, words in zip(batch.column(2), batch.column(3), strict=True):
+                ends = np.cumsum(_unpacked(np.frombuffer(grow(sizes.as_py()), np.uint8))).tolist()
+                flat, start, found = grow(words.as_py()), 0, []
+                for end in ends:
+                    w = flat[start:end]
+                    if (ids := memo.get(w)) is None:
+                        if len(memo) >= _MEMO:
+                            memo.clear()
+                        ids = memo[w] = np.array(piece(w), "<u4").tobytes()
+                    found.append(ids)
+                    start = end
+                sizes_out.append(shrink(_packed(np.array([len(x) // 4 for x in found], np.uint32).tobytes())))
+                ids_out.append(shrink(_packed(b"".join(found))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes_out, pa.binary()), pa.array(ids_out, pa.binary())], ["block", "numbers", "sizes", "ids"])
+
+    return packets.mapInArrow(work, "block bigint, numbers binary, sizes binary, ids binary")
 
 
 def ragged_take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -226,27 +237,37 @@ def ragged_take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which:
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
     """The columns of ``keep`` and ``ids``: each whole text's token ids as little-endian unsigned 32-bit integers."""
-    docs = docs.select(*dict.fromkeys([*keep, text]))
-    n = partitions(docs.sparkSession)
-    words = _encoded_words(_blocks(docs, text, pattern, True, keep).repartition(n, "word"), ranks)
-    numbered = _blocks(docs, text, pattern, False, keep)
+    spark = docs.sparkSession
+    n = partitions(spark)
+    # bucketed by block, so that the documents, the larger part, are not shuffled for the way back
+    path = fresh_dir(spark, "bpe-blocks")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    _blocks(docs.select(*dict.fromkeys([*keep, text])), text, pattern, keep, n).write.option("compression", "none").option("path", path).bucketBy(n, "block").saveAsTable(name)
+    table = spark.table(name)
+    packets = table.filter("slot is not null").select("block", "numbers", "sizes", "words", "slot").repartition(n, "slot").drop("slot")
+    words = _encoded_words(packets, ranks)
+    numbered = table.filter("slot is null").select("block", "numbers", *keep)
     kept = T.StructType([docs.schema[c] for c in keep])
 
-    def work(documents: pa.Table, found: pa.Table) -> pa.Table:
-        if documents.column("digest").unique().to_pylist() != found.column("digest").unique().to_pylist() and found.num_rows:
-            raise RuntimeError("the input changed between its two readings")
-        found = found.select(["number", "ids"]).sort_by("number").combine_chunks()
-        ids = pa.concat_arrays(found.column("ids").chunks) if found.num_rows else pa.array([], pa.binary())
-        edges = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4).astype(np.int64) // 4 if len(ids) else np.zeros(1, np.int64)
-        data = np.frombuffer(ids.buffers()[2], "<u4", int(edges[-1])) if len(ids) and edges[-1] else np.zeros(0, "<u4")
-        out = []
-        for numbers in documents.column("numbers"):
-            raw = np.frombuffer(numbers.as_buffer(), np.uint8) if numbers.as_buffer().size else np.zeros(0, np.uint8)
-            out.append(ragged_take(data, edges[:-1], np.diff(edges), _unpacked(raw)).tobytes())
-        return pa.table([*(documents.column(c) for c in keep), pa.array(out, pa.binary())], names=[*keep, "ids"])
-
-    left, right = numbered.groupBy("block"), words.groupBy("block")
-    return left.cogroup(right).applyInArrow(work, T.StructType([*kept.fields, T.StructField("ids", T.BinaryType())]))
+    def work(documents: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        grow = zstandard.ZstdDecompressor().decompress
+        spread = lambda x: _unpacked(np.frombuffer(grow(x.as_py()), np.uint8))
+        numbers = [np.cumsum(spread(x)) for x in found.column("numbers")]
+        sizes, ids = [spread(x) for x in found.column("sizes")], [spread(x).astype("<u4") for x in found.column("ids")]
+        number = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        size = np.concatenate([*sizes, np.zeros(0, np.int64)])
+        data = np.concatenate([*ids, np.zeros(0, "<u4")])
+        start, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        start[number], length[number] = np.cumsum(size) - size, size
+        for batch in documents.to_batches(max_chunksize=256):
+            out = [ragged_take(data, start, length, spread(x)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(2 + k) for k in range(len(keep))), pa.array(out, pa.binary())], [*keep, "ids"])
+
+    def whole(documents: pa.Table, found: pa.Table) -> pa.Table:
+        schema = pa.schema([*(documents.schema.field(c) for c in keep), pa.field("ids", pa.binary())])
+        return pa.Table.from_batches(list(work(documents.select(["block", "numbers", *keep]), found)), schema)
+
+    return numbered.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(whole, T.StructType([*kept.fields, T.StructField("ids", T.BinaryType())]))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
