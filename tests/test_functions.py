@@ -56,7 +56,7 @@ def test_text(spark):
 
 def test_quality(spark):
     body = "The storm made landfall on the coast and moved inland over the night, with heavy rain and wind. " * 3
-    rows = [("Storm made landfall", body, []), ("Storm", "{{a}} {{b}} {{c}} text", ["template-shell"]), ("Some title", "short", ["too-short"]), ("Unrelated qqqq zzzz", body, ["title-body-mismatch"]), ("Cookies", "Accept All cookies " + body, ["consent-wall-only"])]
+    rows = [("Storm made landfall", body, []), ("Storm", "{{a}} {{b}} {{c}} text", ["template-shell"]), ("Some title", "short", ["too-short"]), ("Zzzz qqqq xxyy jjkk", body, ["title-body-mismatch"]), ("Cookies", "Accept All cookies " + body, ["consent-wall-only"])]
     df = spark.createDataFrame([(t, b, w) for t, b, w in rows], "t string, b string, want array<string>")
     for r in text.with_quality(df, "t", "b").collect():
         assert [x for x in r.reasons if x != "boilerplate-only" or not r.want] == r.want, r.t
