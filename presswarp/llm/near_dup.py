@@ -8,7 +8,8 @@ entries of buckets, not with their squares. Pairs are confirmed on the full sets
 components by passing the smallest id along links, with pointer jumping.
 
 A star misses a link of two members that are both unlike its centre. So buckets whose members are in more than one component
-afterwards form stars around other centres, round by round, until a round finds no new link (at least two, at most ROUNDS).
+afterwards form stars around other centres, drawn by hash, round by round and without a limit, over pairs not yet tested,
+until QUIET_ROUNDS rounds in a row find no new link or all pairs are tested.
 
 Every similar pair shares a bucket but for chance: at a similarity of 0.75, (1 - 0.75 ** 4) ** 32 = 0.000005.
 
@@ -34,7 +35,7 @@ WORDS = 5
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-ROUNDS = 4
+QUIET_ROUNDS = 2
 BROADCAST_IDS = 1 << 20  # ids; 8 MB
 _MEMO = 400_000
 _U = np.uint64
@@ -186,8 +187,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
     entries = checkpointed(entries.join(shared, "bucket"))  # of buckets with company
     links = components_now = None
-    tested = None
-    for turn in range(ROUNDS):
+    tested, turn, quiet = None, -1, 0
+    while quiet < QUIET_ROUNDS:
+        turn += 1
         member = entries.withColumn("component", F.col("rep"))
         if components_now is not None:
             labelled = components_now.select(F.col("node").alias("rep"), F.col("component").alias("label"))
@@ -204,9 +206,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         new = checkpointed(confirmed(pairs, docs))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if not new.take(1):
-            if turn:
-                break
+        quiet = 0 if new.take(1) else quiet + 1
+        if quiet:
             continue
         links = new if links is None else links.unionByName(new)
         components_now = components(links)
