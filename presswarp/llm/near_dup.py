@@ -8,8 +8,11 @@ entries of buckets, not with their squares. Pairs are confirmed on the full sets
 components by passing the smallest id along links, with pointer jumping.
 
 A star misses a link of two members that are both unlike its centre. So buckets whose members are in more than one component
-afterwards form stars around other centres, drawn by hash, round by round and without a limit, over pairs not yet tested,
-until QUIET_ROUNDS rounds in a row find no new link or all pairs are tested.
+afterwards form stars around other centres, drawn by hash, in STAR_ROUNDS rounds at most, which join the large groups cheaply.
+The classes of all buckets that still hold several components then go through an exact join: shingles are put in one order,
+those that are rare among these classes first, and any two sets that are similar enough have their first common shingle near
+the start of both (see rare_pairs). Every pair of two components is tested there or excluded by that bound, so nothing that
+shares a bucket is left to the luck of a draw.
 
 Every similar pair shares a bucket but for chance: at a similarity of 0.75, (1 - 0.75 ** 4) ** 32 = 0.000005.
 
@@ -35,7 +38,9 @@ WORDS = 5
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-QUIET_ROUNDS = 2
+STAR_ROUNDS = 2
+SLOTS = 1 << 20  # of the shingle counts that give the order of rarity; 4 MB
+CELL = 4096  # entries of one shingle that a task pairs with as many others
 BROADCAST_IDS = 1 << 20  # ids; 8 MB
 _MEMO = 400_000
 _U = np.uint64
@@ -128,7 +133,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the documents in ids, a frame of distinct ids. It goes to the tasks whole only below BROADCAST_IDS."""
+    """(doc_id, shingles) of the documents in ids, a frame of distinct doc_id. It goes to the tasks whole only below BROADCAST_IDS."""
     small = ids.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = rows.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
@@ -144,10 +149,62 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id bigint, shingles array<bigint>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs, ids)
+def rare_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """sets: (doc_id, shingles), labels: (doc_id, component). Pairs (a, b) of different components, among them all that are similar.
+
+    Sets of n <= m shingles are similar if they share s >= 3 (n + m) / 7. If their first common shingle in a fixed order is at
+    the places i and j (from 0), then s <= min(n - i, m - j); so i <= n - 6 n / 7 and j <= m - 3 m / 4. Each set's start of
+    that length is its entries, and the bound itself is checked for each pair. Any order is right; that by rarity keeps what
+    many sets share out of the starts. A shingle's entries all of one component make no pairs, nor do those of its commonest
+    component among themselves; the entries of a common shingle are paired in cells.
+    """
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    common = np.zeros(SLOTS, np.int64)
+    common[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(common.clip(max=2**31 - 1).astype(np.int32))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                ids, parts = part.column(0).to_numpy(), []
+                for rep, x in zip(ids, part.column(1)):
+                    s = x.values.to_numpy()
+                    n = len(s)
+                    if not n:
+                        continue
+                    start = s[np.lexsort((s, common[s & (SLOTS - 1)]))[: n - (3 * n + 3) // 4 + 1]]
+                    place = np.arange(len(start))
+                    parts.append((np.full(len(start), rep), np.full(len(start), n), start, place, place <= n - (6 * n + 6) // 7))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["doc_id", "n", "s", "place", "early"])
+
+    entries = sets.select("doc_id", "shingles").mapInArrow(work, "doc_id bigint, n bigint, s bigint, place bigint, early boolean")
+    entries = checkpointed(entries.join(labels, "doc_id"))
+    groups = entries.groupBy("s", "component").agg(F.count(F.lit(1)).alias("size"))
+    groups = groups.groupBy("s").agg(F.max_by("component", "size").alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    entries = entries.join(groups.select("s", "main", F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "s")
+    own, every = F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    other = F.col("component") != F.col("main")
+    less = entries.filter("early").select("s", F.when(other, 0).otherwise(1).alias("side"), own.alias("row"), every.alias("column"), F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("place").alias("i"), F.col("component").alias("ca"))
+    more = entries.select("s", "component", own.alias("column"), every.alias("row"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("j"), F.when(other, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("sides"))
+    more = more.select("s", F.explode("sides").alias("side"), "row", "column", "b", "nb", "j", F.col("component").alias("cb"))
+    order = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    bound = 7 * F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= 3 * (F.col("na") + F.col("nb"))
+    keys = ["s", "side", "row", "column"]
+    less, more = less.alias("x"), more.alias("y")
+    on = order & bound & (F.col("ca") != F.col("cb"))
+    for key in keys:
+        on = on & (F.col(f"x.{key}") == F.col(f"y.{key}"))
+    return less.join(more, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= 75 * union. sets: (doc_id, shingles), where there are some already."""
+    if sets is None:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = shingle_sets(docs, ids)
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.withColumn("shared", shared).filter(100 * F.col("shared") >= 75 * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
@@ -186,14 +243,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = classes.filter("rep is not null").select("rep", "n", F.explode("buckets").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
     entries = checkpointed(entries.join(shared, "bucket"))  # of buckets with company
-    links = components_now = None
-    tested, turn, quiet = None, -1, 0
-    while quiet < QUIET_ROUNDS:
-        turn += 1
-        member = entries.withColumn("component", F.col("rep"))
-        if components_now is not None:
-            labelled = components_now.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-            member = entries.join(labelled, "rep", "left").withColumn("component", F.coalesce("label", "rep")).drop("label")
+    links = components_now = tested = None
+
+    def labelled() -> DataFrame:
+        if components_now is None:
+            return entries.withColumn("component", F.col("rep"))
+        now = components_now.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        return entries.join(now, "rep", "left").withColumn("component", F.coalesce("label", "rep")).drop("label")
+
+    for turn in range(STAR_ROUNDS):
+        member = labelled()
         order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), F.col("bucket"), F.col("rep"))
         centre = member.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"))).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         centre = centre.filter("lo <> hi").select("bucket", "c.centre", "c.centre_n", "c.centre_component")
@@ -202,15 +261,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        if not pairs.take(1):
-            break
         new = checkpointed(confirmed(pairs, docs))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        quiet = 0 if new.take(1) else quiet + 1
-        if quiet:
-            continue
+        if not new.take(1):
+            break
         links = new if links is None else links.unionByName(new)
         components_now = components(links)
+    member = labelled()
+    several = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    open_now = checkpointed(member.join(several, "bucket").select(F.col("rep").alias("doc_id"), "component").distinct())
+    if open_now.take(1):
+        sets = checkpointed(shingle_sets(docs, open_now.select("doc_id").distinct()))
+        pairs = checkpointed(rare_pairs(sets, open_now).join(tested, ["a", "b"], "left_anti"))
+        new = checkpointed(confirmed(pairs, docs, sets))
+        if new.take(1):
+            components_now = components(new if links is None else links.unionByName(new))
     labels = classes.select("set_id", "rep")
     if components_now is not None:
         labels = labels.join(components_now, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))

@@ -325,6 +325,29 @@ def test_near_duplicates(spark, docs):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in near_dup.near_duplicates(docs).collect())
 
 
+def test_near_duplicates_in_a_bucket_of_a_template(spark):
+    template = [f"t{k}" for k in range(88)]  # 84 of each text's 100 shingles: any two texts are at 84 / 116
+    tails = [[f"u{k}x{j}" for j in range(16)] for k in range(600)]
+    for k in range(10):  # but the texts of ten pairs, at 87 / 113
+        tails[590 - 7 * k][:3] = tails[101 + 13 * k][:3]
+    rows = [(k, " ".join(template + tail)) for k, tail in enumerate(tails)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = Counter(tuple(r) for r in near_dup.near_duplicates(frame).collect())
+    assert sum(not kept for *_, kept in found) == 10
+    assert found == near_by_hand(rows)
+
+
+def test_rare_pairs_have_every_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    sets = [rng.choice(40, size=rng.integers(1, 31), replace=False) for _ in range(150)]
+    sets += [np.union1d(x, [500 + k])[1:] for k, x in enumerate(sets[:100])]
+    rows = [(k, [int(v) for v in x], k % 7) for k, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, shingles array<bigint>, component bigint")
+    got = {(r.a, r.b) for r in near_dup.rare_pairs(frame.select("doc_id", "shingles"), frame.select("doc_id", "component")).collect()}
+    similar = {(a, b) for (a, x, c), (b, y, d) in combinations(rows, 2) if c != d and 100 * len({*x} & {*y}) >= 75 * len({*x} | {*y})}
+    assert similar and similar <= got and all(a % 7 != b % 7 for a, b in got)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     found = table(near_dup.near_duplicates(odd))
     assert len(found) == odd.count()
