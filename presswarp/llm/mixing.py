@@ -69,13 +69,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each row as often as it is taken whole, and the row at which a source's
     budget ends once more, cut after the last word that fits. Rows of which nothing is taken go. Rows that agree in
-    doc_id, source and size share what the mix takes of them equally."""
+    doc_id, source and size follow each other in the mix, so a budget ends in one such group of a source at most; its rows are
+    numbered by a hash of their texts, and each takes its own turn."""
     columns = docs.columns
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    taken = taken.agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"))
+    groups = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
+    groups = checkpointed(groups.agg(F.sum("taken").alias("__sum"), F.count(F.lit(1)).alias("__rows"), F.min("taken").alias("taken")))
+    even = F.col("__sum") == F.col("__rows") * F.col("taken")
     size = word_count("text")
     rows = docs.withColumn("__words", size)
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    joined = rows.join(groups.filter(even), on)
+    uneven = groups.filter(~even)
+    if uneven.take(1):
+        turn = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text"))) - 1
+        epochs = F.floor(F.col("taken") / F.col("__size")) * F.col("__size")
+        own = F.least(F.col("__size"), F.col("__sum") - F.col("__rows") * epochs - turn * F.col("__size"))
+        joined = joined.unionByName(rows.join(uneven, on).withColumn("taken", epochs + F.greatest(F.lit(0), own)))
     whole = F.floor(F.col("taken") / F.col("__words")).cast("int")
     rest = (F.col("taken") % F.col("__words")).cast("int")
     joined = joined.filter("taken > 0").withColumn("__cuts", F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))

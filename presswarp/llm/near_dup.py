@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import checkpointed
 
@@ -235,8 +236,8 @@ def alike_in_size(n: str, m: str):
     return 4 * F.least(F.col(n), F.col(m)) >= 3 * F.greatest(F.col(n), F.col(m))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The contract's columns for each document: (doc_id, n_shingles, component_id, kept)."""
+def judged(docs: DataFrame) -> DataFrame:
+    """(doc_id, set_id, n_shingles, component_id, kept) for each document."""
     found = checkpointed(features(docs))
     classes = found.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
     classes = checkpointed(classes)
@@ -283,11 +284,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = labels.select("set_id", F.col("rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "set_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """The contract's columns for each document: (doc_id, n_shingles, component_id, kept)."""
+    return judged(docs).drop("set_id")
+
+
+def with_set_id(docs: DataFrame) -> DataFrame:
+    """docs and the column __set: the set_id of each text, null without words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), memo) for x in batch.column(batch.num_columns - 1)]
+            ids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "__set"])
+
+    rows = docs.withColumn("__set", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return rows.mapInArrow(work, StructType([StructField(f.name, f.dataType) for f in rows.schema]))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``. Rows of one doc_id are one document."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
-    return left
+    """One document of each component, with the columns of ``docs``. Rows of one doc_id are one document; each row without
+    doc_id is judged by its own set."""
+    gone = checkpointed(judged(docs).filter("not kept").select(F.col("doc_id").alias("__gone"), F.when(F.col("doc_id").isNull(), F.col("set_id")).alias("__gone_set")).distinct())
+    null = F.col("doc_id").cast("bigint").isNull()
+    ids = gone.filter("__gone is not null").select("__gone")
+    left = docs.filter(~null).join(ids, F.col("doc_id") == F.col("__gone"), "left_anti")
+    sets = gone.filter("__gone is null").select("__gone_set")
+    nameless = with_set_id(docs.filter(null)).join(sets, F.col("__set") == F.col("__gone_set"), "left_anti").drop("__set")
+    return left.unionByName(nameless)

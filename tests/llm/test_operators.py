@@ -131,6 +131,19 @@ def test_mixed_documents_have_the_taken_words(docs):
     assert got == Counter({k: n for k, n in taken.items() if n})
 
 
+def test_mix_cuts_one_row_of_equal_keys(spark):
+    schema = "doc_id bigint, text string, source string"
+    rows = [(None, " ".join(f"{source}{k}w{j}" for j in range(10)), source) for source, n in (("s0", 50), ("s1", 7), ("s2", 5)) for k in range(n)]
+    docs = spark.createDataFrame(rows + [(1, "one two three", "s1")], schema)
+    out, words = {}, {}
+    for r in mixing.mixed_documents(docs).collect():
+        out.setdefault(r.source, []).append(len(r.text.split()))
+    for r in mixing.mix(docs).collect():
+        words[r.source] = words.get(r.source, 0) + r.taken
+    assert {k: sum(v) for k, v in out.items()} == words
+    assert all(sum(n not in (3, 10) for n in v) <= 1 for v in out.values()) and words["s0"] % 10
+
+
 def test_media_round_trip(odd, docs):
     for frame in (odd, docs):
         tiles = media.media_tiles(media.text_media(frame), "image")
@@ -356,6 +369,13 @@ def test_near_duplicates_of_odd_rows(odd):
     assert all(r["n_shingles"] == 0 and r["kept"] for k, r in by.items() if k in (0, 1, 2))
 
 
+def test_keep_one_each_of_null_ids(spark):
+    rows = [(1, "a b c d e f g"), (None, "A b c  d e f g"), (None, "clean text of its own"), (None, None), (None, ""), (2, "a b c d e f g"), (3, "another one")]
+    kept = near_dup.keep_one_each(spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id bigint, text string, lang string"))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows[k] for k in (0, 2, 3, 4, 6))
+
+
 def test_fingerprints(odd, spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for frame in (docs, odd.filter("doc_id is not null")):
