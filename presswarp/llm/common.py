@@ -13,14 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``. A temporary one only where that is unset and Spark runs in one
+    process, as in tests; on a cluster an unset folder is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="presswarp-"))
         where = spark.sparkContext.getCheckpointDir()
-        if not where:
-            where = "file://" + tempfile.mkdtemp(prefix="presswarp-")
-            spark.sparkContext.setCheckpointDir(where)
-            where = spark.sparkContext.getCheckpointDir()
     return where
 
 
@@ -28,10 +28,37 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder; Spark removes the files once the frame is no longer used."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables in the shared folder that cut the lineage of iterations. ``drop`` removes those that nothing reads any more; what
+    the result still reads stays, for as long as the cluster keeps the folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables, self.count = spark, fresh_dir(spark, name), [], 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, self.count = f"{self.root}/{self.count}", self.count + 1
+        df.write.parquet(path)
+        frame = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((frame, path))
+        return frame
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        gone = [path for frame, path in self.tables if any(frame is x for x in frames)]
+        self.tables = [(frame, path) for frame, path in self.tables if path not in gone]
+        for path in gone:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop_all(self) -> None:
+        self.drop(*[frame for frame, _ in self.tables])
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -59,3 +86,9 @@ def hash_sample(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
     for value, n in counts.items():
         chosen = chosen | (F.col(by).eqNullSafe(F.lit(value)) & (draw < int(scale * min(1.0, 1.5 * per_class / n))))
     return df.filter(chosen)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage through the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

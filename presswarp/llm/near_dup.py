@@ -5,7 +5,8 @@ One permutation deals the hashes into BINS bins and keeps the least of each; an
 random order of its own finds first. BANDS bands of ROWS bins give bucket keys. Documents with the same set are one class
 from the start. In a bucket, every class is paired with the bucket's centre only (a star), so the pairs grow with the
 entries of buckets, not with their squares. Pairs are confirmed on the full sets, and confirmed links are joined to
-components by passing the smallest id along links, with pointer jumping.
+components by passing the smallest id along links, with pointer jumping. Only buckets that still hold several components enter
+the next round.
 
 A star misses a link of two members that are both unlike its centre. So buckets whose members are in more than one component
 afterwards form stars around other centres, drawn by hash, in STAR_ROUNDS rounds at most, which join the large groups cheaply.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import checkpointed
+from .common import Scratch, free_name
 
 WORDS = 5
 BINS = 128
@@ -150,7 +151,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id bigint, shingles array<bigint>")
 
 
-def rare_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+def rare_pairs(sets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """sets: (doc_id, shingles), labels: (doc_id, component). Pairs (a, b) of different components, among them all that are similar.
 
     Sets of n <= m shingles are similar if they share s >= 3 (n + m) / 7. If their first common shingle in a fixed order is at
@@ -182,7 +183,7 @@ def rare_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["doc_id", "n", "s", "place", "early"])
 
     entries = sets.select("doc_id", "shingles").mapInArrow(work, "doc_id bigint, n bigint, s bigint, place bigint, early boolean")
-    entries = checkpointed(entries.join(labels, "doc_id"))
+    entries = scratch.put(entries.join(labels, "doc_id"))
     groups = entries.groupBy("s", "component").agg(F.count(F.lit(1)).alias("size"))
     groups = groups.groupBy("s").agg(F.max_by("component", "size").alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("several")).filter("several > 1")
     entries = entries.join(groups.select("s", "main", F.ceil(F.col("size") / CELL).cast("int").alias("cells")), "s")
@@ -211,24 +212,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame | None = None)
     return both.withColumn("shared", shared).filter(100 * F.col("shared") >= 75 * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest id reachable along the links (a, b), for every node of a link.
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component, moved): the smallest id reachable along the links (a, b), for every node of a link.
 
     Each round takes the least label of a node's neighbours and then the label of that label (pointer jumping), so the
     rounds grow with the logarithm of the longest path.
     """
-    ends = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
-    labels = checkpointed(labels)
+    ends = scratch.put(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = scratch.put(ends.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
         near = ends.join(labels, ends.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
         step = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "least").alias("new"))
         jump = labels.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        step = step.join(jump, step.new == jump["at"], "left").select("node", "component", F.least("new", F.coalesce("further", "new")).alias("new"))
-        step = checkpointed(step)
-        changed = step.filter("new <> component").limit(1).count()
-        labels = step.select("node", F.col("new").alias("component"))
-        if not changed:
+        step = step.join(jump, step.new == jump["at"], "left").select("node", F.least("new", F.coalesce("further", "new")).alias("component"), (F.least("new", F.coalesce("further", "new")) != F.col("component")).alias("moved"))
+        step = scratch.put(step)
+        scratch.drop(labels)
+        moved, labels = step.filter("moved").limit(1).count(), step
+        if not moved:
+            scratch.drop(ends)
             return labels
 
 
@@ -236,52 +237,55 @@ def alike_in_size(n: str, m: str):
     return 4 * F.least(F.col(n), F.col(m)) >= 3 * F.greatest(F.col(n), F.col(m))
 
 
+def unsettled(entries: DataFrame, components_now: DataFrame | None) -> DataFrame:
+    """The entries of buckets that hold several components, with their components of now."""
+    if components_now is not None:
+        now = components_now.select(F.col("node").alias("rep"), F.col("component").alias("label"))
+        entries = entries.join(now, "rep", "left").select("bucket", "rep", "n", F.coalesce("label", "component").alias("component"))
+    several = entries.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    return entries.join(several, "bucket")
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id, kept) for each document."""
-    found = checkpointed(features(docs))
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    found = scratch.put(features(docs))
     classes = found.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
-    classes = checkpointed(classes)
+    classes = scratch.put(classes)
     entries = classes.filter("rep is not null").select("rep", "n", F.explode("buckets").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
-    entries = checkpointed(entries.join(shared, "bucket"))  # of buckets with company
+    entries = scratch.put(unsettled(entries.withColumn("component", F.col("rep")), None))  # of buckets with company
     links = components_now = tested = None
-
-    def labelled() -> DataFrame:
-        if components_now is None:
-            return entries.withColumn("component", F.col("rep"))
-        now = components_now.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-        return entries.join(now, "rep", "left").withColumn("component", F.coalesce("label", "rep")).drop("label")
-
     for turn in range(STAR_ROUNDS):
-        member = labelled()
         order = F.col("rep") if turn == 0 else F.xxhash64(F.lit(turn), F.col("bucket"), F.col("rep"))
-        centre = member.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"))).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        centre = centre.filter("lo <> hi").select("bucket", "c.centre", "c.centre_n", "c.centre_component")
-        pairs = member.join(centre, "bucket").filter((F.col("component") != F.col("centre_component")) & alike_in_size("n", "centre_n"))
+        centre = entries.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component"))).alias("c"))
+        centre = centre.select("bucket", "c.centre", "c.centre_n", "c.centre_component")
+        pairs = entries.join(centre, "bucket").filter((F.col("component") != F.col("centre_component")) & alike_in_size("n", "centre_n"))
         pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        new = checkpointed(confirmed(pairs, docs))
+        pairs = scratch.put(pairs)
+        new = scratch.put(confirmed(pairs, docs))
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not new.take(1):
             break
         links = new if links is None else links.unionByName(new)
-        components_now = components(links)
-    member = labelled()
-    several = member.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_now = checkpointed(member.join(several, "bucket").select(F.col("rep").alias("doc_id"), "component").distinct())
+        before, components_now = components_now, components(links, scratch)
+        wider, entries = entries, scratch.put(unsettled(entries, components_now))
+        scratch.drop(wider, before)
+    open_now = scratch.put(entries.select(F.col("rep").alias("doc_id"), "component").distinct())
     if open_now.take(1):
-        sets = checkpointed(shingle_sets(docs, open_now.select("doc_id").distinct()))
-        pairs = checkpointed(rare_pairs(sets, open_now).join(tested, ["a", "b"], "left_anti"))
-        new = checkpointed(confirmed(pairs, docs, sets))
+        sets = scratch.put(shingle_sets(docs, open_now.select("doc_id").distinct()))
+        pairs = scratch.put(rare_pairs(sets, open_now, scratch).join(tested, ["a", "b"], "left_anti"))
+        new = scratch.put(confirmed(pairs, docs, sets))
         if new.take(1):
-            components_now = components(new if links is None else links.unionByName(new))
+            components_now = components(new if links is None else links.unionByName(new), scratch)
     labels = classes.select("set_id", "rep")
     if components_now is not None:
         labels = labels.join(components_now, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     else:
         labels = labels.select("set_id", F.col("rep").alias("component_id"))
+    labels = scratch.put(labels)
+    scratch.drop(*[frame for frame, _ in scratch.tables if frame is not found and frame is not labels])
     out = found.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "set_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -292,27 +296,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return judged(docs).drop("set_id")
 
 
-def with_set_id(docs: DataFrame) -> DataFrame:
-    """docs and the column __set: the set_id of each text, null without words."""
+def with_set_id(docs: DataFrame, name: str) -> DataFrame:
+    """docs and the column ``name``: the set_id of each text, null without words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for batch in batches:
             sets = [shingle_set(x.as_py(), memo) for x in batch.column(batch.num_columns - 1)]
             ids = pa.array([xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "__set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], name])
 
-    rows = docs.withColumn("__set", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.withColumn(name, F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return rows.mapInArrow(work, StructType([StructField(f.name, f.dataType) for f in rows.schema]))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of ``docs``. Rows of one doc_id are one document; each row without
     doc_id is judged by its own set."""
-    gone = checkpointed(judged(docs).filter("not kept").select(F.col("doc_id").alias("__gone"), F.when(F.col("doc_id").isNull(), F.col("set_id")).alias("__gone_set")).distinct())
+    id_name, set_name = free_name("gone", docs.columns), free_name("gone_set", docs.columns)
+    gone = judged(docs).filter("not kept").select(F.col("doc_id").alias(id_name), F.when(F.col("doc_id").isNull(), F.col("set_id")).alias(set_name)).distinct()
+    gone = Scratch(docs.sparkSession, "near-dup-gone").put(gone)
     null = F.col("doc_id").cast("bigint").isNull()
-    ids = gone.filter("__gone is not null").select("__gone")
-    left = docs.filter(~null).join(ids, F.col("doc_id") == F.col("__gone"), "left_anti")
-    sets = gone.filter("__gone is null").select("__gone_set")
-    nameless = with_set_id(docs.filter(null)).join(sets, F.col("__set") == F.col("__gone_set"), "left_anti").drop("__set")
+    ids = gone.filter(F.col(id_name).isNotNull()).select(id_name)
+    left = docs.filter(~null).join(ids, F.col("doc_id") == F.col(id_name), "left_anti")
+    sets = gone.filter(F.col(id_name).isNull()).select(F.col(set_name).alias(f"{set_name}_"))
+    nameless = with_set_id(docs.filter(null), set_name).join(sets, F.col(set_name) == F.col(f"{set_name}_"), "left_anti").drop(set_name)
     return left.unionByName(nameless)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from presswarp.llm import byte_bpe, fingerprints, language, licenses, media, mixing, near_dup, quality, queries, token_files, url_filter
+from presswarp.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, `range` int, size int, block string, component_id int"
@@ -350,13 +351,27 @@ def test_near_duplicates_in_a_bucket_of_a_template(spark):
     assert found == near_by_hand(rows)
 
 
+def test_near_duplicates_of_one_text_edited_at_random(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in range(2000)]
+    base = list(rng.choice(words, 120))
+    rows = []
+    for k in range(600):  # few of them are alike, and all share buckets
+        text = list(base)
+        for at in rng.choice(120, 4, replace=False):
+            text[at] = "edit" + str(rng.integers(0, 10**9))
+        rows.append((k, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in near_dup.near_duplicates(frame).collect()) == near_by_hand(rows)
+
+
 def test_rare_pairs_have_every_similar_pair(spark):
     rng = np.random.default_rng(8)
     sets = [rng.choice(40, size=rng.integers(1, 31), replace=False) for _ in range(150)]
     sets += [np.union1d(x, [500 + k])[1:] for k, x in enumerate(sets[:100])]
     rows = [(k, [int(v) for v in x], k % 7) for k, x in enumerate(sets)]
     frame = spark.createDataFrame(rows, "doc_id bigint, shingles array<bigint>, component bigint")
-    got = {(r.a, r.b) for r in near_dup.rare_pairs(frame.select("doc_id", "shingles"), frame.select("doc_id", "component")).collect()}
+    got = {(r.a, r.b) for r in near_dup.rare_pairs(frame.select("doc_id", "shingles"), frame.select("doc_id", "component"), Scratch(spark, "rare-pairs")).collect()}
     similar = {(a, b) for (a, x, c), (b, y, d) in combinations(rows, 2) if c != d and 100 * len({*x} & {*y}) >= 75 * len({*x} | {*y})}
     assert similar and similar <= got and all(a % 7 != b % 7 for a, b in got)
 
