@@ -86,9 +86,3 @@ def hash_sample(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
     for value, n in counts.items():
         chosen = chosen | (F.col(by).eqNullSafe(F.lit(value)) & (draw < int(scale * min(1.0, 1.5 * per_class / n))))
     return df.filter(chosen)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
