@@ -74,15 +74,16 @@ def crc_mod(key: str, m: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % m
 
 
-def hash_sample(df: DataFrame, by: str, key: str, per_class: int) -> DataFrame:
-    """About ``per_class`` (at most twice that many, but for chance) rows of each class, chosen by a hash of the key.
+def hash_sample(df: DataFrame, by: str, keys: list[str], per_class: int, most_classes: int) -> DataFrame:
+    """About ``per_class`` (at most 1.5 times that many, but for chance) rows of each of the ``most_classes`` largest classes,
+    chosen by a hash of the keys; rows that agree in class and keys count as one.
 
     The classes' counts come from one aggregate; the threshold then is a plain filter, so no task gathers a class.
     """
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    largest = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col(by)).limit(most_classes)
     scale = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(scale))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(scale))
     chosen = F.lit(False)
-    for value, n in counts.items():
-        chosen = chosen | (F.col(by).eqNullSafe(F.lit(value)) & (draw < int(scale * min(1.0, 1.5 * per_class / n))))
-    return df.filter(chosen)
+    for r in largest.collect():
+        chosen = chosen | (F.col(by).eqNullSafe(F.lit(r[by])) & (draw < int(scale * min(1.0, 1.5 * per_class / r["n"]))))
+    return df.filter(chosen).dropDuplicates([by, *keys])

@@ -7,16 +7,16 @@ regression for each language against the rest is fit to the features. Because ev
 score of a batch of texts is one product of its presence matrix with an (n-grams x languages) matrix.
 
 The model is fit on a bounded sample: about SAMPLE_PER_LANGUAGE texts of each language (at most 1.5 times as many, but for
-chance), chosen by a hash of the id, and LANDMARKS of them. Every whole text is classified.
+chance), chosen by a hash of the id, and LANDMARKS of them; of more than MOST_LANGUAGES languages the commonest are learned. Every whole text is classified.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ids with the held-out remainder, null ids
 and null languages are never learned from; if nothing can be learned all is ``und``; ties go to the language that sorts
-first; an empty table gives an empty result; other columns are passed through, whatever their names.
+first; an empty table gives an empty result; other columns are passed through, but those of the output's names are replaced; rows that
+agree in id, text and language are learned from once. A letter is what Unicode's categories L* have.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,16 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, hash_sample
+from .common import crc_mod, free_name, hash_sample
 
 SAMPLE_PER_LANGUAGE = 250
+MOST_LANGUAGES = 100  # are learned: those with the most texts
 LANDMARKS = 240
 ORDERS = (1, 2, 3, 4)
 BITS = 15  # of hashed n-grams
 RIDGE = 0.1
 BATCH = 64
-LEAST_SCORE = 0.3
-_LETTER = re.compile(r"[^\W\d_]")
+LEAST_VALUE = 0.2  # texts of a language are near 1, gibberish and languages not learned mostly below
+SHORT = 20  # characters below which a text is too short to be rejected by its value
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +63,7 @@ def normed(seen: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], langs: list[str]) -> dict:
     names = sorted(set(langs))
     if not names:
-        return {"names": [], "matrix": np.zeros((1 << BITS, 0), np.float32), "bias": np.zeros(0)}
+        return {"names": [], "matrix": np.zeros((1 << BITS, 0), np.float32), "bias": np.zeros(0), "base": 0.0}
     # rows come in hash order; landmarks are spread over the languages
     turn = np.argsort([sum(1 for y in langs[:k] if y == x) for k, x in enumerate(langs)], kind="stable")
     marks = [texts[k] for k in turn[:LANDMARKS]]
@@ -72,23 +73,27 @@ def fit(texts: list[str], langs: list[str]) -> dict:
     good = value > 1e-6 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])
     features = np.concatenate([(normed(presence(texts[k : k + BATCH])) @ landmark.T) @ whiten for k in range(0, len(texts), BATCH)])
-    mean = features.mean(axis=0)
-    target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    base = target.mean(axis=0)
+    own = np.array(langs)[:, None] == np.array(names)[None, :]
+    weight = (own / own.sum(axis=0) / len(names)).sum(axis=1, keepdims=True)  # each language weighs the same; 1 in all
+    target = np.where(own, 1.0, -1.0)
+    mean, base = (weight * features).sum(axis=0), 2 / len(names) - 1
     centred = features - mean
-    a = np.linalg.solve(centred.T @ centred + RIDGE * np.eye(centred.shape[1]), centred.T @ (target - base))
-    return {"names": names, "matrix": (landmark.T @ (whiten @ a)).astype(np.float32), "bias": base - mean @ a}
+    a = np.linalg.solve(centred.T @ (weight * centred) + RIDGE / len(texts) * np.eye(centred.shape[1]), centred.T @ (weight * (target - base)))
+    return {"names": names, "matrix": (landmark.T @ (whiten @ a)).astype(np.float32), "bias": base - mean @ a, "base": base}
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """docs: (doc_id, text, lang). Learns only from ids whose crc32 modulo 3 is not 1."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
-    chosen = hash_sample(known, "lang", "doc_id", per_language).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").toArrow()
+    chosen = hash_sample(known, "lang", ["doc_id", "text"], per_language, MOST_LANGUAGES).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").toArrow()
     return fit(chosen.column("text").to_pylist(), chosen.column("lang").to_pylist())
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Adds the predicted language and a score from 0 to 1: softmax of the languages' values."""
+def predict(docs: DataFrame, model: dict, text: str = "text", lang: str = "lang_pred", score: str = "score", value: str = "value") -> DataFrame:
+    """Adds the predicted language, a score from 0 to 1 (softmax of the languages' values) and the best language's own value, scaled
+    so that it does not depend on how many languages there are: 1 is the target, 0 the mean of all texts (null for ``und``; 1 where
+    only one language is learned). Columns of these names are replaced."""
+    docs = docs.drop(*{lang, score, value})
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)  # n-grams x languages floats
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,27 +102,30 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang: str = "lang_
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
                 texts = part.column(names.index(text)).to_pylist()
-                letters = np.array([bool(x) and _LETTER.search(x) is not None for x in texts])
+                letters = np.array([bool(x) and any(map(str.isalpha, x)) for x in texts])
                 if m["names"]:
-                    value = normed(presence([x or "" for x in texts])) @ m["matrix"] + m["bias"]
-                    best = value.argmax(axis=1)
-                    power = np.exp(4 * (value - value.max(axis=1, keepdims=True)))
-                    sure = np.where(letters, 1 / power.sum(axis=1), 0.0)
+                    values = normed(presence([x or "" for x in texts])) @ m["matrix"] + m["bias"]
+                    best, top = values.argmax(axis=1), values.max(axis=1)
+                    sure = np.where(letters, 1 / np.exp(4 * (values - top[:, None])).sum(axis=1), 0.0)
+                    top = (top - m["base"]) / (1 - m["base"]) if m["base"] < 1 else np.ones(len(texts))
                     found = [m["names"][b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 else:
-                    found, sure = ["und"] * len(texts), np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())], [*names, lang, score])
+                    letters, found, sure, top = np.zeros(len(texts), bool), ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+                new = [pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(top, pa.float64(), mask=~letters)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, lang, score, value])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(value, T.DoubleType())]))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """The contract's columns for each document."""
     found = predict(docs.select("doc_id", "text"), train(docs))
-    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "value")
 
 
-def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents in a known language, with their columns: ``und`` and scores below ``least`` are rejected."""
-    found = predict(docs, train(docs), lang="__lang", score="__score")
-    return found.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")
+def keep_identified(docs: DataFrame, least: float = LEAST_VALUE) -> DataFrame:
+    """Documents in a known language, with their columns: ``und`` is rejected, and texts of SHORT characters and more whose best
+    language's value is below ``least``, as that of gibberish and of languages not learned is."""
+    names = [free_name(c, docs.columns) for c in ("lang_pred", "lang_score", "lang_value")]
+    found = predict(docs, train(docs), "text", *names)
+    return found.filter((F.col(names[0]) != "und") & ((F.length("text") < SHORT) | (F.col(names[2]) >= least))).drop(*names)

@@ -44,7 +44,7 @@ STAR_ROUNDS = 2
 SLOTS = 1 << 20  # of the shingle counts that give the order of rarity; 4 MB
 CELL = 4096  # entries of one shingle that a task pairs with as many others
 BROADCAST_IDS = 1 << 20  # ids; 8 MB
-_MEMO = 400_000
+_MEMO = 60_000
 _U = np.uint64
 _M1, _M2, _M3 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 

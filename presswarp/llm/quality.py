@@ -11,7 +11,8 @@ hash of the id. Everything else covers all rows: every whole text is scored.
 Defined results: null and empty texts have no n-grams and get the score of the model's bias; rows with a null label, or
 with an id whose remainder is that of the held-out part, are never learned from; an id with several labels counts by their
 mean; with labels of one class or none the score is that class's share (0.5 without any); repeated rows are scored alike;
-an empty table gives an empty result; other columns are passed through, whatever their names.
+an empty table gives an empty result; other columns are passed through, but that one of the output's name is replaced.
+Where an id has several texts the one with the least hash is learned from.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, hash_sample
+from .common import crc_mod, free_name, hash_sample
 
 SAMPLE_PER_CLASS = 1500
 SPACE = 1 << 18  # hashed n-grams
@@ -33,28 +34,29 @@ EPOCHS = 6
 C = 0.05
 SMOOTH = 1.0
 THRESHOLD = 0.7
-_MEMO = 300_000
+_MEMO = 60_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _shape(word: str) -> str:
-    """Runs of: a lower, A upper, 0 digit, others as they are."""
+    """Runs of: a lower, A upper, 0 digit, others as they are. Of the whole word."""
     out = []
-    for ch in word[:64]:
+    for ch in word:
         kind = "0" if ch.isdigit() else "A" if ch.isupper() else "a" if ch.isalpha() else ch
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 class _Words(dict):
-    """word -> 64 bits: a hash of the lower-cased word above, of its shape below. Forgets all when full."""
+    """word -> 64 bits: a hash of the lower-cased word above, of its shape below. Remembers short words; forgets all when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        value = (xxhash.xxh32_intdigest(word.lower()) << 32) | xxhash.xxh32_intdigest(_shape(word))
-        self[word] = value
+        value = (xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) << 32) | xxhash.xxh32_intdigest(_shape(word).encode("utf-8", "surrogatepass"))
+        if len(word) <= 64:
+            if len(self) >= _MEMO:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -165,8 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     known = labels.filter(F.col("quality").isNotNull() & (crc_mod("doc_id", 4) != 2))
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     counts = {r.quality: r.n for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = hash_sample(known, "quality", "doc_id", per_class)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # the sample's ids, so texts are not shuffled
+    chosen = hash_sample(known, "quality", ["doc_id"], per_class, 2)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # the sample's ids, so texts are not shuffled
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "quality")  # one text an id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
@@ -182,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds the probability of good quality of each whole text."""
+    """Adds the probability of good quality of each whole text; a column of that name is replaced."""
+    docs = docs.drop(name)
     names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(model)  # two floats for each hashed n-gram: 2 MB
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,4 +211,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that the classifier does not reject, with their columns."""
-    return score(docs, train(docs, labels), name="__score").filter(F.col("__score") >= threshold).drop("__score")
+    name = free_name("quality_score", docs.columns)
+    return score(docs, train(docs, labels), name=name).filter(F.col(name) >= threshold).drop(name)

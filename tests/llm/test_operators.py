@@ -176,9 +176,9 @@ def test_images():
 
 
 def test_undecodable_media(spark):
-    df = spark.createDataFrame([(1, bytearray(b"junk")), (2, None), (3, bytearray(media.encode_pgm(bytes(24 * 24), 24)))], "k int, image binary")
+    df = spark.createDataFrame([(1, bytearray(b"junk")), (2, None), (3, bytearray(media.encode_pgm(bytes(24 * 24), 24))), (4, bytearray(b"P5 2 2 0 abcd")), (5, bytearray(b"P5 0 2 255 "))], "k int, image binary")
     got = {r.k: (r.tile is None, r.dhash) for r in media.media_tiles(df, "image", 4, 4).collect()}
-    assert got[1] == got[2] == (True, None) and got[3] == (False, "0" * 16)
+    assert got[1] == got[2] == got[4] == got[5] == (True, None) and got[3] == (False, "0" * 16)
 
 
 def scan_by_hand(text):
@@ -424,6 +424,68 @@ def test_language(spark, odd):
     assert kept.columns == docs.columns and kept.count() > 0.98 * docs.count()
 
 
+def test_language_rejects_gibberish_and_marks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(6)
+    rows = [(10**6 + k, "".join(rng.choice(list("qxzjkvwpbgfhmdclrsnioate      "), 200)), None, "s") for k in range(50)]
+    rows += [(2 * 10**6 + k, t, None, "s") for k, t in enumerate(["½", "②", "١٢", "___", "ª 1"])]
+    more = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    kept = {r.doc_id for r in language.keep_identified(more).select("doc_id").collect()}
+    assert len([k for k in kept if k < 10**6]) > 0.99 * docs.filter("text rlike '[a-z]'").count()
+    assert len([k for k in kept if 10**6 <= k < 2 * 10**6]) <= 5 and not [k for k in kept if 2 * 10**6 <= k < 2 * 10**6 + 4]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language_report(more).filter("doc_id >= 2000000").collect()}
+    assert all(got[2 * 10**6 + k] == ("und", 0.0) for k in range(4)) and got[2 * 10**6 + 4][0] != "und"
+
+
+def ridge_by_hand(model_texts, langs, texts):
+    """Plain n-gram sets for the kernel, and the ridge's normal equations over the Nyström features."""
+    bits = lambda t: {int(k) for k in np.flatnonzero(language.presence([t])[0])}
+    kernel = lambda x, y: len(x & y) / max(1, len(x)) ** 0.5 / max(1, len(y)) ** 0.5
+    turn = np.argsort([langs[:k].count(x) for k, x in enumerate(langs)], kind="stable")
+    marks = [bits(model_texts[k]) for k in turn[: language.LANDMARKS]]
+    inner = np.array([[kernel(x, y) for y in marks] for x in marks])
+    value, vector = np.linalg.eigh(inner)
+    good = value > 1e-6 * value.max()
+    feature = lambda t: np.array([kernel(bits(t), y) for y in marks]) @ vector[:, good] / np.sqrt(value[good])
+    x, names = np.array([feature(t) for t in model_texts]), sorted(set(langs))
+    y = np.array([[1.0 if a == b else -1.0 for b in names] for a in langs])
+    w = np.diag([1 / langs.count(k) / len(names) for k in langs])
+    mean, base = w.diagonal() @ x, w.diagonal() @ y
+    a = np.linalg.inv((x - mean).T @ w @ (x - mean) + language.RIDGE / len(x) * np.eye(x.shape[1])) @ (x - mean).T @ w @ (y - base)
+    return names, np.array([(feature(t) - mean) @ a + base for t in texts])
+
+
+def test_language_values_by_hand(docs):
+    rows = [r for r in docs.select("text", "lang").collect() if r.text and r.lang][:40]
+    texts, langs = [r.text[:400] for r in rows], [r.lang for r in rows]
+    names, want = ridge_by_hand(texts[:30], langs[:30], texts[30:])
+    model = language.fit(texts[:30], langs[:30])
+    got = language.normed(language.presence(texts[30:])) @ model["matrix"] + model["bias"]
+    assert model["names"] == names and np.allclose(got, want, atol=2e-3)
+
+
+def test_clashing_columns(spark):
+    """Columns of an output's name are replaced, all others passed through."""
+    extra = ["score", "Value", "lang_pred", "flat", "detections", "tile", "dhash", "__score", "__lang", "gone", "mix_size", "cut", "place", "block"]
+    rows = [(k, f"the cat number {k} sat on the mat and the dog ran to the house", "en" if k % 2 else "de", "s", *extra) for k in range(8)]
+    frame = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *extra])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(8)], "doc_id bigint, quality int, toxic int")
+    others = lambda df, *out: {tuple(r) for r in df.select(*[c for c in extra if c.lower() not in out]).collect()} == {tuple(c for c in extra if c.lower() not in out)}
+    model = quality.train(frame, labels)
+    assert others(quality.score(frame, model), "score") and quality.score(frame, model).filter("score between 0 and 1").count() == 8
+    assert quality.keep_good(frame, labels, 0.0).columns == frame.columns and quality.keep_good(frame, labels, 0.0).count() == 8
+    found = language.predict(frame, language.train(frame))
+    assert others(found, "score", "value", "lang_pred") and found.filter("lang_pred in ('de', 'en')").count() == 8
+    assert language.keep_identified(frame, -9.0).columns == frame.columns
+    assert others(near_dup.keep_one_each(frame)) and near_dup.keep_one_each(frame).columns == frame.columns
+    assert others(mixing.mixed_documents(frame)) and mixing.mixed_documents(frame).columns == frame.columns
+    assert others(licenses.scan_licenses(frame), "flat", "detections")
+    image = frame.withColumn("image", F.lit(bytearray(media.encode_pgm(bytes(576), 24))))
+    assert others(media.media_tiles(image, "image"), "tile", "dhash")
+    tokens = byte_bpe.encode(frame, byte_bpe.load_ranks(queries.BYTE_VOCABULARY), public_tokenizers.PATTERN, ["doc_id", "place", "block", "score"])
+    assert {tuple(r)[1:4] for r in tokens.collect()} == {("place", "block", "score")}
+
+
 def test_kernel_is_the_blended_spectrum():
     texts = ["abcab", "abd  x", "zz"]
     seen = language.presence(texts)
