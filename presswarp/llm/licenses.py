@@ -16,6 +16,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -213,15 +215,17 @@ def suppressed(detections: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``flat`` (the reduced text) and ``detections``: array of (start, stop, place, label, strength), suppressed."""
+    """Adds ``flat`` (the reduced text) and ``detections``: array of (start, stop, place, label, strength), suppressed. Columns of
+    these names are replaced."""
+    docs = docs.drop("flat", "detections")
+    gate_name = free_name("keywords", docs.columns)
     flat = docs.withColumn("flat", reduced(F.col(text)))
     keywords = list(dict.fromkeys(x.keyword for x in license_rules()))
-    gate = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("flat"), k))
-    gated = flat.withColumn("__keywords", gate)
-    rules = F.filter(rule_table(), lambda r: F.array_contains(F.col("__keywords"), r["keyword"]))
+    gated = flat.withColumn(gate_name, F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("flat"), k)))
+    rules = F.filter(rule_table(), lambda r: F.array_contains(F.col(gate_name), r["keyword"]))
     hits = F.flatten(F.transform(rules, lambda r: matches(F.col("flat"), r)))
-    kept = F.when(F.size("__keywords") > 0, suppressed(hits)).otherwise(F.array().cast(_KEPT))
-    out = gated.withColumn("detections", kept).drop("__keywords")
+    kept = F.when(F.size(gate_name) > 0, suppressed(hits)).otherwise(F.array().cast(_KEPT))
+    out = gated.withColumn("detections", kept).drop(gate_name)
     return out.withColumn("detections", F.transform("detections", lambda d: F.struct(d["start"].alias("start"), (-d["minus_stop"]).alias("stop"), d["place"].alias("place"), d["label"].alias("label"), d["strength"].alias("strength"))))
 
 

@@ -47,6 +47,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not m:
         raise ValueError("not a P2, P3, P5 or P6 file")
     kind, w, h, top = (int(x) for x in m.groups())
+    if not (0 < top < 65536 and w and h):
+        raise ValueError("no samples, or no largest value from 1 to 65535")
     n = w * h * (3 if kind in (3, 6) else 1)
     if kind in (5, 6):
         image = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, m.end())
@@ -120,7 +122,9 @@ def npy_array(data: bytes) -> np.ndarray:
 
 
 def media_tiles(df: DataFrame, image: str, height: int = 0, width: int = 0) -> DataFrame:
-    """Adds ``tile`` (NPY bytes: the image, area-resized to height x width in gray if these are given) and ``dhash``."""
+    """Adds ``tile`` (NPY bytes: the image, area-resized to height x width in gray if these are given) and ``dhash``. Columns of
+    these names are replaced."""
+    df = df.drop("tile", "dhash")
     names = df.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
