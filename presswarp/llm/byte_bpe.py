@@ -6,10 +6,12 @@ block is one row. Those rows are shuffled by word; each distinct word is encoded
 second shuffle and are put in the places of the words' numbers. Decoding joins the ids with the table of the tokens' bytes,
 which the vocabulary bounds (about 50,000 rows), so that table goes to the tasks whole.
 
-What a block has of words goes to the shuffle in packets, one for each slot (a hash of the word, as many slots as shuffle
-partitions), so the rows of the shuffles are few and small: a packet holds the words and their numbers, compressed. The
-numbered documents and the packets are written once, as a table in the shared folder, so both ways start from the same
-blocks and a lost executor costs only the tasks it had.
+What a block has of words goes to the encoding in packets, one for each slot (a hash of the word, as many slots as shuffle
+partitions), so the rows are few and small: a packet holds the words and their numbers, compressed. The numbered documents and
+the packets are written once, as a table in the shared folder, bucketed by the block of a document and the slot of a packet. So
+both ways start from the same blocks, neither documents nor words are shuffled before they are encoded, and a lost executor costs
+only the tasks it had. A block ends after a bounded number of words, so memory follows the longest document at most, and a slot's
+words are those of a shuffle partition.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows are encoded one by one; an empty
 table gives an empty result; the columns named in ``keep`` are carried through, others not read.
@@ -33,9 +35,9 @@ from pyspark.sql import types as T
 
 from .common import fresh_dir, partitions
 
-BLOCK_WORDS = 180_000  # distinct words after which a block ends
-BLOCK_PLACES = 1_500_000  # and words in all
-_MEMO = 200_000
+BLOCK_WORDS = 100_000  # distinct words after which a block ends
+BLOCK_PLACES = 800_000  # and words in all
+ROWS = 128  # documents of one batch to Spark
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -128,24 +130,28 @@ def _stretches(text: str) -> Iterator[tuple[str, list[str]]]:
 
 
 def _blocks(docs: DataFrame, text: str, pattern: str, keep: list[str], slots: int) -> DataFrame:
-    """Rows of two kinds: packets of words (block, slot, numbers, sizes, words) and documents (block, numbers, keep...)."""
+    """Rows of two kinds: packets of words (place: the slot; block, numbers, sizes, words) and documents (place: the block;
+    numbers, keep...; block is null)."""
     names = docs.columns
     kinds = {c: pa.binary() for c in ("numbers", "sizes", "words")}
-    order = ["block", "slot", *kinds, *keep]
+    order = ["place", "block", *kinds, *keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled, here, count = regex.compile(pattern), TaskContext.get().partitionId(), 0
         block, fields = Block(compiled), {}
-        shrink = zstandard.ZstdCompressor(level=1).compress
+        shrink = zstandard.ZstdCompressor(level=3).compress
 
         def rows(n: int, given: dict) -> pa.RecordBatch:
-            given["block"] = pa.array([(here << 24) + count] * n, pa.int64())
-            blank = {"slot": pa.int32(), **kinds, **fields}
+            blank = {"place": pa.int64(), "block": pa.int64(), **kinds, **fields}
             return pa.RecordBatch.from_arrays([given.get(c) if c in given else pa.nulls(n, blank[c]) for c in order], order)
 
+        def name() -> int:
+            return (here << 24) + count
+
         def packets() -> pa.RecordBatch:
             block.cuts.clear()
             raw = [w.encode("utf-8", "surrogatepass") for w in block.words]
+            block.words.clear()
             slot = np.fromiter((zlib.crc32(w) % slots for w in raw), np.int32, len(raw))
             order_ = np.argsort(slot, kind="stable")
             used, first = np.unique(slot[order_], return_index=True)
@@ -155,21 +161,26 @@ def _blocks(docs: DataFrame, text: str, pattern: str, keep: list[str], slots: in
                 parts["numbers"].append(shrink(_packed(np.diff(number, prepend=np.uint32(0)).tobytes())))
                 parts["sizes"].append(shrink(_packed(np.fromiter(map(len, some), np.uint32, len(some)).tobytes())))
                 parts["words"].append(shrink(b"".join(some)))
-            return rows(len(used), {"slot": pa.array(used, pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in parts.items()}})
+            return rows(len(used), {"place": pa.array(used, pa.int64()), "block": pa.array([name()] * len(used), pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in parts.items()}})
+
+        def documents(numbers: list[bytes], part: pa.RecordBatch) -> pa.RecordBatch:
+            return rows(len(numbers), {"place": pa.array([name()] * len(numbers), pa.int64()), "numbers": pa.array(numbers, pa.binary()), **{c: part.column(names.index(c)) for c in keep}})
 
         for batch in batches:
             fields.update({c: batch.schema.field(c).type for c in keep})
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
-                numbers = [shrink(_packed(block.add(x or ""))) for x in part.column(names.index(text)).to_pylist()]
-                yield rows(part.num_rows, {"numbers": pa.array(numbers, pa.binary()), **{c: part.column(names.index(c)) for c in keep}})
+            first, numbers = 0, []
+            for k, x in enumerate(batch.column(names.index(text))):
+                numbers.append(shrink(_packed(block.add(x.as_py() or ""))))
+                if block.full() or len(numbers) == ROWS or k == batch.num_rows - 1:
+                    yield documents(numbers, batch.slice(first, len(numbers)))
+                    first, numbers = k + 1, []
                 if block.full():
                     yield packets()
                     block, count = Block(compiled), count + 1
         if block.words:
             yield packets()
 
-    head = [T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in kinds]]
+    head = [T.StructField("place", T.LongType()), T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in kinds]]
     return docs.mapInArrow(work, T.StructType([*head, *[docs.schema[c] for c in keep]]))
 
 
@@ -196,34 +207,32 @@ def _unpacked(data: np.ndarray) -> np.ndarray:
 
 
 def _encoded_words(packets: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(block, numbers, sizes, ids): packets with their words' ids. packets must be dealt by slot, so all of a word's packets
-    are in one partition, where it is encoded once."""
+    """(block, numbers, sizes, ids): packets with their words' ids. A slot's packets are one group, so all packets of a word are
+    together, and it is encoded once."""
     shared = packets.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary's table
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        piece = tiktoken.Encoding("ranks", pat_str=r"\\S+|\\s+", mergeable_ranks=shared.value, special_tokens={})._core_bpe.encode_single_piece
-        shrink, grow = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
-        memo: dict[bytes, bytes] = {}
+        piece = tiktoken.Encoding("ranks", pat_str=r"(?s).+", mergeable_ranks=shared.value, special_tokens={}).encode_ordinary  # takes a word whole
+        shrink, grow = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             sizes_out, ids_out = [], []
-            for sizes, words in zip(batch.column(2), batch.column(3), strict=True):
+            for sizes, words in zip(batch.column(3), batch.column(4), strict=True):
                 ends = np.cumsum(_unpacked(np.frombuffer(grow(sizes.as_py()), np.uint8))).tolist()
                 flat, start, found = grow(words.as_py()), 0, []
                 for end in ends:
                     w = flat[start:end]
-                    if (ids := memo.get(w)) is None:
-                        if len(memo) >= _MEMO:
-                            memo.clear()
-                        ids = memo[w] = np.array(piece(w), "<u4").tobytes()
+                    if (ids := known.get(w)) is None:
+                        ids = known[w] = np.array(piece(w.decode()), "<u4").tobytes()
                     found.append(ids)
                     start = end
                 sizes_out.append(shrink(_packed(np.array([len(x) // 4 for x in found], np.uint32).tobytes())))
                 ids_out.append(shrink(_packed(b"".join(found))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes_out, pa.binary()), pa.array(ids_out, pa.binary())], ["block", "numbers", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(sizes_out, pa.binary()), pa.array(ids_out, pa.binary())], ["block", "numbers", "sizes", "ids"])
 
-    return packets.mapInArrow(work, "block bigint, numbers binary, sizes binary, ids binary")
+    return packets.groupBy("place").applyInArrow(work, "block bigint, numbers binary, sizes binary, ids binary")
 
 
 def ragged_take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -236,18 +245,18 @@ def ragged_take(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns of ``keep`` and ``ids``: each whole text's token ids as little-endian unsigned 32-bit integers."""
+    """The columns of ``keep``, and ``ids``: each whole text's token ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     n = partitions(spark)
-    # bucketed by block, so that the documents, the larger part, are not shuffled for the way back
     path = fresh_dir(spark, "bpe-blocks")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
-    _blocks(docs.select(*dict.fromkeys([*keep, text])), text, pattern, keep, n).write.option("compression", "none").option("path", path).bucketBy(n, "block").saveAsTable(name)
+    inner = [f"keep{k}" for k in range(len(keep))]  # so that no name of ``keep`` meets one of the blocks
+    docs = docs.select(*[docs[c].alias(k) for c, k in zip(keep, inner, strict=True)], docs[text].alias("text"))
+    _blocks(docs, "text", pattern, inner, n).write.option("compression", "none").option("path", path).bucketBy(n, "place").sortBy("place").saveAsTable(name)
     table = spark.table(name)
-    packets = table.filter("slot is not null").select("block", "numbers", "sizes", "words", "slot").repartition(n, "slot").drop("slot")
-    words = _encoded_words(packets, ranks)
-    numbered = table.filter("slot is null").select("block", "numbers", *keep)
-    kept = T.StructType([docs.schema[c] for c in keep])
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and the frame has found them
+    words = _encoded_words(table.filter("block is not null").select("place", "block", "numbers", "sizes", "words"), ranks)
+    numbered = table.filter("block is null").select("place", "numbers", *inner)
 
     def work(documents: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
         grow = zstandard.ZstdDecompressor().decompress
@@ -261,13 +270,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
         start[number], length[number] = np.cumsum(size) - size, size
         for batch in documents.to_batches(max_chunksize=256):
             out = [ragged_take(data, start, length, spread(x)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(2 + k) for k in range(len(keep))), pa.array(out, pa.binary())], [*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(2 + k) for k in range(len(inner))), pa.array(out, pa.binary())], [*inner, "ids"])
 
     def whole(documents: pa.Table, found: pa.Table) -> pa.Table:
-        schema = pa.schema([*(documents.schema.field(c) for c in keep), pa.field("ids", pa.binary())])
-        return pa.Table.from_batches(list(work(documents.select(["block", "numbers", *keep]), found)), schema)
+        schema = pa.schema([*(documents.schema.field(c) for c in inner), pa.field("ids", pa.binary())])
+        return pa.Table.from_batches(list(work(documents.select(["place", "numbers", *inner]), found)), schema)
 
-    return numbered.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(whole, T.StructType([*kept.fields, T.StructField("ids", T.BinaryType())]))
+    kept = T.StructType([*(docs.schema[c] for c in inner), T.StructField("ids", T.BinaryType())])
+    return numbered.groupBy("place").cogroup(words.groupBy("block")).applyInArrow(whole, kept).toDF(*keep, "ids")
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: str = "decoded") -> DataFrame:
