@@ -34,7 +34,7 @@ EPOCHS = 6
 C = 0.05
 SMOOTH = 1.0
 THRESHOLD = 0.7
-_MEMO = 60_000
+_MEMO = 150_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
