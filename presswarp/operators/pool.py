@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAILING_LEAST, FAILING_SHARE, MOST_REPLACED = 10, 0.1, 12
+OLD_TURNS = (2, 5, 8)  # fixed value
 
 
 def outage(failing: Column, total: Column, replaced: Column) -> Column:
@@ -60,10 +61,10 @@ def adaptive_interval(per_day: Column, floor: int, ceiling: int) -> Column:
     return F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.round(F.lit(1440.0) / (3 * F.greatest(per_day, F.lit(0.01)))).cast("int")))
 
 
-def share_of_backlog(claims: DataFrame, position: str, share: int = 3, of: int = 10) -> DataFrame:
-    """Marks the claims that go to old work: three of ten, evenly spread."""
-    p = F.col(position)
-    return claims.withColumn("old", F.floor((p + 1) * share / of) > F.floor(p * share / of))
+def share_of_backlog(claims: DataFrame, queue: list[str], order: list[str]) -> DataFrame:
+    """Marks the claims of each queue that go to old work: turns OLD_TURNS of every ten, counted from 0."""
+    turn = (F.row_number().over(Window.partitionBy(*queue).orderBy(*order)) - 1) % 10
+    return claims.withColumn("old", turn.isin(*OLD_TURNS))
 
 
 def pressure_states(samples: DataFrame, keys: list[str], time: str, hot: str, recovery_seconds: int = 30) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams
-
-BLOCK = 4096  # query vectors that meet all rows at once
+BLOCK = 4096  # query vectors of a block
+TEXT_BLOCK = 512  # query texts of a block
+CHUNK = 8192  # rows that a task takes with a block, about
 
 
 def cosine(a, b):
@@ -19,56 +19,82 @@ def cosine(a, b):
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_recall(queries: DataFrame, rows: DataFrame, least: float = 0.6, most: int = 10) -> DataFrame:
-    """queries, rows: (id, vector, fact). The best row of each fact with a cosine of ``least`` or more, the best ``most`` facts of
-    a query: (query, id, fact, score).
+def _recall(queries: DataFrame, rows: DataFrame, what: str, scores, least: float, most: int, block: int) -> DataFrame:
+    """queries: (id, what), rows: (id, what, fact). The best row of each fact that scores ``least`` or more, the best ``most``
+    facts of a query: (query, id, fact, score). scores(queries' values, rows' values) gives a matrix.
 
-    Queries are stated and meet all rows in blocks of BLOCK: each block is one matrix product a batch. Rows are not shuffled;
-    what a batch finds is reduced to the best of each (query, fact) before it leaves the task.
+    The queries are stated and meet all rows in blocks: queries are dealt into blocks and rows into chunks, and each task takes
+    one block with one chunk, as arrays. A task's hits are reduced to the best of each (query, fact) before they leave it.
     """
-    found = None
-    keyed = queries.select("id", "vector")
-    total = keyed.count()
-    n_blocks = max(1, -(-total // BLOCK))
-    for k in range(n_blocks):
-        part = keyed.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k).toArrow()
-        ids = part.column("id").to_numpy()
-        matrix = np.stack([np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) for x in part.column("vector")]) if part.num_rows else np.zeros((0, 1))
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))  # one block
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, q = shared.value
-            for batch in batches:
-                if not len(q) or not batch.num_rows:
-                    continue
-                x = np.stack([np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in batch.column(1)])
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                score = q @ x.T
-                i, j = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(own[i]), batch.column(0).take(pa.array(j)), batch.column(2).take(pa.array(j)), pa.array(score[i, j])], ["query", "id", "fact", "score"])
-
-        got = rows.select("id", "vector", "fact").mapInArrow(work, "query bigint, id bigint, fact bigint, score double")
-        found = got if found is None else found.unionByName(got)
-    found = found.filter("query <> id")
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHUNK))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("id", what).withColumn("block", deal(blocks)).withColumn("chunk", every(chunks))
+    r = rows.select("id", what, "fact").withColumn("chunk", deal(chunks)).withColumn("block", every(blocks))
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = {"query": [], "id": [], "fact": [], "score": []}
+        if left.num_rows and right.num_rows:
+            own, ids, facts = (t.column(c).to_numpy() for t, c in ((left, "id"), (right, "id"), (right, "fact")))
+            score = scores(left.column(what), right.column(what))
+            i, j = np.nonzero(score >= least)
+            keep = own[i] != ids[j]
+            i, j = i[keep], j[keep]
+            order = np.lexsort((ids[j], -score[i, j], facts[j], i))
+            i, j = i[order], j[order]
+            first = np.ones(len(i), bool)
+            first[1:] = (i[1:] != i[:-1]) | (facts[j[1:]] != facts[j[:-1]])
+            i, j = i[first], j[first]
+            found = {"query": own[i], "id": ids[j], "fact": facts[j], "score": score[i, j]}
+        return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in found.items()})
+
+    found = q.groupBy("block", "chunk").cogroup(r.groupBy("block", "chunk")).applyInArrow(work, "query bigint, id bigint, fact bigint, score double")
     best = found.groupBy("query", "fact").agg(F.max(F.struct("score", (-F.col("id")).alias("m"))).alias("b"))
     best = best.select("query", "fact", F.col("b.score").alias("score"), (-F.col("b.m")).alias("id"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "fact")
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
-def bigram_pairs(rows: DataFrame, least: float = 0.25, rare: int = 200) -> DataFrame:
-    """rows: (id, text), short texts. (a, b, score): pairs that share at least one bigram which occurs in at most ``rare`` rows,
-    with shared bigrams over the smaller set of ``least`` or more. Common pairs of characters do not make candidates alone:
-    that is the rule's definition here, and what keeps the join linear in the rows."""
-    sets = rows.select("id", bigrams(F.col("text")).alias("grams"))
-    each = sets.select("id", F.explode("grams").alias("g"))
-    few = each.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, rare)).select("g")
-    some = each.join(few, "g")
-    pairs = some.select("g", F.col("id").alias("a")).join(some.select("g", F.col("id").alias("b")), "g").filter("a < b").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    score = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
-    return both.select("a", "b", score.alias("score")).filter(F.col("score") >= least)
+def vector_recall(queries: DataFrame, rows: DataFrame, least: float = 0.6, most: int = 10) -> DataFrame:
+    """Recall by the cosine of vectors: see _recall. Null vectors are left out."""
+
+    def cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+        x, y = (np.stack([np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in c]) for c in (a, b))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+        return x @ y.T
+
+    return _recall(queries.filter("vector is not null"), rows.filter("vector is not null"), "vector", cosines, least, most, BLOCK)
+
+
+def _bigram_codes(text: str) -> np.ndarray:
+    x = np.frombuffer(re.sub(r"\s+", "", text).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.unique((x[:-1] << np.uint64(32)) | x[1:])
+
+
+def lexical_recall(queries: DataFrame, rows: DataFrame, least: float = 0.25, most: int = 10) -> DataFrame:
+    """Recall by character bigrams of texts: shared ones over the smaller set. See _recall. Texts without a bigram are left out."""
+
+    def shares(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+        left = [_bigram_codes(x.as_py()) for x in a]
+        known = np.unique(np.concatenate(left))
+        has = np.zeros((len(left), len(known)), np.float32)
+        for k, x in enumerate(left):
+            has[k, np.searchsorted(known, x)] = 1
+        out = np.zeros((len(left), len(b)))
+        for first in range(0, len(b), 256):
+            right = [_bigram_codes(x.as_py()) for x in b.slice(first, 256)]
+            there = np.zeros((len(right), len(known)), np.float32)
+            for k, x in enumerate(right):
+                at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+                there[k, at[known[at] == x] if len(known) else at[:0]] = 1
+            sizes = np.minimum(np.array([len(x) for x in left])[:, None], np.array([len(x) for x in right])[None, :])
+            out[:, first : first + 256] = np.rint(has @ there.T) / np.maximum(sizes, 1)
+        return out
+
+    full = lambda d: d.filter(F.length(F.regexp_replace("text", r"\s+", "")) > 1)
+    return _recall(full(queries), full(rows), "text", shares, least, most, TEXT_BLOCK)
 
 
 def ngram_contamination(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:

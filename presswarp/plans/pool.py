@@ -62,9 +62,10 @@ def adaptive_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("user_id", pool.adaptive_interval(F.col("per_day"), 10, 1440).alias("minutes"))
 
 
-@query("""SELECT event_id, floor((event_id + 1) * 3 / 10) > floor(event_id * 3 / 10) AS old FROM events WHERE event_id < 1000""")
+@query("""SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 10 IN (2, 5, 8) AS old FROM events""")
 def backlog_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.share_of_backlog(table(spark, sf_dir, "events").filter("event_id < 1000").select("event_id"), "event_id")
+    """Each user's events are the claims of a queue, in order of time."""
+    return pool.share_of_backlog(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", "old")
 
 
 @query("""WITH l AS (SELECT event_id, user_id, floor(epoch(ts)) AS t, max(CASE WHEN value > 100 THEN floor(epoch(ts)) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last FROM events) SELECT event_id, coalesce(t - last < 7200, false) AS pressed FROM l""")

@@ -25,9 +25,9 @@ def join_left_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, (c.c_custkey == o.o_custkey) & (o.o_totalprice >= c.c_acctbal), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("orders"), F.max("o_totalprice").alias("dearest"))
 
 
-@query("""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, p_name FROM k JOIN part ON p_partkey = k WHERE event_id < 500""")
+@query("""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_id, p_name FROM k JOIN part ON p_partkey = k""")
 def join_computed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id < 500").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("p_partkey"))
+    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("p_partkey"))
     return e.join(table(spark, sf_dir, "part"), "p_partkey").select("event_id", "p_name")
 
 
@@ -102,10 +102,10 @@ def limited_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return take("unknown", "P", "o_orderkey").unionByName(take("failed", "F", F.col("o_totalprice").desc(), "o_orderkey")).unionByName(take("pending", "O", "o_orderdate", "o_orderkey"))
 
 
-@query("""WITH s AS (SELECT l_suppkey, l_partkey % 30 AS model, CAST(l_shipdate AS DATE) AS day, max(l_extendedprice) AS score FROM lineitem WHERE l_suppkey < 40 GROUP BY ALL), n AS (SELECT *, max(day) OVER () AS newest FROM s)
+@query("""WITH s AS (SELECT l_suppkey, l_partkey % 30 AS model, CAST(l_shipdate AS DATE) AS day, max(l_extendedprice) AS score FROM lineitem GROUP BY ALL), n AS (SELECT *, max(day) OVER () AS newest FROM s)
     SELECT l_suppkey, model, score, day < newest AS carried FROM n WHERE date_diff('day', day, newest) BETWEEN 0 AND 30 QUALIFY row_number() OVER (PARTITION BY l_suppkey, model ORDER BY day DESC) = 1""")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_suppkey < 40")
+    li = table(spark, sf_dir, "lineitem")
     s = li.groupBy("l_suppkey", (F.col("l_partkey") % 30).alias("model"), F.to_date("l_shipdate").alias("day")).agg(F.max("l_extendedprice").alias("score"))
     newest = s.agg(F.max("day")).first()[0]
     return rel.carried_forward(s, ["l_suppkey", "model"], "day", F.lit(newest), 30).select("l_suppkey", "model", "score", "carried")
@@ -194,9 +194,9 @@ def first_last_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("opening"), F.max_by("role", "turn").alias("last_role"), F.count(F.lit(1)).alias("turns"))
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing, CAST(len(json_keys(props)) AS INTEGER) AS keys FROM events WHERE event_id % 50 = 0""")
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing, CAST(len(json_keys(props)) AS INTEGER) AS keys FROM events""")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_id % 50 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object("props", "$.missing").alias("missing"), F.size(F.json_object_keys("props")).alias("keys"))
 
 

@@ -104,15 +104,14 @@ def best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("label").agg(F.max(F.struct(F.get("embedding", F.lit(0)).alias("x"), (-F.col("vec_id")).alias("m"))).alias("b")).select("label", (-F.col("b.m")).alias("vec_id"))
 
 
-TITLES = "t AS (SELECT doc_id AS id, substr(text, 1, 24) AS text FROM documents WHERE lang <> 'en'), g AS (SELECT DISTINCT id, substr(text, i, 2) AS g FROM (SELECT *, unnest(range(1, length(text))) AS i FROM t))"
-
-
-@query(f"""WITH {TITLES}, z AS (SELECT id, count(*) AS n FROM g GROUP BY id), few AS (SELECT g FROM g GROUP BY g HAVING count(*) BETWEEN 2 AND 40),
-    c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM g a JOIN g b ON a.g = b.g AND a.id < b.id WHERE a.g IN (SELECT g FROM few)), s AS (SELECT a, b, count(*) AS shared FROM c JOIN g x ON x.id = a JOIN g y ON y.id = b AND y.g = x.g GROUP BY a, b)
-    SELECT a, b, round(shared / least(p.n, q.n), 6) AS score FROM s JOIN z p ON p.id = a JOIN z q ON q.id = b WHERE shared / least(p.n, q.n) >= 0.5""")
+@query(r"""WITH c AS (SELECT doc_id AS id, string_split(regexp_replace(text, '\s+', '', 'g'), '') AS c FROM documents),
+    g AS MATERIALIZED (SELECT id, list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) AS g FROM c WHERE len(c) > 1),
+    e AS MATERIALIZED (SELECT id, len(g) AS n, unnest(g) AS x FROM g), s AS (SELECT q.id AS a, r.id AS b, count(*) / least(any_value(q.n), any_value(r.n)) AS score FROM e q JOIN e r ON q.x = r.x AND q.id % 20 = 0 AND q.id <> r.id GROUP BY 1, 2)
+    SELECT a, b, round(score, 6) AS score FROM s WHERE score >= 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 10""")
 def bigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").filter("lang <> 'en'").select(F.col("doc_id").alias("id"), F.substring("text", 1, 24).alias("text"))
-    return sim.bigram_pairs(t, 0.5, 40).withColumn("score", F.round("score", 6))
+    """The ten texts that share most with each query text (ids divisible by 20), over whole texts and all rows."""
+    t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("fact"))
+    return sim.lexical_recall(t.filter("id % 20 = 0"), t).select(F.col("query").alias("a"), F.col("id").alias("b"), F.round("score", 6).alias("score"))
 
 
 @query(r"""WITH w AS (SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents UNION ALL SELECT 'b', item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') FROM benchmark),
