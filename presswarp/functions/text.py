@@ -26,7 +26,6 @@ STRUCTURED = (
     "(?i)正式测定|本报讯|消息|公告|通报|快讯|Advisory|Hurricane|Storm|Rainfall|Warning|Bulletin|KNHC|NHC",
 )
 PLACE, WEATHER = "[省市县州岛海湾洋山河]", "[震雨风潮洪雪雾涝旱灾]"
-TIERS = (("max", 600), ("xhigh", 550), ("high", 500), ("medium", 300), ("low", 200), ("minimal", 100))
 #: End of fixed values.
 
 
@@ -153,8 +152,8 @@ def headings(html: Column) -> Column:
 def markdown_links(text: Column) -> Column:
     """(title, url) of links whose title has six characters at least; images do not count."""
     plain = F.regexp_replace(text, "!\\[[^\\]]*\\]\\([^)]*\\)", "")
-    whole = F.regexp_extract_all(plain, F.lit("\\[[^\\]]{6,1000}\\]\\((?:https?://[^)\\s]+|/[^)\\s]*)[^)]*\\)"), F.lit(0))
-    pick = lambda m, k: F.regexp_extract(m, "\\[([^\\]]{6,1000})\\]\\(([^)\\s]+)", k)
+    whole = F.regexp_extract_all(plain, F.lit("\\[[^\\]]{6,}\\]\\((?:https?://[^)\\s]+|/[^)\\s]*)[^)]*\\)"), F.lit(0))
+    pick = lambda m, k: F.regexp_extract(m, "\\[([^\\]]{6,})\\]\\(([^)\\s]+)", k)
     return F.transform(whole, lambda m: F.struct(collapse(F.regexp_replace(pick(m, 1), "[*_`#]", "")).alias("title"), pick(m, 2).alias("url")))
 
 
@@ -181,16 +180,6 @@ def model_slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def configuration_rank(descriptor: Column) -> Column:
-    """The highest effort tier that a run's descriptor names; 50 above for adaptive reasoning, 10 below for a fallback."""
-    slug = F.regexp_replace(F.lower(descriptor), "[^a-z0-9]+", "-")
-    rank = F.lit(None).cast("int")
-    for tier, value in reversed(TIERS):
-        rank = F.when(slug.rlike(f"(?:^|-){tier}(?:-|$)"), value).otherwise(rank)
-    rank = F.coalesce(rank, F.when(slug.rlike("non-reasoning|non-thinking"), 50).when(slug.rlike("reasoning|thinking"), 400).otherwise(F.lit(None)))
-    return rank + F.when(slug.contains("adaptive-reasoning"), 5).otherwise(0) - F.when(slug.contains("fallback"), 10).otherwise(0)
-
-
 def content_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 

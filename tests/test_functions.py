@@ -45,8 +45,6 @@ def test_text(spark):
     assert one(spark, text.label_only(F.lit(" **title_zh**: "))) is True
     assert one(spark, text.is_teaser(F.lit("Something happened. Read more"))) is True
     assert one(spark, text.model_slug(F.lit("GPT-4o v2.1"))) == "gpt-4-o-v-2-1"
-    assert one(spark, text.configuration_rank(F.lit("Reasoning, High Effort"))) == 500
-    assert one(spark, text.configuration_rank(F.lit("xHigh"))) == 550
     assert one(spark, text.bigram_overlap(F.lit("abcd"), F.lit("bcde"))) == pytest.approx(2 / 3)
     links = one(spark, text.markdown_links(F.lit("![pic](/a.png) [A long title](https://e.com/x) [tiny](/y)")))
     assert [(r.title, r.url) for r in links] == [("A long title", "https://e.com/x")]
