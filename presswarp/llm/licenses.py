@@ -1,9 +1,10 @@
 """License scans, native: ordered signature rules, each a regular expression gated by a keyword.
 
 A text is lower-cased (A-Z only) and reduced to its words, joined by single spaces. Keywords that the reduced text contains
-choose the rules to try; the rules' matches are intervals with a priority (a rule's place in the order). In a scan by
-start, an interval that lies inside one kept before is dropped, and of two that overlap otherwise the one of lower priority;
-the same interval goes to the rule that comes first. Everything is one projection: no shuffle, no Python.
+choose the rules to try; the rules' matches are intervals with a priority (a rule's place in the order). Taken in order of
+priority, an interval is dropped if it lies inside one that stands or overlaps one partly; one that contains others takes their
+place. So an interval dropped for its priority never takes down what it covered. Everything is one projection: no shuffle, no
+Python.
 
 Defined results: null and empty texts have no words and no detections; repeated rows are scanned one by one; an empty table
 gives an empty result; other columns are passed through by ``scan_licenses`` and never read.
@@ -39,11 +40,11 @@ def _versioned(name: str, label: str, versions: tuple[str, ...], keyword: str, p
         digits = v.replace(".", " ")
         zero = digits.removesuffix(" 0")
         number = f"(?:v|version |v )?{digits}" if digits == zero else f"(?:v|version |v )?{zero}(?: 0)?"
-        later = "(?: or (?:\\(?at your option\\)? ?)?(?:any )?later(?: version)?| or later)"
+        later = " or (?:at your option )?(?:any )?later(?: version)?"
         tag = f"{label}-{v}"
         rules += [
-            Rule(keyword, f"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{name},? {number}{later}", f"{tag}-or-later", 1.0),
-            Rule(keyword, f"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{name},? {number}", tag, 1.0),
+            Rule(keyword, f"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{name} {number}{later}", f"{tag}-or-later", 1.0),
+            Rule(keyword, f"licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{name} {number}", tag, 1.0),
             Rule(keyword, f"{name} {number}{later}", f"{tag}-or-later", 0.95),
             Rule(keyword, f"{name} {number}", tag, 0.9),
         ]
@@ -196,22 +197,36 @@ def matches(flat: Column, rule: Column) -> Column:
 _KEPT = "array<struct<start:int,minus_stop:int,place:int,label:string,strength:double>>"
 
 
-def suppressed(detections: Column) -> Column:
-    """Kept detections, by start: see the module's text."""
+def _contains(a: Column, b: Column) -> Column:
+    return (a["start"] <= b["start"]) & (a["minus_stop"] <= b["minus_stop"])
+
+
+def _settled(cluster: Column) -> Column:
+    """The detections that stand among those of a cluster: see the module's text."""
 
     def step(kept: Column, d: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        inside = last["minus_stop"] <= d["minus_stop"]
-        overlaps = -last["minus_stop"] > d["start"]
-        return (
-            F.when(last.isNull(), F.array(d))
-            .when(inside, kept)
-            .when(overlaps & (last["place"] <= d["place"]), kept)
-            .when(overlaps, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(d)))
-            .otherwise(F.concat(kept, F.array(d)))
+        clash = F.exists(kept, lambda k: (k["start"] < -d["minus_stop"]) & (d["start"] < -k["minus_stop"]) & (_contains(k, d) | ~_contains(d, k)))
+        return F.when(clash, kept).otherwise(F.concat(F.filter(kept, lambda k: ~_contains(d, k)), F.array(d)))
+
+    by_place = F.array_sort(F.transform(cluster, lambda d: F.struct(d["place"].alias("place"), d["start"].alias("start"), d.alias("d"))))
+    return F.array_sort(F.aggregate(F.transform(by_place, lambda x: x["d"]), F.array().cast(_KEPT), step))
+
+
+def suppressed(detections: Column) -> Column:
+    """Kept detections, by start. Detections that touch one another, directly or through others, are a cluster, settled by itself,
+    so the work grows with the square of a cluster and not of a text."""
+    none = F.array().cast(_KEPT)
+    state = F.struct(F.lit(-1).alias("reach"), none.alias("open"), none.alias("out"))
+
+    def step(s: Column, d: Column) -> Column:
+        apart, stop = d["start"] >= s["reach"], -d["minus_stop"]
+        return F.struct(
+            F.when(apart, stop).otherwise(F.greatest(s["reach"], stop)).alias("reach"),
+            F.when(apart, F.array(d)).otherwise(F.concat(s["open"], F.array(d))).alias("open"),
+            F.when(apart, F.concat(s["out"], F.when(F.size(s["open"]) < 2, s["open"]).otherwise(_settled(s["open"])))).otherwise(s["out"]).alias("out"),
         )
 
-    return F.aggregate(F.array_sort(detections), F.array().cast(_KEPT), step)
+    return F.aggregate(F.array_sort(detections), state, step, lambda s: F.concat(s["out"], _settled(s["open"])))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
