@@ -7,8 +7,10 @@ Documents are dealt into shards by ranges of doc_id, sorted inside a shard, and
     shard-00000.docs   Elias-Fano: doc_id less the shard's smallest doc_id (n numbers)
 
 Elias-Fano keeps n ascending numbers below u in about 2 + log2(u / n) bits each: the low bits as they are, the high bits as
-gaps in unary; every 256th set bit's place is kept, so ``select`` finds a number without decoding those before it. A task
-writes to a name of its own and renames, so repeated tasks do no harm. The manifest has one row a shard.
+gaps in unary; every 256th set bit's place is kept, in as many bits as it needs, so ``select`` finds numbers without decoding
+those before them; no file and no reader has a table of 64-bit numbers for all documents. A task
+writes to a name of its own and renames, so repeated tasks do no harm. The manifest has one row a shard,
+with the size of an id.
 
 Defined results: null and empty texts consist of the end id; null doc_ids come first, before all others; rows of the same
 doc_id are in the order of their ids' bytes; an empty table writes no shard and reads as empty; other columns are not read.
@@ -30,65 +32,73 @@ from pyspark.sql import functions as F
 
 from .common import fresh_dir, partitions
 
-MAGIC = b"EF01"
+MAGIC = b"EF02"
+_HEAD = "<QBBQQQ"
 EVERY = 256
 END_ID = 2
 _MEMO = 400_000
 
 
+def pack(values: np.ndarray, width: int) -> bytes:
+    """Numbers below 2 ** width in so many bits each."""
+    if not width:
+        return b""
+    return np.packbits(((np.asarray(values, np.int64)[:, None] >> np.arange(width)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
+def unpack(data: bytes, width: int, first: int, count: int) -> np.ndarray:
+    if not width:
+        return np.zeros(count, np.int64)
+    a, b = first * width, (first + count) * width
+    bits = np.unpackbits(np.frombuffer(data, np.uint8)[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a]
+    return bits.reshape(count, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+
+
 class EliasFano:
     """A non-decreasing sequence of numbers from 0."""
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
-        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, place_bits: int, places: bytes):
+        self.n, self.low_bits, self.low, self.high, self.place_bits, self.places = n, low_bits, low, high, place_bits, places
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.int64)
         n, top = len(v), int(v[-1]) + 1 if len(v) else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = np.packbits(((v[:, None] >> np.arange(bits)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes() if bits else b""
         places = (v >> bits) + np.arange(n)
         marks = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         marks[places] = 1
-        return cls(n, bits, low, np.packbits(marks, bitorder="little").tobytes(), places[::EVERY].astype(np.int64))
-
-    def _low(self, first: int, count: int) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(count, np.int64)
-        a, b = first * self.low_bits, (first + count) * self.low_bits
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8)[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a]
-        return bits.reshape(count, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-
-    def decode(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return ((places - np.arange(self.n)) << self.low_bits) + self._low(0, self.n)
-
-    def select(self, i: int) -> int:
-        """The i-th number, from 0."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        start, left = int(self.samples[i // EVERY]), i % EVERY
-        high, byte = np.frombuffer(self.high, np.uint8), start // 8
-        skip = start % 8
-        while True:
-            bits = np.unpackbits(high[byte : byte + 64], bitorder="little")
-            bits[:skip] = 0
-            places = np.flatnonzero(bits)
-            if left < len(places):
-                return int(((byte * 8 + places[left] - i) << self.low_bits) + self._low(i, 1)[0])
-            left, byte, skip = left - len(places), byte + 64, 0
+        width = len(marks).bit_length()
+        return cls(n, bits, pack(v, bits), np.packbits(marks, bitorder="little").tobytes(), width, pack(places[::EVERY], width))
+
+    def select(self, first: int, count: int = 1) -> np.ndarray:
+        """The numbers first, first + 1, ..., from 0, without those before: from the kept place of the last one before that has
+        one, the set bits are counted on."""
+        if not 0 <= first <= first + count <= self.n:
+            raise IndexError(first)
+        if not count:
+            return np.zeros(0, np.int64)
+        start, skip = int(unpack(self.places, self.place_bits, first // EVERY, 1)[0]), first % EVERY
+        high, byte, found, have = np.frombuffer(self.high, np.uint8), start // 8, [], 0
+        ahead = 64 + (skip + count) // 2
+        while have < skip + count:
+            places = np.flatnonzero(np.unpackbits(high[byte : byte + ahead], bitorder="little")) + byte * 8
+            places = places[places >= start]
+            found.append(places)
+            have, byte = have + len(places), byte + ahead
+        places = np.concatenate(found)[skip : skip + count]
+        return ((places - np.arange(first, first + count)) << self.low_bits) + unpack(self.low, self.low_bits, first, count)
 
     def dumps(self) -> bytes:
-        return MAGIC + struct.pack("<QBQQQ", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low + self.high + self.samples.astype("<i8").tobytes()
+        return MAGIC + struct.pack(_HEAD, self.n, self.low_bits, self.place_bits, len(self.low), len(self.high), len(self.places)) + self.low + self.high + self.places
 
     @classmethod
     def loads(cls, data: bytes) -> EliasFano:
         if data[:4] != MAGIC:
             raise ValueError("not an Elias-Fano file")
-        n, bits, low, high, samples = struct.unpack_from("<QBQQQ", data, 4)
-        at = 4 + struct.calcsize("<QBQQQ")
-        return cls(n, bits, data[at : at + low], data[at + low : at + low + high], np.frombuffer(data, "<i8", samples, at + low + high))
+        n, bits, width, low, high, places = struct.unpack_from(_HEAD, data, 4)
+        at = 4 + struct.calcsize(_HEAD)
+        return cls(n, bits, data[at : at + low], data[at + low : at + low + high], width, data[at + low + high : at + low + high + places])
 
 
 #: Letters and marks for which normalizing and splitting by the vocabulary's pattern are plain: a run of either is one
@@ -169,7 +179,7 @@ def _encoder(path: str) -> WordEncoder:
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): the ids' bytes, end id included."""
+    """(doc_id, ids, id_bytes): the ids' bytes, end id included, and the size of one: 2 where the vocabulary allows, else 4."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +189,14 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID, key: str =
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 texts = part.column(1).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.encode(x) + end for x in texts], pa.binary())], ["doc_id", "ids"])
+                size = pa.array([coder.kind.itemsize] * part.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([coder.encode(x) + end for x in texts], pa.binary()), size], ["doc_id", "ids", "id_bytes"])
 
-    return rows.mapInArrow(work, "doc_id bigint, ids binary")
+    return rows.mapInArrow(work, "doc_id bigint, ids binary, id_bytes int")
 
 
-def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, id_bytes: int = 2) -> DataFrame:
-    """Writes the shards below ``path`` (a URI) and returns the manifest: (shard, path, first_doc, n_nulls, n_docs, n_ids)."""
+def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> DataFrame:
+    """Writes the shards below ``path`` (a URI) and returns the manifest: (shard, name, first_doc, n_nulls, n_docs, n_ids, id_bytes)."""
     spark = docs.sparkSession
     n = partitions(spark)
     found = docs.agg(F.percentile_approx(F.col("doc_id").cast("bigint"), [k / n for k in range(1, n)], 20 * n).alias("q")).first().q if n > 1 else None
@@ -197,7 +208,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        now, stream, mine, rows = None, None, uuid.uuid4().hex, []
+        now, stream, mine, rows, width = None, None, uuid.uuid4().hex, [], 2
 
         def close():
             stream.close()
@@ -209,12 +220,12 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
                     out.write(EliasFano.encode(values).dumps())
             for suffix in ("ids", "ends", "docs"):
                 fs.move(f"{name}.{suffix}.{mine}", f"{name}.{suffix}")
-            rows.append((now, f"shard-{now:05d}", first, len(keys) - len(known), len(keys), int(sum(sizes))))
+            rows.append((now, f"shard-{now:05d}", first, len(keys) - len(known), len(keys), int(sum(sizes)), width))
 
         keys: list = []
         sizes: list = []
         for batch in batches:
-            for s, d, data in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for s, d, data, width in zip(batch.column(3).to_pylist(), batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 if s != now:
                     if stream is not None:
                         close()
@@ -223,20 +234,20 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
                 raw = data.as_buffer()
                 stream.write(raw)
                 keys.append(d)
-                sizes.append(raw.size // id_bytes)
+                sizes.append(raw.size // width)
         if stream is not None:
             close()
-        names = ["shard", "name", "first_doc", "n_nulls", "n_docs", "n_ids"]
+        names = ["shard", "name", "first_doc", "n_nulls", "n_docs", "n_ids", "id_bytes"]
         if rows:
             yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.string() if c == "name" else pa.int64()) for k, c in enumerate(names)})
 
-    manifest = dealt.mapInArrow(work, "shard bigint, name string, first_doc bigint, n_nulls bigint, n_docs bigint, n_ids bigint")
+    manifest = dealt.mapInArrow(work, "shard bigint, name string, first_doc bigint, n_nulls bigint, n_docs bigint, n_ids bigint, id_bytes bigint")
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
-def read_token_files(manifest: DataFrame, path: str, id_bytes: int = 2) -> DataFrame:
-    """(doc_id, start, ids): from the files, each task a shard at a time. ids are little-endian unsigned 32-bit integers.
+def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
+    """(doc_id, start, ids): from the files, each task a shard at a time, 256 documents by one ``select`` of each code. ids are little-endian unsigned 32-bit integers.
 
     The manifest has a row for each shard (as many as shuffle partitions), so the shards' own starts are summed at once.
     """
@@ -247,33 +258,33 @@ def read_token_files(manifest: DataFrame, path: str, id_bytes: int = 2) -> DataF
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
-        kind = np.dtype(f"<u{id_bytes}")
         for batch in batches:
             for row in batch.to_pylist():
-                files = {}
+                codes = []
                 for suffix in ("ends", "docs"):
                     with fs.open_input_stream(f"{root}/{row['name']}.{suffix}") as f:
-                        files[suffix] = EliasFano.loads(f.read()).decode()
-                keys = [None] * row["n_nulls"] + (files["docs"] + row["first_doc"]).tolist()
+                        codes.append(EliasFano.loads(f.read()))
+                ends, docs, nulls, size = *codes, row["n_nulls"], row["id_bytes"]
                 with fs.open_input_file(f"{root}/{row['name']}.ids") as f:
-                    for k in range(0, len(keys), 256):
-                        ends = files["ends"][k : k + 257]
-                        data = np.frombuffer(f.read_at(int(ends[-1] - ends[0]) * id_bytes, int(ends[0]) * id_bytes), kind).astype("<u4")
-                        cuts = (ends - ends[0]).tolist()
+                    for k in range(0, row["n_docs"], 256):
+                        n = min(256, row["n_docs"] - k)
+                        at = ends.select(k, n + 1)
+                        data = np.frombuffer(f.read_at(int(at[-1] - at[0]) * size, int(at[0]) * size), f"<u{size}").astype("<u4")
+                        cuts = (at - at[0]).tolist()
                         texts = [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys[k : k + 256], pa.int64()), pa.array((ends[:-1] + row["start"]), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "start", "ids"]
-                        )
+                        known = docs.select(max(0, k - nulls), max(0, k + n - max(k, nulls))) + row["first_doc"]
+                        keys = pa.array([None] * (n - len(known)) + known.tolist(), pa.int64())
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(at[:-1] + row["start"], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "start", "ids"])
 
     return shards.mapInArrow(work, "doc_id bigint, start bigint, ids binary")
 
 
 def find_document(path: str, name: str, i: int, id_bytes: int = 2) -> np.ndarray:
-    """The ids of a shard's i-th document, by two ``select`` calls and one read."""
+    """The ids of a shard's i-th document, by one ``select`` and one read. id_bytes: see the manifest."""
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
     with fs.open_input_stream(f"{root}/{name}.ends") as f:
         ends = EliasFano.loads(f.read())
-    a, b = ends.select(i), ends.select(i + 1)
+    a, b = ends.select(i, 2).tolist()
     with fs.open_input_file(f"{root}/{name}.ids") as f:
         return np.frombuffer(f.read_at((b - a) * id_bytes, a * id_bytes), f"<u{id_bytes}")
 
