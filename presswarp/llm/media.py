@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import Scratch
+
 SIDE = 24  # samples in a row; a block is SIDE * SIDE bytes
 BLOCK = SIDE * SIDE
 BAND = 4096  # rows that are summed at once
@@ -162,6 +164,11 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(work, "doc_id bigint, n_bytes bigint, image binary")
 
 
+def stored_tiles(tiles: DataFrame, image: str = "image") -> DataFrame:
+    """Writes the tiles, with all columns but the image they come from, as a table in the shared folder, and reads it."""
+    return Scratch(tiles.sparkSession, "tiles").put(tiles.drop(image))
+
+
 def tile_digests(tiles: DataFrame) -> DataFrame:
     """Reads NPY tiles back: adds payload_bytes, payload_sha256, tail_crc32; drops the tile."""
     names = tiles.columns

@@ -27,7 +27,7 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = media.media_tiles(media.text_media(_documents(spark, sf_dir)), "image")
-    return media.tile_digests(tiles).withColumnRenamed("dhash", "feature")
+    return media.tile_digests(media.stored_tiles(tiles)).withColumnRenamed("dhash", "feature")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
