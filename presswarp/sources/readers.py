@@ -32,6 +32,15 @@ def feed_items(spark: SparkSession, path: str, row: str = "item") -> DataFrame:
     return feed_text(items.select(collapse(F.col("title")).alias("title"), normalise(F.coalesce("link", "guid")).alias("url"), parse_published(F.col("pubDate")).alias("published"), strip_tags(F.col("description")).alias("text")))
 
 
+def atom_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(title, url, published, excerpt, body) of Atom entries: the first link that leads to the page itself, the content before
+    the summary, the time of publishing before that of the last change."""
+    schema = "title string, link array<struct<_href:string,_rel:string>>, published string, updated string, summary string, content string"
+    entries = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    own = F.try_element_at(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(1))["_href"]
+    return feed_text(entries.select(collapse(F.col("title")).alias("title"), normalise(own).alias("url"), parse_published(F.coalesce("published", "updated")).alias("published"), strip_tags(F.coalesce("content", "summary")).alias("text")))
+
+
 def feed_text(items: DataFrame) -> DataFrame:
     whole = (F.char_length("text") > BODY_ABOVE) & ~is_teaser(F.col("text"))
     return items.withColumn("body", F.when(whole, F.col("text"))).withColumn("excerpt", F.when(~whole, F.col("text"))).drop("text")
@@ -72,11 +81,24 @@ def allowed(url: Column, allow: list[str], deny: list[str], extensions: list[str
     return ok & ~start(deny) & ~url.rlike(f"(?i)\\.(?:{'|'.join(extensions)})(?:\\?|$)")
 
 
+def robots_rules(files: DataFrame, name: str) -> DataFrame:
+    """files: (host, text). (host, prefix, allow, position): the rules of groups for all agents, or for agents whose name has
+    ``name``. The last user-agent line above a rule decides; comments and empty paths are no rules."""
+    lines = files.select("host", F.posexplode(F.split("text", "\r?\n")).alias("position", "line"))
+    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).filter(F.col("line").contains(":"))
+    field, value = F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    lines = lines.select("host", "position", field.alias("field"), value.alias("value"))
+    agent = F.last(F.when(F.col("field") == "user-agent", F.lower("value")), ignorenulls=True)
+    lines = lines.withColumn("agent", agent.over(Window.partitionBy("host").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)))
+    ours = (F.col("agent") == "*") | F.col("agent").contains(name)
+    return lines.filter(ours & F.col("field").isin("allow", "disallow") & (F.col("value") != "")).select("host", F.col("value").alias("prefix"), (F.col("field") == "allow").alias("allow"), "position")
+
+
 def robots_allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """pages: (host, path); rules: (host, prefix, allow). The longest matching prefix decides, allow before disallow; no rule
-    allows. Rules meet only pages of their host."""
+    """pages: (host, path); rules: (host, prefix, allow, position). The longest matching prefix decides, of equal ones the first;
+    no rule allows. Rules meet only pages of their host."""
     hits = pages.select("host", "path").distinct().join(rules, "host").filter(F.col("path").startswith(F.col("prefix")))
-    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("prefix").alias("n"), "allow")).alias("b"))
+    best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("prefix").alias("n"), (-F.col("position")).alias("first"), "allow")).alias("b"))
     return pages.join(best, ["host", "path"], "left").select(*pages.columns, F.coalesce("b.allow", F.lit(True)).alias("allowed"))
 
 

@@ -156,7 +156,7 @@ def test_readers(spark, tmp_path):
     pushed = spark.createDataFrame([(1, 1, "t", "https://e.com/a"), (1, 2, "t", "https://www.e.com/a/"), (1, 3, "", "https://e.com/b"), (1, 4, "t", "no")], "batch int, position int, title string, url string")
     assert {r.position: r.reason for r in readers.pushed_items(pushed).collect()} == {1: None, 2: "duplicate", 3: "no-title", 4: "bad-url"}
     pages = spark.createDataFrame([("h", "/a/b"), ("h", "/a/c"), ("g", "/x")], "host string, path string")
-    rules = spark.createDataFrame([("h", "/a", False), ("h", "/a/b", True)], "host string, prefix string, allow boolean")
+    rules = spark.createDataFrame([("h", "/a", False, 0), ("h", "/a/b", True, 1), ("h", "/a/b", False, 2)], "host string, prefix string, allow boolean, position int")
     assert {(r.host, r.path): r.allowed for r in readers.robots_allowed(pages, rules).collect()} == {("h", "/a/b"): True, ("h", "/a/c"): False, ("g", "/x"): True}
     a, _ = readers.snapshot_if_changed(pages, ["host"], None)
     assert readers.snapshot_if_changed(pages.orderBy("path"), ["host"], a) == (a, False)
