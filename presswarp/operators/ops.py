@@ -34,9 +34,16 @@ def grouping_labels(keys: list[str]) -> list[Column]:
 
 
 def latency_percentiles(calls: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Discrete percentiles: the least value with that share of the values at or below it."""
-    cols = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in shares]
-    return calls.groupBy(*keys).agg(*cols, F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
+    """Discrete percentiles (the least value with that share of the values at or below it) and the median. Equal values are counted
+    before the shuffle, and a key's counts are summed in a sort that can spill, so no task holds a key's values."""
+    each = calls.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows")).withColumn("known", F.when(F.col(value).isNotNull(), F.col("rows")).otherwise(0))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("upto", F.sum("known").over(upto)).withColumn("total", F.sum("known").over(whole))
+    least = lambda at: F.min(F.when(F.col("upto") >= at, F.col(value)))
+    cols = [least(F.ceil(F.col("total") * p)).alias(f"p{round(p * 100)}") for p in shares]
+    median = (least(F.floor((F.col("total") - 1) / 2) + 1) + least(F.ceil((F.col("total") - 1) / 2) + 1)) / 2
+    return each.groupBy(*keys).agg(*cols, median.alias("median"), F.sum("rows").alias("n"))
 
 
 def budgets(calls: DataFrame, at: datetime, limits: dict[str, int]) -> DataFrame:

@@ -58,10 +58,10 @@ def _recall(queries: DataFrame, rows: DataFrame, what: str, scores, least: float
 
 
 def vector_recall(queries: DataFrame, rows: DataFrame, least: float = 0.6, most: int = 10) -> DataFrame:
-    """Recall by the cosine of vectors: see _recall. Null vectors are left out."""
+    """Recall by the cosine of vectors of one length: see _recall. Null vectors are left out."""
 
     def cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
-        x, y = (np.stack([np.asarray(v.values.to_numpy(zero_copy_only=False), np.float64) for v in c]) for c in (a, b))
+        x, y = (c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) for c in (a, b))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
         return x @ y.T
 
