@@ -7,8 +7,6 @@ comparisons are joins and sums in Spark, and only the board's order is solved in
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -162,11 +160,3 @@ def competition(order: list[Column]):
     from pyspark.sql import Window
 
     return F.rank().over(Window.orderBy(*order))
-
-
-def orders_by_force(matrix: np.ndarray) -> Iterator[tuple[float, tuple[int, ...]]]:
-    """Every order with its cost, for tests."""
-    from itertools import permutations
-
-    for order in permutations(range(len(matrix))):
-        yield reversal_cost(matrix, list(order)), order

@@ -1,6 +1,7 @@
 """Functions and operators on small, hand-written rows."""
 
 from datetime import datetime
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -103,7 +104,7 @@ def test_kemeny_is_best_of_all_orders():
         m = rng.normal(size=(n, n))
         m = m - m.T
         order, proven = consensus.best_order(m)
-        assert proven and consensus.reversal_cost(m, order) == pytest.approx(min(c for c, _ in consensus.orders_by_force(m)))
+        assert proven and consensus.reversal_cost(m, order) == pytest.approx(min(c for c, _ in orders_by_force(m)))
     big = np.triu(np.ones((20, 20)), 1)
     order, proven = consensus.best_order(big - big.T)
     assert proven and order == list(range(20))
@@ -162,3 +163,28 @@ def test_readers(spark, tmp_path):
     assert readers.snapshot_if_changed(pages.orderBy("path"), ["host"], a) == (a, False)
     ups = spark.createDataFrame([(1, 1, 3, "d1", ""), (1, 2, 4, None, "u"), (1, 3, 2, None, "h"), (1, 4, 4, None, "v")], "page int, position int, level int, date string, text string")
     assert {r.position: r.dated for r in readers.heading_dates(ups).collect()} == {1: "d1", 2: "d1", 3: None, 4: None}
+
+
+def orders_by_force(matrix):
+    for order in permutations(range(len(matrix))):
+        yield consensus.reversal_cost(matrix, list(order)), order
+
+
+def test_stability_ranges(spark):
+    """Each unit's weight up and down by a fifth and left out, every order by force."""
+    rng = np.random.default_rng(12)
+    names, units = [f"m{m}" for m in range(5)], ["u0", "u1", "u2"]
+    rows = [(u, a, b, float(rng.uniform(-1, 1)), 1.0 + 0.37 * k) for k, u in enumerate(units) for a, b in combinations(names, 2)]
+    pairs = spark.createDataFrame(rows, "unit string, a string, b string, p double, weight double")
+    moved = consensus.kemeny(consensus.scenarios(pairs, units), ["scenario"])
+    got = {r.model: (r.best, r.worst, r.sensitive) for r in consensus.stability(moved, consensus.kemeny(consensus.net_support(pairs))).collect()}
+    ranks = {n: set() for n in names}
+    for unit, factor in [("none", 1.0), *[(u, f) for u in units for f in (0.0, 0.8, 1.2)]]:
+        m = np.zeros((5, 5))
+        for u, a, b, p, w in rows:
+            i, j, value = names.index(a), names.index(b), p * w * (factor if u == unit else 1.0)
+            m[i, j] += value
+            m[j, i] -= value
+        for place, k in enumerate(min(orders_by_force(m))[1]):
+            ranks[names[k]].add(place + 1)
+    assert got == {n: (min(r), max(r), max(r) - min(r) >= 3) for n, r in ranks.items()}
