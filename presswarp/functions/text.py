@@ -7,17 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cleaning
+
 # Patterns and word lists that results depend on.
 CJK = "[\\u4e00-\\u9fff]"
 CJK_WIDE = "[\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff]"
 LATIN = "[A-Za-z\\u00c0-\\u024f]"
 LABEL_ONLY = "^\\*{0,2}(?:title_zh|summary_zh|body_zh)\\*{0,2}\\s*[:：]\\s*$"
 DEICTIC = "本周|本月|今日|今天|昨天|上周|上月|今年|这一年"
-PLACEHOLDER = "\\{\\{[^{}]{1,160}\\}\\}"
 CONSENT = "(?i)我同意|同意并继续|继续浏览即表示您同意|Accept\\s+All|I\\s+Agree|允许所有"
 TEASERS = ("(?i)\\bappeared first on\\b", "(?i)\\bread (?:the )?full (?:story|article)\\b", "(?i)\\bcontinue reading\\b", "(?i)\\bread more\\b", "…\\s*$", "\\[\\s*(?:…|\\.\\.\\.)\\s*\\]\\s*$")
 TEASER_BELOW = 1200
-SEGMENTS = ("版权所有", "Copyright", "未经授权禁止", "凡本网注明", "转载请注明出处", "违法和不良信息举报电话", "All rights reserved", "技术支持")
+ATTRIBUTION = "(?i)(?:…|\\.{3})\\s*This article was originally published on Mongabay\\.?\\s*$"
+FEED_TEASER = "(?i)(?:…|\\.{3})\\s*(?:This article was originally published on Mongabay|本文原发表于\\s*Mongabay)[.。\\s]*$"
+TEASER_HOST = "(?i)^https?://(?:[^/?#]*\\.)?mongabay\\.com(?:[:/?#]|$)"
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"))
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
 STRUCTURED = (
@@ -79,16 +82,7 @@ def infer_language(title: Column, body: Column, sample: int = 2000) -> Column:
 
 def is_teaser(text: Column) -> Column:
     t = F.trim(text)
-    return (F.char_length(t) < TEASER_BELOW) & reduce(lambda a, b: a | b, [t.rlike(p) for p in TEASERS])
-
-
-def strip_boilerplate(text: Column) -> Column:
-    """Without lines and segments of copyright, contact and support phrases, and unrendered placeholders."""
-    words = "|".join(SEGMENTS)
-    out = F.regexp_replace(text, PLACEHOLDER, " ")
-    out = F.regexp_replace(out, f"(?im)^[^\\n]{{0,24}}(?:{words})[^\\n]*$", "")
-    out = F.regexp_replace(out, f"(?i)(?:{words})[^。；;\\n]{{0,120}}", "")
-    return F.trim(F.regexp_replace(out, "\\n{2,}", "\n"))
+    return t.rlike(ATTRIBUTION) | ((F.char_length(t) < TEASER_BELOW) & reduce(lambda a, b: a | b, [t.rlike(p) for p in TEASERS]))
 
 
 def bigrams(text: Column) -> Column:
@@ -104,33 +98,41 @@ def bigram_share(title: Column, body: Column) -> Column:
 
 
 def structured_bulletin(title: Column, body: Column) -> Column:
+    """A short text that is news all the same: pairs of the title's characters (repeated ones count each time), or signs of a bulletin."""
     time, magnitude, announced = (body.rlike(p) for p in STRUCTURED)
     event = body.rlike(PLACE) & body.rlike(WEATHER)
-    pairs = bigrams(title)
-    hits = F.size(F.filter(pairs, lambda p: F.contains(body, p)))
-    by_title = (F.char_length(title) >= 6) & (hits >= F.greatest(F.lit(2), F.floor((F.char_length(title) - 1) * 0.2)))
+    n = F.char_length(title)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.substring(title, k, F.lit(2)))
+    by_title = (n >= 6) & (F.size(F.filter(pairs, lambda p: F.contains(body, p))) >= F.greatest(F.lit(2), F.floor((n - 1) * 0.2)))
     return F.coalesce(by_title, F.lit(False)) | (time & event) | magnitude | announced
 
 
-def with_quality(rows: DataFrame, title: str, text: str) -> DataFrame:
-    """Adds ``reasons``: why a body is defective, in order; an empty array if it is not.
+def with_quality(rows: DataFrame, title: str, text: str, url: str | None = None, html: str | None = None) -> DataFrame:
+    """Adds ``reasons``: why a body is defective, in order; an empty array if it is not. A null text counts as an empty one, without
+    an address or HTML the rules that look at them name nothing.
 
     Step by step, so that the cleaned text is made once and not once for every rule that looks at it.
     """
-    t = F.col(title)
-    out = rows.withColumn("__clean", strip_boilerplate(F.col(text)))
-    out = out.withColumn("__real", F.char_length(F.regexp_replace("__clean", "\\s+", ""))).withColumn("__shell", count_of(F.col(text), PLACEHOLDER) >= 3)
+    t, raw = F.col(title), F.coalesce(F.col(text), F.lit(""))
+    where, page = (F.coalesce(F.col(c), F.lit("")) if c else F.lit("") for c in (url, html))
+    out = rows.withColumn("__clean", cleaning.strip_boilerplate(raw))
+    out = out.withColumn("__clean", cleaning.strip_consent_wall(cleaning.strip_reader_chrome(F.col("__clean"))))
+    out = out.withColumn("__real", F.char_length(cleaning.cut(F.col("__clean"), r"\s+"))).withColumn("__shell", cleaning.template_shell(raw))
     clean, real, shell = F.col("__clean"), F.col("__real"), F.col("__shell")
     # only bodies of such a length need the dearer looks
     out = out.withColumn("__bulletin", F.when(real < 80, structured_bulletin(t, clean)).otherwise(F.lit(False)))
     apart = F.when((F.char_length(t) >= 8) & (real >= 80) & (has_chinese(t) == has_chinese(clean)), bigram_share(t, clean) < 0.15).otherwise(F.lit(False))
     out = out.withColumn("__short", ~shell & ((real < 20) | ((real < 80) & ~F.col("__bulletin")))).withColumn("__apart", apart)
+    cited = cleaning.has(F.regexp_replace(clean, "(?i)^References\\s*:?\\s*", ""), cleaning.CITATION) & (count_of(clean, "doi\\.org/") >= 3)
     reasons = F.array_compact(
         F.array(
             F.when(shell, "template-shell"),
-            F.when(F.substring(F.col(text), 1, 200).rlike(CONSENT), "consent-wall-only"),
+            F.when(cleaning.has(raw, cleaning.READER_TRACES), "reader-chrome-contamination"),
+            F.when(F.substring(raw, 1, 200).rlike(CONSENT), "consent-wall-only"),
             F.when(F.col("__short"), "too-short"),
             F.when(F.col("__apart"), "title-body-mismatch"),
+            F.when(where.rlike(TEASER_HOST) & raw.rlike(FEED_TEASER), "source-feed-teaser"),
+            F.when(where.rlike(cleaning.SCIENCE_HOST) & cited & ~page.rlike(cleaning.NARRATIVE), "source-references-only"),
             F.when((real < 60) & ~F.col("__short") & ~((real >= 20) & F.col("__bulletin")), "boilerplate-only"),
         )
     )

@@ -49,7 +49,7 @@ def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.when(F.size("reasons") > 0, "defect").otherwise("ok").alias("status"), F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(r"""SELECT doc_id, length(trim(text)) < 1200 AND (regexp_matches(trim(text), '(?i)\bappeared first on\b') OR regexp_matches(trim(text), '(?i)\bread (?:the )?full (?:story|article)\b') OR regexp_matches(trim(text), '(?i)\bcontinue reading\b')
+@query(r"""SELECT doc_id, regexp_matches(trim(text), '(?i)(?:…|\.{3})\s*This article was originally published on Mongabay\.?\s*$') OR length(trim(text)) < 1200 AND (regexp_matches(trim(text), '(?i)\bappeared first on\b') OR regexp_matches(trim(text), '(?i)\bread (?:the )?full (?:story|article)\b') OR regexp_matches(trim(text), '(?i)\bcontinue reading\b')
     OR regexp_matches(trim(text), '(?i)\bread more\b') OR regexp_matches(trim(text), '…\s*$') OR regexp_matches(trim(text), '\[\s*(?:…|\.\.\.)\s*\]\s*$')) AS teaser FROM documents""")
 def teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.is_teaser(F.col("text")).alias("teaser"))
