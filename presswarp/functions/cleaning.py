@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 # Patterns, written with the blanks and word bounds of ECMAScript (see ``pattern``).
 BOILERPLATE_LINE = r"(?i)^\s*(?:【?(?:版权|免责|声明|免责声明)】?|(?:国家|本站)?[^\n]{0,24}版权所有|Copyright\b|©\s*\d{4}|.*未经授权(?:禁止|不得).+|凡本网注明.*|转载请注明出处|ICP备\d+[^\n]{0,12}号|违法和不良信息举报电话[^\n]*|网站简介|联系我们|关于我们|技术支持[：:][^\n]*|主办[：:][^\n]*|承办[：:][^\n]*|All rights reserved)\b.*$"
 BOILERPLATE_SEGMENT = r"(?i)[^。；;\n]{0,40}版权所有[^。；;\n]{0,120}|Copyright[^。；;\n]{0,120}|未经授权(?:禁止|不得)[^。；;\n]{0,60}|凡本网注明[^。；;\n]{0,120}|转载请注明出处|ICP[备证]\d+[^\n]{0,16}号|违法和不良信息举报电话[^\n]{0,24}|All rights reserved|【?免责声明】?[^\n]{0,60}|技术支持[：:][^\n]{0,40}"
+LINE_SIGN = "(?i)版权|免责|声明|Copyright|©|未经授权|凡本网注明|转载请注明出处|ICP备|违法和不良信息|网站简介|联系我们|关于我们|技术支持|主办|承办|All rights reserved"
+SEGMENT_SIGN = "(?i)版权所有|Copyright|未经授权|凡本网注明|转载请注明出处|ICP[备证]|违法和不良信息举报电话|All rights reserved|免责声明|技术支持"
+CHROME_SIGN = "【|[大小]字体|责任编辑"
 CHROME_SEGMENT = r"【(?:编辑|责编|排版|校对)[：:][^】]{1,20}】|(?<!\S)大字体\s*小字体(?!\S)|(?<!\S)[大小]字体(?!\S)|责任编辑[：:]\s?[^\s，。；、：]{1,8}(?!\S)"
 CHROME_LEAD = r"^\d{4}年\d{1,2}月\d{1,2}日\s*\d{1,2}[:：]\d{2}(?:[:：]\d{2})?\s*来源[：:]\s*(?:[^\s，。；、：]{1,16}(?=[\s　])|\s*$)\s*"
 CHROME_TAIL = r"[（(]\s*(?:完|全文完)\s*[)）]\s*$"
@@ -42,6 +46,7 @@ NARRATIVE = r"(?is)<h[2-5]\b[^>]*>(?:(?!</h[2-5]>).)*(?:Abstract|Introduction|Me
 #: End of fixed values.
 
 _BLANKS = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _BOUND = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
@@ -70,16 +75,27 @@ def cut(text: Column, expression: str, by: str = "") -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return cut(text, r"^\s+|(?<!\s)\s+\z")
+    return F.trim(text, F.lit(BLANKS))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is looked at."""
+    return F.transform(F.array(value), use)[0]
+
+
+def cut_where(text: Column, sign: str, expression: str, by: str = " ") -> Column:
+    """``cut`` in texts that have a sign without which the expression can't match; others pass untouched."""
+    return once(text, lambda t: F.when(t.rlike(sign), cut(t, expression, by)).otherwise(t))
 
 
 def strip_boilerplate(text: Column) -> Column:
     """Without footers (whole lines, then segments), the chrome of news pages, placeholders and marks of downloads."""
-    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (x != "") & ~has(x, BOILERPLATE_LINE))
-    out = F.array_join(lines, "\n")
-    for segment in (BOILERPLATE_SEGMENT, CHROME_SEGMENT, PLACEHOLDER, PDF_MARK):
-        out = cut(out, segment, " ")
-    out = cut(cut(out, CHROME_LEAD), CHROME_TAIL)
+    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (x != "") & ~(x.rlike(LINE_SIGN) & has(x, BOILERPLATE_LINE)))
+    # these segments end with their line, so only lines that have a sign of one are looked through
+    out = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(SEGMENT_SIGN), cut(x, BOILERPLATE_SEGMENT, " ")).otherwise(x)), "\n")
+    for sign, segment in ((CHROME_SIGN, CHROME_SEGMENT), ("\\{\\{", PLACEHOLDER), ("(?i)PDF\\(", PDF_MARK)):
+        out = cut_where(out, sign, segment)
+    out = cut_where(cut(out, CHROME_LEAD), "完", CHROME_TAIL, "")
     return trimmed(cut(cut(out, r"\n{3,}", "\n\n"), "[ \t]{2,}", " "))
 
 
@@ -90,14 +106,18 @@ def strip_truncated_tail(text: Column) -> Column:
 
 def strip_reader_chrome(text: Column) -> Column:
     """Without the buttons of reading tools; times and sizes inside sentences stay."""
-    return trimmed(cut(cut(cut(text, READER_CHROME, " "), "[|｜]{2,}", " | "), "[ \t]{2,}", " "))
+    return trimmed(cut(cut(cut_where(text, "[|｜]|Aa", READER_CHROME), "[|｜]{2,}", " | "), "[ \t]{2,}", " "))
 
 
 def strip_consent_wall(text: Column) -> Column:
     """Without a consent wall in the first characters; these go as a whole if the wall is nearly all there is."""
-    head, rest = F.substring(text, 1, CONSENT_HEAD), F.substring(text, CONSENT_HEAD + 1, 1 << 30)
-    left = trimmed(cut(head, CONSENT_WALL))
-    return F.when((F.char_length(left) < 20) & (F.char_length(head) > 200), trimmed(rest)).otherwise(F.concat(left, rest))
+
+    def without(t: Column) -> Column:
+        head, rest = F.substring(t, 1, CONSENT_HEAD), F.substring(t, CONSENT_HEAD + 1, 1 << 30)
+        left = trimmed(cut_where(head, "(?i)cookie", CONSENT_WALL, ""))
+        return once(left, lambda x: F.when((F.char_length(x) < 20) & (F.char_length(head) > 200), trimmed(rest)).otherwise(F.concat(x, rest)))
+
+    return once(text, without)
 
 
 def boilerplate_hint(text: Column) -> Column:
@@ -139,7 +159,10 @@ def announces_list(tail: Column) -> Column:
 def close_sentence(text: Column) -> Column:
     """A summary that ends with a whole sentence: a separator at the end becomes a stop (an ellipsis in a list), else the text is
     cut after its last sentence, else after its last clause if that is long enough."""
-    t = trimmed(text)
+    return once(trimmed(text), _closed)
+
+
+def _closed(t: Column) -> Column:
     bare = cut(t, r"(?<![，、；：,;:\s])[，、；：,;:\s]+\z")
     listed = has(t, r"[：:]\z") | announces_list(F.regexp_extract(bare, r"([^。！？…]*)\z", 1))
     clause = F.regexp_extract(t, r"(?s)^(.*)[，、；：,;:]", 1)
@@ -165,7 +188,10 @@ def _packed(parts: Column, spare: int) -> Column:
 
 def compact_summary(text: Column) -> Column:
     """A summary of at most 190 characters: whole sentences, else whole clauses, else the text as it is."""
-    t = cut(trimmed(text), r"\s*\n\s*", " ")
+    return once(cut(trimmed(text), r"\s*\n\s*", " "), _compact)
+
+
+def _compact(t: Column) -> Column:
     sentences = _packed(F.regexp_extract_all(t, F.lit("[^。！？!?]+[。！？!?]?"), F.lit(0)), 0)
     clauses = _packed(F.regexp_extract_all(t, F.lit("[^，；：、,;:]+[，；：、,;:]?"), F.lit(0)), 1)
     return (

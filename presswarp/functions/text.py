@@ -127,7 +127,7 @@ def with_quality(rows: DataFrame, title: str, text: str, url: str | None = None,
     reasons = F.array_compact(
         F.array(
             F.when(shell, "template-shell"),
-            F.when(cleaning.has(raw, cleaning.READER_TRACES), "reader-chrome-contamination"),
+            F.when(raw.rlike("字[体号]") & cleaning.has(raw, cleaning.READER_TRACES), "reader-chrome-contamination"),
             F.when(F.substring(raw, 1, 200).rlike(CONSENT), "consent-wall-only"),
             F.when(F.col("__short"), "too-short"),
             F.when(F.col("__apart"), "title-body-mismatch"),

@@ -20,8 +20,8 @@ def boilerplate_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with a footer and a line of a news page added, cleaned again. Bounds that look around have no SQL in DuckDB."""
     d = table(spark, sf_dir, "documents")
     dirty = F.concat(F.lit("2024年1月30日 12:00 来源：新华社 "), "text", F.lit(" PDF(12 KB) \n© 2024 All\n版权所有 news。end （完）"))
-    walled = cl.strip_consent_wall(cl.strip_reader_chrome(cl.strip_boilerplate(dirty)))
-    return d.select("doc_id", F.char_length(walled).alias("n"), F.md5(walled).alias("digest"), cl.boilerplate_body(dirty).alias("none"), cl.boilerplate_hint(F.col("text")).alias("hint"))
+    clean = cl.once(cl.strip_consent_wall(cl.strip_reader_chrome(cl.strip_boilerplate(dirty))), lambda x: F.struct(F.char_length(x).alias("n"), F.md5(x).alias("digest")))
+    return d.select("doc_id", clean.alias("x"), cl.boilerplate_hint(F.col("text")).alias("hint")).select("doc_id", "x.*", "hint")
 
 
 @query(r"""WITH d AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' ⟦G12⟧' WHEN 1 THEN ' ' || repeat(chr(92) || 'u00e9', 4) WHEN 2 THEN chr(65533) || chr(7) WHEN 3 THEN chr(7) ELSE '' END AS t FROM documents)
