@@ -52,10 +52,16 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not (0 < top < 65536 and w and h):
         raise ValueError("no samples, or no largest value from 1 to 65535")
     n = w * h * (3 if kind in (3, 6) else 1)
+    if n > len(data):  # not even a byte for each sample
+        raise ValueError("fewer samples than the header says")
     if kind in (5, 6):
         image = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, m.end())
     else:
-        image = np.array(data[m.end() :].split()[:n], np.uint16)
+        image = np.array([int(x) for x in data[m.end() :].split()[:n]])
+        if len(image) < n:
+            raise ValueError("fewer samples than the header says")
+    if image.min() < 0 or image.max() > top:
+        raise ValueError("a sample below 0 or above the largest value")
     image = image if top == 255 else np.rint(image.astype(np.float64) * 255 / top)
     return image.astype(np.uint8, copy=False).reshape((h, w, 3) if kind in (3, 6) else (h, w))
 
@@ -65,6 +71,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM" or packed or bits not in (8, 24, 32):
         raise ValueError("not an uncompressed BMP of 8, 24 or 32 bits")
     row, high = -(-w * bits // 32) * 4, abs(h)
+    if w <= 0 or not high or row * high > len(data):
+        raise ValueError("no samples, or fewer than the header says")
     body = np.frombuffer(data, np.uint8, row * high, start).reshape(high, row)[:, : w * bits // 8]
     body = body[::-1] if h > 0 else body
     if bits == 8:
@@ -138,7 +146,7 @@ def media_tiles(df: DataFrame, image: str, height: int = 0, width: int = 0) -> D
                         pixels = decode(data.as_py())
                         hashes.append(difference_hash(pixels))
                         tiles.append(npy_bytes(np.rint(area_resize(gray(pixels), height, width)).astype(np.uint8) if height else pixels))
-                    except (ValueError, TypeError, struct.error, IndexError):
+                    except (ValueError, TypeError, OverflowError, struct.error, IndexError):
                         hashes = hashes[: len(tiles)] + [None]
                         tiles.append(None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tiles, pa.binary()), pa.array(hashes, pa.string())], [*names, "tile", "dhash"])
