@@ -180,18 +180,46 @@ def rule_table() -> Column:
     return F.array(*[F.struct(F.lit(k).alias("place"), F.lit(x.keyword).alias("keyword"), F.lit(f"(?<= )(?:{x.regex})(?= )").alias("regex"), F.lit(x.label).alias("label"), F.lit(x.strength).alias("strength")) for k, x in enumerate(license_rules())])
 
 
+def bound(value: Column, f) -> Column:
+    """f of the value, which is evaluated once however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """The running sums (or maxima: join is associative) of an array of whole numbers. Blocks of about the root of its length are
+    summed one by one and moved by what stands before them, so the copies that ``aggregate`` makes stay few."""
+
+    def plain(numbers: Column) -> Column:
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
+
+        def step(s: Column, x: Column) -> Column:
+            now = F.when(s["last"].isNull(), x).otherwise(join(s["last"], x))
+            return F.struct(now.alias("last"), F.concat(s["out"], F.array(now)).alias("out"))
+
+        return F.aggregate(numbers, start, step)["out"]
+
+    def blocks(numbers: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(numbers))), F.lit(1)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / width).cast("int")), lambda b: plain(F.slice(numbers, b * width + 1, width)))
+        return F.when(F.size(numbers) > 0, bound(cut, moved)).otherwise(F.array().cast("array<int>"))
+
+    def moved(own: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("int")), plain(F.transform(own, lambda o: F.element_at(o, -1))))
+        return F.flatten(F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), lambda o, at: F.when(at.isNull(), o).otherwise(F.transform(o, lambda x: join(at, x)))))
+
+    return bound(values, blocks)
+
+
 def matches(flat: Column, rule: Column) -> Column:
-    """The rule's matches as (start, stop, place, label, strength), positions from 0 in the reduced text."""
-    between = F.split(flat, rule["regex"])
-    found = F.regexp_extract_all(flat, rule["regex"], F.lit(0))
-    lengths = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct((s["at"] + x["gap"] + x["hit"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["hit"]).alias("stop")))).alias("out")),
-    )["out"]
-    return F.transform(placed, lambda i: F.struct(i["start"].alias("start"), (-i["stop"]).alias("minus_stop"), rule["place"].alias("place"), rule["label"].alias("label"), rule["strength"].alias("strength")))
+    """The rule's matches as (start, minus_stop, place, label, strength), positions from 0 in the reduced text."""
+    hits = F.transform(F.regexp_extract_all(flat, rule["regex"], F.lit(0)), F.length)
+
+    def placed(x: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(flat, rule["regex"]), F.length), F.lit(1), F.size(x))
+        stops = running(F.zip_with(gaps, x, lambda gap, hit: gap + hit), lambda a, b: a + b)
+        return F.zip_with(stops, x, lambda stop, hit: F.struct((stop - hit).alias("start"), (-stop).alias("minus_stop"), rule["place"].alias("place"), rule["label"].alias("label"), rule["strength"].alias("strength")))
+
+    return bound(hits, placed)
 
 
 _KEPT = "array<struct<start:int,minus_stop:int,place:int,label:string,strength:double>>"
@@ -213,20 +241,26 @@ def _settled(cluster: Column) -> Column:
 
 
 def suppressed(detections: Column) -> Column:
-    """Kept detections, by start. Detections that touch one another, directly or through others, are a cluster, settled by itself,
-    so the work grows with the square of a cluster and not of a text."""
-    none = F.array().cast(_KEPT)
-    state = F.struct(F.lit(-1).alias("reach"), none.alias("open"), none.alias("out"))
-
-    def step(s: Column, d: Column) -> Column:
-        apart, stop = d["start"] >= s["reach"], -d["minus_stop"]
-        return F.struct(
-            F.when(apart, stop).otherwise(F.greatest(s["reach"], stop)).alias("reach"),
-            F.when(apart, F.array(d)).otherwise(F.concat(s["open"], F.array(d))).alias("open"),
-            F.when(apart, F.concat(s["out"], F.when(F.size(s["open"]) < 2, s["open"]).otherwise(_settled(s["open"])))).otherwise(s["out"]).alias("out"),
-        )
-
-    return F.aggregate(F.array_sort(detections), state, step, lambda s: F.concat(s["out"], _settled(s["open"])))
+    """Kept detections, by start. Detections that touch one another, directly or through others, are a cluster, settled by itself:
+    the work grows with the square of a cluster, and with the power 1.5 of what a text has."""
+
+    def clusters(d: Column) -> Column:
+        def cut(reach: Column) -> Column:
+            # a cluster begins where all before have ended
+            opens = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (F.get(d, i)["start"] >= F.get(reach, i - 1)))
+
+            def settle(o: Column) -> Column:
+                ends = F.concat(F.slice(o, F.lit(2), F.size(o)), F.array(F.size(d)))
+                # not slice(d, ...), which copies all of d each time
+                own = lambda a, b: F.transform(F.sequence(a, b - 1), lambda i: F.get(d, i))
+                each = F.zip_with(o, ends, lambda a, b: F.when(b - a == 1, own(a, b)).otherwise(_settled(own(a, b))))
+                return F.flatten(each)
+
+            return bound(opens, settle)
+
+        return F.when(F.size(d) > 0, bound(running(F.transform(d, lambda x: -x["minus_stop"]), F.greatest), cut)).otherwise(F.array().cast(_KEPT))
+
+    return bound(F.array_sort(detections), clusters)
 
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
