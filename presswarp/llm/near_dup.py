@@ -19,8 +19,9 @@ Every similar pair shares a bucket but for chance: at a similarity of 0.75, (1 -
 
 Defined results: documents without words (null and empty texts too) are linked with nothing and are kept; a null doc_id
 stands for no node: such a row takes the component of the other rows with its set, if there are any, and is then not kept,
-else its component is null and it is kept; rows with the same doc_id are one node; an empty table gives an empty result;
-other columns are not read.
+else its component is null and it is kept; rows with the same doc_id are one node, whatever their texts: their sets are
+linked, and a row of theirs without words has their component; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -246,6 +247,16 @@ def unsettled(entries: DataFrame, components_now: DataFrame | None) -> DataFrame
     return entries.join(several, "bucket")
 
 
+def one_node(found: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """doc_ids that stand for several sets (or for one and for rows without words), and the links from each to its sets' representatives."""
+    by_id = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi"), F.count("set_id").alias("worded"), F.count(F.lit(1)).alias("rows"))
+    several = scratch.put(by_id.filter("lo <> hi or worded > 0 and worded < rows").select("doc_id"))
+    if not several.take(1):
+        return None, None
+    own = found.filter("set_id is not null").join(several, "doc_id").select("doc_id", "set_id").distinct()
+    return several, scratch.put(own.join(classes.select("set_id", "rep"), "set_id").filter("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct())
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, set_id, n_shingles, component_id, kept) for each document."""
     scratch = Scratch(docs.sparkSession, "near-dup")
@@ -278,15 +289,24 @@ def judged(docs: DataFrame) -> DataFrame:
         pairs = scratch.put(rare_pairs(sets, open_now, scratch).join(tested, ["a", "b"], "left_anti"))
         new = scratch.put(confirmed(pairs, docs, sets))
         if new.take(1):
-            components_now = components(new if links is None else links.unionByName(new), scratch)
+            links = new if links is None else links.unionByName(new)
+            components_now = components(links, scratch)
+    several, same = one_node(found, classes, scratch)
+    if same is not None:
+        components_now = components(same if links is None else links.unionByName(same), scratch)
     labels = classes.select("set_id", "rep")
     if components_now is not None:
         labels = labels.join(components_now, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     else:
         labels = labels.select("set_id", F.col("rep").alias("component_id"))
     labels = scratch.put(labels)
-    scratch.drop(*[frame for frame, _ in scratch.tables if frame is not found and frame is not labels])
     out = found.select("doc_id", "n_shingles", "set_id").join(labels, "set_id", "left")
+    if same is not None:  # rows without words whose doc_id has words elsewhere
+        nodes = scratch.put(several.join(components_now, F.col("doc_id") == F.col("node")).select("node", F.col("component").alias("node_component")))
+        out = out.join(nodes, F.col("set_id").isNull() & (F.col("doc_id") == F.col("node")), "left").withColumn("component_id", F.coalesce("component_id", "node_component"))
+        scratch.drop(*[frame for frame, _ in scratch.tables if frame is not found and frame is not labels and frame is not nodes])
+    else:
+        scratch.drop(*[frame for frame, _ in scratch.tables if frame is not found and frame is not labels])
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "set_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
