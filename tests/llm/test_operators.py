@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -176,9 +177,17 @@ def test_images():
 
 
 def test_undecodable_media(spark):
-    df = spark.createDataFrame([(1, bytearray(b"junk")), (2, None), (3, bytearray(media.encode_pgm(bytes(24 * 24), 24))), (4, bytearray(b"P5 2 2 0 abcd")), (5, bytearray(b"P5 0 2 255 "))], "k int, image binary")
-    got = {r.k: (r.tile is None, r.dhash) for r in media.media_tiles(df, "image", 4, 4).collect()}
-    assert got[1] == got[2] == got[4] == got[5] == (True, None) and got[3] == (False, "0" * 16)
+    good = [media.encode_pgm(bytes(24 * 24), 24), b"P2 2 1 65535 65535 0", b"P5 2 1 100 \x64\x00"]
+    flat = media.encode_bmp(np.zeros((2, 3, 3), np.uint8))
+    bad = [
+        b"junk", None, b"", b"P5 2 2 0 abcd", b"P5 0 2 255 ", b"P2 1 1 65535 70000", b"P2 1 1 255 -5", b"P2 1 1 255 99999999999999999999999", b"P2 2 1 255 7", b"P2 1 1 255 x", b"P5 99999999999999999999999 1 255 x", b"P5 1 1 100 \xc8", b"P5 4000000000 4000000000 255 x",
+        flat[:18] + bytes(4) + flat[22:], flat[:22] + bytes(4) + flat[26:], flat[:40], flat[:18] + b"\xff\xff\xff\x7f" + flat[22:], flat[:18] + b"\xff\xff\xff\xff" + flat[22:],
+    ]
+    df = spark.createDataFrame([(k, None if x is None else bytearray(x)) for k, x in enumerate([*good, *bad])], "k int, image binary")
+    for size in ((4, 4), (0, 0)):
+        got = {r.k: (r.tile is None, r.dhash) for r in media.media_tiles(df, "image", *size).collect()}
+        assert all(got[k][0] is False and len(got[k][1]) == 16 for k in range(len(good)))
+        assert all(got[len(good) + k] == (True, None) for k in range(len(bad)))
 
 
 def standing(found):
@@ -206,6 +215,14 @@ def test_license_suppression(spark):
     assert not [r for r in licenses.license_rules() if "," in re.sub(r"\{\d+,\d+\}", "", r.regex) or "\\(" in r.regex]
 
 
+def test_many_licenses_in_one_text(spark):
+    lines = ["the MIT License", "Apache License, Version 2.0", "licensed under the GNU GPL v3 or later"]
+    text = "\n".join(lines[k % 3] for k in range(60_000))
+    began = time.time()
+    r = licenses.license_report(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert (r.n_base, r.n_detections) == (40_000, 60_000) and time.time() - began < 30
+
+
 def scan_by_hand(text):
     lowered = (text or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER))
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
@@ -394,6 +411,14 @@ def test_rare_pairs_have_every_similar_pair(spark):
     assert similar and similar <= got and all(a % 7 != b % 7 for a, b in got)
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    a, b, c = ("the first text of several words here", "a second text that is quite unlike it", "yet another text that stands alone now")
+    rows = [(3, a), (5, a), (5, b), (9, b), (9, None), (9, ""), (7, c), (7, None), (7, c), (11, None), (11, ""), (None, b), (None, None), (12, "new words"), (13, "new words"), (2, "own text of two"), (2, "other text of two")]
+    found = sorted(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "component_id", "kept").collect(), key=str)
+    want = [(k, 3 if k in (3, 5, 9) else 12 if k == 13 else k, k not in (5, 9, 13)) for k, _ in rows if k is not None] + [(None, 3, False), (None, None, True)]
+    assert [tuple(r) for r in found] == sorted(want, key=lambda x: f"Row(doc_id={x[0]}, component_id={x[1]}, kept={x[2]})")
+
+
 def test_near_duplicates_of_odd_rows(odd):
     found = table(near_dup.near_duplicates(odd))
     assert len(found) == odd.count()
@@ -504,6 +529,31 @@ def test_clashing_columns(spark):
     assert {tuple(r)[1:4] for r in tokens.collect()} == {("place", "block", "score")}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Three hundred languages, more than there are landmarks; short texts are judged by what they say, without a limit of length."""
+    rng = np.random.default_rng(8)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöüñçé"), 5)) for _ in range(12)] for _ in range(300)]
+    text = lambda k, n: " ".join(rng.choice(words[k], n))
+    rows = [(1000 * k + j, text(k, 30), f"l{k:03}") for k in range(300) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs)
+    assert len(model["names"]) == 300 and model["right"] is not None
+    found = language.predict(docs, model).toPandas()
+    assert (found.lang == found.lang_pred).mean() > 0.9
+    assert language.predict(spark.createDataFrame([(None,)], "text string"), model).first().lang_pred == "und"
+    monkeypatch.setattr(language, "SAMPLE", 30)
+    monkeypatch.setattr(language, "LEAST_PER_LANGUAGE", 2)
+    assert len(language.train(docs)["names"]) > 200
+
+
+def test_short_texts_are_judged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    some = [r.text.split()[:n] for r in docs.filter("text is not null").limit(100).collect() for n in (1, 2, 3, 5, 8)]
+    short = spark.createDataFrame([(10**6 + k, " ".join(w), None) for k, w in enumerate(some)], docs.schema)
+    kept = language.keep_identified(docs.unionByName(short)).filter("doc_id >= 1000000").count()
+    assert kept > 0.97 * short.filter("text rlike '[a-zA-Z]'").count()
+
+
 def test_kernel_is_the_blended_spectrum():
     texts = ["abcab", "abd  x", "zz"]
     seen = language.presence(texts)

@@ -24,7 +24,7 @@ def test_stages(spark, tmp_path):
     assert all(x.columns == docs.columns for x in seen[1:-1])
     ids = [{r.doc_id for r in x.select("doc_id").collect()} for x in seen]
     assert ids[1] == {r.doc_id for r in quality.quality_report(docs, labels).filter("predicted = 1").collect()}
-    assert ids[2] == {r.doc_id for r in language.language_report(seen[1]).join(seen[1].select("doc_id", "text"), "doc_id").filter(f"lang_pred <> 'und' and (value >= {language.LEAST_VALUE} or length(text) < {language.SHORT})").collect()}
+    assert ids[2] == {r.doc_id for r in language.language_report(seen[1]).join(seen[1].select("doc_id", "text"), "doc_id").filter(f"lang_pred <> 'und' and value >= {language.LEAST_VALUE} * evidence").collect()}
     assert ids[3] == {r.doc_id for r in near_dup.near_duplicates(seen[2]).filter("kept").collect()}
     assert ids[4] == {r.doc_id for r in mixing.mix(seen[3]).filter("taken > 0").collect()}
     coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(queries.BYTE_VOCABULARY), special_tokens={})
