@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import consensus, editorial, heat, intake, markup, ops, pool, reading, relational, stories, streams, surfaces, text  # noqa: F401  they enter their queries
+from . import consensus, editorial, entities, heat, intake, markup, ops, pool, reading, relational, stories, streams, surfaces, text  # noqa: F401  they enter their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
