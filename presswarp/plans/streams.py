@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_dir
-from ..streaming import streams
+from ..sources.tables import table
+from ..streaming import derived, streams
 from .registry import query
 
 
@@ -42,3 +43,45 @@ def stream_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_stream(spark, sf_dir).withColumn("live", F.col("event_type") != "signup")
     log = streams.run_available(streams.change_log(e, "user_id", "event_type", "live", "event_id"), _place(spark))
     return log.groupBy(F.col("key").alias("user_id")).agg(F.count_if(F.col("op") == "upsert").alias("upserts"), F.count_if(F.col("op") == "remove").alias("removes"))
+
+
+@query("""WITH n AS (SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(CAST(round(value * 100) AS BIGINT), event_id) AS cents FROM events GROUP BY 1) SELECT event_type, count(*) AS users, CAST(sum(cents) AS BIGINT) AS cents FROM n WHERE event_type <> 'signup' GROUP BY 1""")
+def derived_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by their latest event, kept by signed deltas over seven batches that come out of order, compacted at the end."""
+    place = _place(spark)
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.col("event_type") != "signup").alias("live"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    for part in (3, 0, 6, 1, 5, 2, 4):
+        e.filter(F.pmod(F.floor(F.col("event_id") / 500), F.lit(7)) == part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    schema = "event_id bigint, user_id bigint, event_type string, live boolean, cents bigint"
+    facts = derived.DerivedSums(spark, f"{place}/facts", schema, "user_id", "event_id", "live", ["event_type"], ["cents"])
+    derived.maintain(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in"), facts.apply, f"{place}/state")
+    facts.compact()
+    return facts.sums().withColumnRenamed("rows", "users")
+
+
+@query("""SELECT c_custkey AS key, c_acctbal > 0 AND CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE n_regionkey END <> 2 AS ready, CASE WHEN c_custkey % 11 = 0 THEN 2 WHEN n_nationkey % 5 = 0 AND n_regionkey <> 2 THEN 1 ELSE 0 END AS batch FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 13 <> 0 OR c_custkey % 11 <> 0""")
+def derived_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact of two tables: all keys come, then rows of the one table change, then keys come, go or change in what does not matter; each batch
+    computes its own keys only."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"))
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    moved = n.withColumn("region", F.when(F.col("nation") % 5 == 0, 2).otherwise(F.col("region")))
+    here = c.filter("key % 11 <> 0 or key % 13 <> 0")
+    now = {"customers": here, "nations": n}
+    text = lambda *names: F.create_map(*[x for k in names for x in (F.lit(k), F.col(k).cast("string"))])
+    none = F.lit(None).cast("map<string,string>")
+
+    def compute(keys: DataFrame) -> DataFrame:
+        own = now["customers"].join(keys.select(F.col("key").cast("bigint").alias("key")), "key", "left_semi").join(now["nations"], "nation")
+        return own.select("key", ((F.col("balance") > 0) & (F.col("region") != 2)).alias("fact"))
+
+    watched = {"customers": derived.Watched("key", ["balance", "nation"]), "nations": derived.Watched("nation", ["region"], lambda: now["customers"].select(F.col("nation").alias("link"), "key"))}
+    facts = derived.InvalidatedFacts(spark, f"{_place(spark)}/facts", "boolean", watched, compute)
+    facts.apply(here.select(F.lit("customers").alias("table"), none.alias("before"), text("key", "balance", "nation").alias("after")), 0)
+    now["nations"] = moved
+    change = n.join(moved.withColumnRenamed("region", "then"), "nation")
+    facts.apply(change.select(F.lit("nations").alias("table"), text("nation", "region").alias("before"), F.create_map(F.lit("nation"), F.col("nation").cast("string"), F.lit("region"), F.col("then").cast("string")).alias("after")), 1)
+    gone = c.filter("key % 11 = 0").select(F.lit("customers").alias("table"), text("key", "balance", "nation").alias("before"), none.alias("after"))
+    idle = here.filter("key % 11 <> 0").select(F.lit("customers").alias("table"), F.map_concat(text("key", "balance", "nation"), F.create_map(F.lit("name"), F.lit("a"))).alias("before"), F.map_concat(text("key", "balance", "nation"), F.create_map(F.lit("name"), F.lit("b"))).alias("after"))
+    facts.apply(gone.unionByName(idle), 2)
+    return facts.facts().select(F.col("key").cast("bigint").alias("key"), F.col("fact").alias("ready"), "batch")
