@@ -49,23 +49,26 @@ def quota(rows: DataFrame, archived: Column, order: list[Column], reserved: int,
     return a.unionByName(b).orderBy("__band", "__n").limit(total).drop("__n", "__band")
 
 
-def fair_interleave(rows: DataFrame, key: str, first: list[Column], second: list[Column], n: int) -> DataFrame:
-    """Turns of two orders over the same rows, each row once: row of the first order, of the second, of the first, ...
+def fair_interleave(rows: DataFrame, key: str, first: list[Column], second: list[Column], n: int, oldest: list[Column] | None = None) -> DataFrame:
+    """(place, key): turns of two orders over the same rows, each row once: the next row of the first order that was not taken, of the second, of
+    the first, ...; the first row of a third order before them all, where one is given.
 
-    Only the first n of either order can be taken in n turns, so the sequential part is over at most 2 n rows.
+    Only the first n of either order can be taken in n turns, so what is taken in turns is one row with two lists of at most n keys.
     """
-    a = [r[0] for r in rows.orderBy(*first).limit(n).select(key).collect()]
-    b = [r[0] for r in rows.orderBy(*second).limit(n).select(key).collect()]
-    out, seen = [], set()
-    while len(out) < n and (a or b):
-        for line in (a, b):
-            while line and line[0] in seen:
-                line.pop(0)
-            if line and len(out) < n:
-                seen.add(line[0])
-                out.append(line.pop(0))
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.sparkSession.createDataFrame([(k + 1, x) for k, x in enumerate(out)], f"place bigint, {key} {kind}")
+    lines = [("a", first, n), ("b", second, n), *([("c", oldest, 1)] if oldest else [])]
+    state = None
+    for name, order, most in lines:
+        ranked = rows.orderBy(*order).limit(most).withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+        line = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(key).alias("k")))), lambda x: x["k"]).alias(name))
+        state = line if state is None else state.crossJoin(F.broadcast(line))
+    start = F.slice("c", 1, 1) if oldest else F.slice("a", 1, 0)
+
+    def turn(taken: Column, k: Column) -> Column:
+        fresh = lambda line: F.filter(line, lambda x: ~F.array_contains(taken, x))
+        return F.concat(taken, F.slice(F.when(k % 2 == 0, fresh(F.col("a"))).otherwise(fresh(F.col("b"))), 1, 1))
+
+    taken = F.slice(F.aggregate(F.sequence(F.lit(0), F.lit(2 * n - 1)), start, turn), 1, n)
+    return state.select(F.posexplode(taken).alias("place", key)).select((F.col("place") + 1).cast("bigint").alias("place"), key)
 
 
 def follow_chain(pointers: DataFrame, key: str, to: str, hops: int = 20) -> DataFrame:

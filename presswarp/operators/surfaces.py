@@ -18,9 +18,14 @@ def trusted(members: DataFrame, manual: Column, pending: DataFrame, key: str) ->
 
 
 def over_capacity(rows: DataFrame, order: list[Column], cap: int) -> DataFrame:
-    """Rows beyond the first ``cap`` in the order. The ``cap`` first are few; the others are what an anti join leaves."""
-    kept = rows.orderBy(*order).limit(cap)
-    return rows.join(kept.select(*[F.col(c).alias(f"kept_{c}") for c in rows.columns]), [F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in rows.columns], "left_anti")
+    """Rows beyond the first ``cap`` in the order. Rows are counted by their values, those among the first are taken off, and what is left is
+    given out again, so of equal rows as many are beyond as there are."""
+    names = rows.columns
+    kept = rows.orderBy(*order).limit(cap).groupBy(*[F.col(c).alias(f"kept_{c}") for c in names]).agg(F.count(F.lit(1)).alias("kept_rows"))
+    every = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("all_rows"))
+    left = F.col("all_rows") - F.coalesce("kept_rows", F.lit(0))
+    beyond = every.join(kept, [F.col(c).eqNullSafe(F.col(f"kept_{c}")) for c in names], "left").withColumn("left_rows", left).filter("left_rows > 0")
+    return beyond.select(*names, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("left_rows")))).select(*names)
 
 
 def newest_refusals(calls: DataFrame, keys: list[str], time: str, id_: str, declared: Column, connect: Column, now: datetime, declared_seconds: int = 3600, connect_seconds: int = 120, newest: int = 6, hours: int = 6) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..operators import editorial
 from ..operators.graph import shared_dir
 from ..operators.similarity import cosine
-from ..sources import readers
+from ..sources import readers, snapshots
 from ..sources.tables import table
 from .registry import query
 
@@ -123,6 +123,20 @@ def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.absent_only(table(spark, sf_dir, "orders"), have, "o_custkey").select("o_orderkey")
 
 
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey >= 1000000 THEN 'came' WHEN s_suppkey % 17 = 0 THEN 'went' ELSE 'changed' END AS change, 'changed,unchanged,changed' AS rounds
+    FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey % 17 = 0 OR s_suppkey % 10 = 0 UNION ALL SELECT s_suppkey + 1000000 FROM supplier WHERE s_suppkey % 19 = 0)""")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of a table: stored, found unchanged in another order with a column that does not matter, stored anew; and the keys that differ."""
+    place = snapshots.Snapshots(spark, _folder(spark, "snapshots"))
+    s = table(spark, sf_dir, "supplier").withColumn("fetched", F.lit(1))
+    more = s.filter("s_suppkey % 19 = 0").withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000)
+    then = s.filter("s_suppkey % 17 <> 0").withColumn("s_acctbal", F.when(F.col("s_suppkey") % 10 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal"))).unionByName(more)
+    rounds = [place.store(rows, datetime(2024, 1, k + 1), ("fetched",))[1] for k, rows in enumerate((s, s.withColumn("fetched", F.lit(2)).repartition(3, "s_name"), then))]
+    first, last = (place.read(e["id"]).drop("fetched") for e in place.all())
+    found = snapshots.changed_rows(first, last, ["s_suppkey"])
+    return found.withColumn("rounds", F.lit(",".join("changed" if c else "unchanged" for c in rounds)))
+
+
 @query("""SELECT s_suppkey FROM supplier WHERE s_suppkey <= 10 OR s_suppkey BETWEEN 31 AND 45""")
 def resume_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of a listing and the stretch after the entry remembered."""

@@ -142,11 +142,13 @@ def quota_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.quota(o, F.col("o_orderstatus") == "F", [F.col("o_orderdate").desc(), F.col("o_orderkey")], 100, 400).select("o_orderkey")
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT list(doc_id ORDER BY doc_id DESC)[1:60] AS l FROM documents), b AS (SELECT list(doc_id ORDER BY n_chars, doc_id DESC)[1:60] AS l FROM documents), c AS (SELECT [min(doc_id)] AS l FROM documents WHERE doc_id % 3 = 1),
+    t(turn, taken) AS (SELECT 0, l FROM c UNION ALL SELECT turn + 1, taken || list_filter(CASE WHEN turn % 2 = 0 THEN a.l ELSE b.l END, lambda x: NOT list_contains(taken, x))[1:1] FROM t, a, b WHERE turn < 120),
+    f AS (SELECT taken[1:60] AS taken FROM t WHERE turn = 120) SELECT CAST(unnest(range(1, len(taken) + 1)) AS BIGINT) AS place, unnest(taken) AS doc_id FROM f""")
 def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newest and shortest documents in turns."""
+    """Newest and shortest documents in turns, one of the oldest before them."""
     d = table(spark, sf_dir, "documents")
-    return rel.fair_interleave(d, "doc_id", [F.col("doc_id").desc()], [F.col("n_chars"), F.col("doc_id")], 60)
+    return rel.fair_interleave(d, "doc_id", [F.col("doc_id").desc()], [F.col("n_chars"), F.col("doc_id").desc()], 60, [F.col("doc_id") % 3 != 1, F.col("doc_id")])
 
 
 @query("""SELECT o_orderkey, CAST(floor(epoch(o_orderdate) / 60) * 2 + CASE WHEN o_orderdate > TIMESTAMP '1999-12-29' THEN 1 ELSE 0 END AS BIGINT) AS priority FROM orders WHERE o_orderstatus = 'P'""")

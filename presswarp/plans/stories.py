@@ -39,27 +39,26 @@ _CLOSED = r"""CASE WHEN t = '' OR regexp_matches(t, '[。！？…!?][”』」'
         WHEN length(regexp_extract(t, '(?s)^(.*)[，、；：,;:]', 1)) >= 30 THEN regexp_extract(t, '(?s)^(.*)[，、；：,;:]', 1) || '。' ELSE t || '。' END"""
 
 
-@query(rf"""WITH d AS (SELECT doc_id, substr(text, 1, 10 + doc_id % 90) || CASE doc_id % 4 WHEN 0 THEN '；1、x，' WHEN 1 THEN '。y：' ELSE '' END AS s FROM documents), c AS (SELECT doc_id, regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '') AS t FROM d) SELECT doc_id, {_CLOSED} AS closed FROM c""")
+@query(rf"""WITH d AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN '；1、x，' WHEN 1 THEN '。y：' ELSE '' END AS s FROM documents), c AS (SELECT doc_id, regexp_replace(regexp_replace(s, '^\s+', ''), '\s+$', '') AS t FROM d) SELECT doc_id, md5({_CLOSED}) AS closed FROM c""")
 def closed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries cut off at some length end with whole sentences or clauses."""
+    """Whole texts, some with an end that breaks off, end with whole sentences or clauses."""
     k = F.col("doc_id") % 4
-    text = F.concat(F.substring(F.col("text"), F.lit(1), (10 + F.col("doc_id") % 90).cast("int")), F.when(k == 0, "；1、x，").when(k == 1, "。y：").otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", cl.close_sentence(text).alias("closed"))
+    text = F.concat("text", F.when(k == 0, "；1、x，").when(k == 1, "。y：").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cl.close_sentence(text)).alias("closed"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '。'), '^\s+', ''), '\s+$', ''), '\s*\n\s*', ' ', 'g') AS t FROM documents WHERE length(text) > 400),
+@query(rf"""WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '。'), '^\s+', ''), '\s+$', ''), '\s*\n\s*', ' ', 'g') AS t FROM documents),
     s AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '[^。！？!?]+[。！？!?]?')) AS x, generate_subscripts(regexp_extract_all(t, '[^。！？!?]+[。！？!?]?'), 1) AS k FROM d),
     c AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM s),
     a AS (SELECT doc_id, string_agg(x, '' ORDER BY k) FILTER (upto <= 190 AND upto - length(x) < 80) AS p FROM c GROUP BY 1),
     v AS (SELECT doc_id, t, unnest(regexp_extract_all(t, '[^，；：、,;:]+[，；：、,;:]?')) AS x, generate_subscripts(regexp_extract_all(t, '[^，；：、,;:]+[，；：、,;:]?'), 1) AS k FROM d),
     w AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM v),
     b AS (SELECT doc_id, string_agg(x, '' ORDER BY k) FILTER (upto < 190 AND upto - length(x) < 80) AS p FROM w GROUP BY 1)
-    SELECT doc_id, md5(CASE WHEN length(a.p) >= 50 THEN trim(a.p) WHEN length(b.p) >= 50 THEN regexp_replace(b.p, '[，；：、,;:]$', '') || '。' ELSE t END) AS summary FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) WHERE length(t) > 190""")
+    SELECT doc_id, md5(CASE WHEN length(t) <= 190 THEN {_CLOSED} WHEN length(a.p) >= 50 THEN trim(a.p) WHEN length(b.p) >= 50 THEN regexp_replace(b.p, '[，；：、,;:]$', '') || '。' ELSE t END) AS summary FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)""")
 def compact_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long texts as summaries of whole sentences, else of whole clauses."""
-    d = table(spark, sf_dir, "documents").filter("length(text) > 400").withColumn("t", F.replace(F.col("text"), F.lit(". "), F.lit("。")))
-    whole = F.char_length(cl.cut(cl.trimmed(F.col("t")), r"\s*\n\s*", " ")) > cl.SUMMARY_MOST
-    return d.filter(whole).select("doc_id", F.md5(cl.compact_summary(F.col("t"))).alias("summary"))
+    """Texts as summaries: short ones with a whole sentence at the end, long ones as whole sentences, else as whole clauses."""
+    t = F.replace(F.col("text"), F.lit(". "), F.lit("。"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cl.compact_summary(t)).alias("summary"))
 
 
 @query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) || ['Ada Lovelace, Charles Babbage, Mary Somerville, et al', 'Ada Lovelace, Charles Babbage, Mary Somerville, et al'] || CASE WHEN doc_id % 2 = 0 THEN ['Ada Lovelace, Charles Babbage, Mary Somerville, et al'] ELSE [] END AS b FROM documents),

@@ -287,12 +287,12 @@ def issues_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("kind", "d", rules.issue_due(F.col("kind"), F.col("d"), last, F.lit(datetime(1997, 6, 15))).alias("due"))
 
 
-@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN repeat('自然资源', 30) WHEN 1 THEN '日本のニュース' WHEN 2 THEN '한국 新闻' ELSE '' END || substr(text, 1, 100 * CAST(doc_id % 7 AS INTEGER)) AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS han, length(t) AS size, length(regexp_replace(t, '\s+', '', 'g')) AS dense FROM d)
+@query(r"""WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN repeat('自然资源', 30) WHEN 1 THEN '日本のニュース' WHEN 2 THEN '한국 新闻' ELSE '' END || text AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS han, length(t) AS size, length(regexp_replace(t, '\s+', '', 'g')) AS dense FROM d)
     SELECT doc_id, han > 0 AND NOT regexp_matches(t, '[\x{3040}-\x{30ff}]') AND NOT regexp_matches(t, '[\x{ac00}-\x{d7af}]') AS chinese, size > 0 AND size < CASE WHEN han > size * 0.3 THEN 100 ELSE 500 END AS short, CASE WHEN dense = 0 THEN 0 ELSE round(han / dense, 9) END AS density FROM n""")
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with starts of their own, in several scripts and lengths."""
+    """Whole texts with starts of their own, in several scripts."""
     k = F.col("doc_id") % 5
-    t = F.concat(F.when(k == 0, "自然资源" * 30).when(k == 1, "日本のニュース").when(k == 2, "한국 新闻").otherwise(""), F.substring(F.col("text"), F.lit(1), (100 * (F.col("doc_id") % 7)).cast("int")))
+    t = F.concat(F.when(k == 0, "自然资源" * 30).when(k == 1, "日本のニュース").when(k == 2, "한국 新闻").otherwise(""), "text")
     d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return d.select("doc_id", rules.looks_chinese(F.col("t")).alias("chinese"), rules.short_post(F.col("t")).alias("short"), F.round(rules.chinese_density(F.col("t")), 9).alias("density"))
 

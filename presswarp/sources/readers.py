@@ -110,14 +110,6 @@ def heading_dates(updates: DataFrame) -> DataFrame:
     return updates.withColumn("__s", section).withColumn("dated", F.last("date", ignorenulls=True).over(inside)).drop("__s")
 
 
-def snapshot_if_changed(rows: DataFrame, key: list[str], previous: str | None) -> tuple[str, bool]:
-    """A digest of the rows that does not depend on their order, and whether it differs: the sum of row hashes and the count."""
-    h = F.xxhash64(F.to_json(F.struct(*sorted(rows.columns))))
-    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).first()
-    digest = f"{r.n}:{r.s}:{r.x}"
-    return digest, digest != previous
-
-
 def absent_only(rows: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Rows whose key the target does not have yet."""
     return rows.join(target.select(key).distinct(), key, "left_anti")

@@ -159,8 +159,6 @@ def test_readers(spark, tmp_path):
     pages = spark.createDataFrame([("h", "/a/b"), ("h", "/a/c"), ("g", "/x")], "host string, path string")
     rules = spark.createDataFrame([("h", "/a", False, 0), ("h", "/a/b", True, 1), ("h", "/a/b", False, 2)], "host string, prefix string, allow boolean, position int")
     assert {(r.host, r.path): r.allowed for r in readers.robots_allowed(pages, rules).collect()} == {("h", "/a/b"): True, ("h", "/a/c"): False, ("g", "/x"): True}
-    a, _ = readers.snapshot_if_changed(pages, ["host"], None)
-    assert readers.snapshot_if_changed(pages.orderBy("path"), ["host"], a) == (a, False)
     ups = spark.createDataFrame([(1, 1, 3, "d1", ""), (1, 2, 4, None, "u"), (1, 3, 2, None, "h"), (1, 4, 4, None, "v")], "page int, position int, level int, date string, text string")
     assert {r.position: r.dated for r in readers.heading_dates(ups).collect()} == {1: "d1", 2: "d1", 3: None, 4: None}
 
