@@ -28,6 +28,19 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Of one Arrow batch between Spark and Python; a row that is longer is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_BYTES at most, so that memory does not follow the length of texts times the rows
+    of a batch. A smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables in the shared folder that cut the lineage of iterations. ``drop`` removes those that nothing reads any more; what
     the result still reads stays, for as long as the cluster keeps the folder."""
