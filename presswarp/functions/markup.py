@@ -34,16 +34,19 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 ENDS |= {k: ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}) for k in ("thead", "tbody", "tfoot")}
 #: Parts of tables, and what they stand in.
 CELLS = {"tr": ("table", "thead", "tbody", "tfoot"), "td": ("tr",), "th": ("tr",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",), "caption": ("table",)}
+_NOT_P = LINED - {"p"}
 DEEPEST = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
 
 class Tree:
-    """Nodes in the order of the page; the nodes below node i are i + 1 to last[i]. Node 0 is the page; tag None is a text."""
+    """Nodes in the order of the page; the nodes below node i are i + 1 to last[i]. Node 0 is the page; tag None is a text. xml: tags have no rules
+    of their own but that / ends one at once, and CDATA is text."""
 
-    def __init__(self, page: str | None):
+    def __init__(self, page: str | None, xml: bool = False):
+        self.xml = xml
         self.tag: list[str | None] = [""]
         self.attrs: list[dict[str, str]] = [{}]
         self.text: list[str] = [""]
@@ -95,24 +98,27 @@ class Tree:
                 at = lt + 1
                 continue
             at = m.end()
-            if m[2]:
-                at = self._start(m[2].lower(), m[3], page, at) if not m[1] else self._stop(m[2].lower(), at)
+            if m["tag"]:
+                at = self._start(m["tag"].lower(), m["rest"], page, at) if not m["end"] else self._stop(m["tag"].lower(), at)
+            elif m["data"] is not None and self.xml:
+                self._add(None, {}, m["data"])
 
     def _start(self, tag: str, rest: str, page: str, at: int) -> int:
-        if tag in ENDS:
+        if tag in ENDS and not self.xml:
             self._end(*ENDS[tag])
-        if tag in LINED:
-            self._end({"p"}, LINED - {"p"})
+        if tag in LINED and not self.xml:
+            self._end({"p"}, _NOT_P)
         attrs: dict[str, str] = {}
         for name, *values in _ATTRIBUTE.findall(rest):
             attrs.setdefault(name.lower(), _entities.unescape(next((v for v in values if v), "")))
         node = self._add(tag, attrs, "")
-        if tag in RAW:
+        if tag in RAW and not self.xml:
             m = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             end = m.start() if m else len(page)
             self.text[node] = page[at:end]
             return m.end() if m else len(page)
-        if tag not in VOID and len(self._open) < DEEPEST:
+        ended = rest.endswith("/") if self.xml else tag in VOID
+        if not ended and len(self._open) < DEEPEST:
             self._open.append(node)
             self._count[tag] += 1
         return at
@@ -125,7 +131,7 @@ class Tree:
                     while len(self._open) > k:
                         self._pop()
                     break
-                if own in LINED and tag not in LINED:
+                if own in LINED and tag not in LINED and not self.xml:
                     break  # the end of an inline element does not end the lines it is in
         return at
 

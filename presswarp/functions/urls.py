@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,11 +55,65 @@ def octets(address: Column) -> Column:
 
 
 def internal_address(address: Column) -> Column:
-    """IPv4 addresses that are not on the public net."""
-    o = octets(address)
+    """Addresses of this host or a private network, IPv4 and IPv6, also those that carry such an IPv4 address inside; what is no address counts as one."""
+    return _judged_address(address, _private_v4, False)
+
+
+def blocked_address(address: Column) -> Column:
+    """Addresses never to fetch: internal ones, reserved, multicast and documentation ranges, and tunnels whose end can't be judged."""
+    return _judged_address(address, lambda o: _private_v4(o) | _reserved_v4(o), True)
+
+
+def _private_v4(o: Column) -> Column:
+    a, b = F.get(o, F.lit(0)), F.get(o, F.lit(1))
+    return a.isin(0, 10, 127) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+
+
+def _reserved_v4(o: Column) -> Column:
+    """198.18.0.0/15 is none: local proxies answer from it."""
     a, b, c = (F.get(o, F.lit(k)) for k in range(3))
-    inside = a.isin(0, 10, 127) | (a >= 224) | ((a == 100) & b.between(64, 127)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
-    return F.coalesce(inside, F.lit(True))
+    return (a >= 224) | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 192) & (b == 88) & (c == 99)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+
+
+_V4 = r"^\d{1,3}(?:\.\d{1,3}){3}$"
+
+
+def ipv6_groups(address: Column) -> Column:
+    """The eight numbers of an IPv6 address (with ``::``, a zone, or an IPv4 address at its end); null for what is none."""
+    text = F.lower(F.regexp_replace(address, "%.*$", ""))
+    dotted = F.regexp_extract(text, r"(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    o = octets(dotted)
+    pair = lambda k: F.lower(F.hex(F.get(o, F.lit(k)) * 256 + F.get(o, F.lit(k + 1))))
+    text = F.when(dotted == "", text).when(F.forall(o, lambda x: x.between(0, 255)), F.concat(F.regexp_replace(text, r"\d{1,3}(?:\.\d{1,3}){3}$", ""), pair(0), F.lit(":"), pair(2)))
+
+    def groups(t: Column) -> Column:
+        halves = F.split(t, "::", -1)
+        part = lambda k: F.when(F.coalesce(F.get(halves, F.lit(k)), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(halves, F.lit(k)), ":", -1))
+        missing = 8 - F.size(part(0)) - F.size(part(1))
+        filled = F.concat(part(0), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), part(1))
+        good = (F.size(halves) <= 2) & (missing >= 0) & ((F.size(halves) == 2) | (missing == 0)) & F.forall(filled, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.transform(filled, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return F.transform(F.array(text), groups)[0]
+
+
+def _judged_address(address: Column, v4, reserved: bool) -> Column:
+    def judged(g: Column) -> Column:
+        n = [F.get(g, F.lit(k)) for k in range(8)]
+        inside = lambda hi, lo: v4(F.array(F.shiftright(hi, 8), hi.bitwiseAND(F.lit(255)), F.shiftright(lo, 8), lo.bitwiseAND(F.lit(255))))
+        zeros = lambda k: reduce(lambda x, y: x & y, [c == 0 for c in n[:k]])
+        nat = (n[0] == 0x64) & (n[1] == 0xFF9B)
+        local = (n[0].bitwiseAND(F.lit(0xFE00)) == 0xFC00) | (n[0].bitwiseAND(F.lit(0xFFC0)).isin(0xFE80, 0xFEC0))
+        if reserved:  # tunnels, documentation, discarded, multicast
+            local = local | ((n[0] == 0x2001) & n[1].isin(0, 0xDB8)) | ((n[0] == 0x100) & (n[1] == 0) & (n[2] == 0) & (n[3] == 0)) | (n[0].bitwiseAND(F.lit(0xFF00)) == 0xFF00)
+        return (
+            F.when(g.isNull() | (zeros(7) & n[7].isin(0, 1)), True).when(zeros(5) & n[5].isin(0, 0xFFFF), inside(n[6], n[7]))
+            .when(nat & (n[2] == 0) & (n[3] == 0) & (n[4] == 0) & (n[5] == 0), inside(n[6], n[7])).when(nat & (n[2] == 1), True).when(n[0] == 0x2002, inside(n[1], n[2])).otherwise(local)
+        )
+
+    o = octets(address)
+    plain = address.rlike(_V4) & F.forall(o, lambda x: x.between(0, 255))
+    return F.coalesce(F.when(plain, v4(o)).otherwise(F.transform(F.array(ipv6_groups(address)), judged)[0]), F.lit(True))
 
 
 def participant_key(group: Column, source: Column) -> Column:

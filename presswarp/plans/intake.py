@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..operators import editorial
 from ..operators.graph import shared_dir
 from ..operators.similarity import cosine
+from ..sources import feeds as feeds_
 from ..sources import readers, snapshots
 from ..sources.tables import table
 from .registry import query
@@ -159,13 +160,61 @@ def dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.doi(text).alias("doi"))
 
 
-ADDRESSES = (("10.1.2.3", True), ("8.8.8.8", False), ("127.0.0.1", True), ("172.16.0.1", True), ("172.32.0.1", False), ("192.168.1.1", True), ("169.254.1.1", True), ("100.64.0.1", True), ("100.128.0.1", False), ("224.0.0.1", True), ("198.18.0.1", True), ("1.1.1.1", False))
+#: Addresses, whether they are internal, and whether they are blocked.
+ADDRESSES = (
+    ("10.1.2.3", 1, 1), ("8.8.8.8", 0, 0), ("127.0.0.1", 1, 1), ("172.16.0.1", 1, 1), ("172.32.0.1", 0, 0), ("192.168.1.1", 1, 1), ("169.254.1.1", 1, 1), ("100.64.0.1", 1, 1), ("100.128.0.1", 0, 0), ("224.0.0.1", 0, 1), ("198.18.0.1", 0, 0), ("192.0.2.9", 0, 1), ("1.1.1", 1, 1), ("256.1.1.1", 1, 1),
+    ("::1", 1, 1), ("::", 1, 1), ("fd00::1", 1, 1), ("fe80::1%eth0", 1, 1), ("ff02::1", 0, 1), ("2001:db8::1", 0, 1), ("::ffff:127.0.0.1", 1, 1), ("::FFFF:7f00:1", 1, 1), ("::7f00:1", 1, 1), ("64:ff9b::7f00:1", 1, 1), ("64:ff9b:1::1", 1, 1), ("2002:7f00:1::1", 1, 1), ("2001:0:4136:e378::1", 0, 1), ("100::1", 0, 1),
+    ("2606:4700:4700::1111", 0, 0), ("::ffff:8.8.8.8", 0, 0), ("64:ff9b::808:808", 0, 0), ("2002:808:808::1", 0, 0), ("1:2:3:4:5:6:7:8", 0, 0), ("1:2:3:4:5:6:7:8:9", 1, 1), ("1::2::3", 1, 1), ("12345::", 1, 1), ("::ffff:300.1.1.1", 1, 1), ("not-an-ip", 1, 1),
+)
 
 
-@query("WITH a(k, internal) AS (VALUES " + ", ".join(f"({k}, {str(v).lower()})" for k, (_, v) in enumerate(ADDRESSES)) + f") SELECT event_id, internal FROM events JOIN a ON k = event_id % {len(ADDRESSES)}")
+@query("WITH a(k, internal, blocked) AS (VALUES " + ", ".join(f"({k}, {v} = 1, {w} = 1)" for k, (_, v, w) in enumerate(ADDRESSES)) + f") SELECT event_id, internal, blocked FROM events JOIN a ON k = event_id % {len(ADDRESSES)}")
 def internal_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    address = F.element_at(F.array(*[F.lit(a) for a, _ in ADDRESSES]), (F.col("event_id") % len(ADDRESSES) + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", urls.internal_address(address).alias("internal"))
+    """Addresses of both kinds, in many spellings."""
+    address = F.element_at(F.array(*[F.lit(a) for a, *_ in ADDRESSES]), (F.col("event_id") % len(ADDRESSES) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", urls.internal_address(address).alias("internal"), urls.blocked_address(address).alias("blocked"))
+
+
+_LONG = "repeat('Words of a whole text, ' || n_name || '. ', 20)"
+
+
+@query(f"""WITH n AS (SELECT n_nationkey AS k, n_name, n_regionkey, n_nationkey % 3 AS kind FROM nation)
+    SELECT k, 'Title & ' || n_name AS title, 'https://e.com/f/' || k AS url, 1704103200000000 + k * 1000000 AS published_us, CASE WHEN kind <> 2 THEN 'Someone' END AS author, CASE WHEN kind <> 1 THEN trim({_LONG}) END AS body, CASE kind WHEN 0 THEN 'Short ' || k WHEN 1 THEN 'The longer summary of ' || n_name ELSE 'Said of a video' END AS excerpt,
+        CASE kind WHEN 0 THEN 'image https://e.com/i/' || k || '.png' WHEN 1 THEN 'image https://e.com/enclosed/' || k ELSE 'image https://e.com/w/' || k END AS media, CASE kind WHEN 0 THEN 'a,b' WHEN 2 THEN 't' ELSE '' END AS categories FROM n""")
+def feed_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSS with whole texts, RDF with enclosures and two summaries, and Atom with media: written, read by one reader."""
+    path = _folder(spark, "feeds")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name", "n_regionkey")
+    k, kind = F.col("k"), F.col("k") % 3
+    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    title, long = F.concat(F.lit("Title &amp;amp; "), "n_name"), F.expr(_LONG)
+    moment = F.timestamp_seconds(F.lit(1704103200) + k)
+    rfc, iso = F.date_format(moment, "d MMM yyyy HH:mm:ss 'GMT'"), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rss = F.concat(tag("title", title), F.lit("<link>/f/"), k, F.lit("</link><dc:creator>Someone</dc:creator>"), tag("pubdate", rfc), tag("description", F.concat(F.lit("Short "), k)), F.lit("<category>a</category><category><![CDATA[b]]></category><content:encoded><![CDATA[<p>"), long, F.lit("</p><img src='/i/"), k, F.lit(".png'>]]></content:encoded>"))
+    rdf = F.concat(tag("title", title), F.lit("<guid>https://e.com/f/"), k, F.lit("</guid><author>Someone</author>"), tag("dc:date", iso), F.lit("<description>Vol. 1</description>"), tag("dc:description", F.concat(F.lit("The longer summary of "), "n_name")), F.lit('<enclosure type="audio/x" url="/a"/><enclosure type="image/png" url="/enclosed/'), k, F.lit('"/>'))
+    atom = F.concat(tag("title", title), F.lit('<link rel="self" href="/no"/><link href="'), k, F.lit('"/>'), tag("updated", iso), F.lit("<category term='t'/><summary>Said of a video</summary><content type='html'>&lt;div&gt;"), long, F.lit("&lt;img src='/w/"), k, F.lit("'&gt;&lt;/div&gt;</content><media:group><media:thumbnail url='/no.png' width='9'/></media:group>"))
+    item = F.when(kind == 0, tag("item", rss)).when(kind == 1, tag("item", rdf)).otherwise(tag("entry", atom))
+    feeds = n.select(kind.alias("kind"), item.alias("item"), "k").groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]), "").alias("items"))
+    text = F.when(F.col("kind") == 0, F.concat(F.lit("<?xml version='1.0'?><rss version='2.0'><channel><title>feed</title><link>https://e.com</link>"), "items", F.lit("</channel></rss>")))
+    text = text.when(F.col("kind") == 1, F.concat(F.lit("<rdf:RDF><channel rdf:about='x'><title>feed</title></channel>"), "items", F.lit("</rdf:RDF>"))).otherwise(F.concat(F.lit("<feed xml:base='https://e.com/f/'><title>feed</title>"), "items", F.lit("</feed>")))
+    feeds.select("kind", text.alias("value")).write.partitionBy("kind").text(path)
+    read = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"), F.lit("https://e.com/feed.xml").alias("url"))
+    rows = feeds_.entry_rows(feeds_.entries(read))
+    first = F.get("media", F.lit(0))
+    return rows.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("int").alias("k"), "title", "url", F.unix_micros("published").alias("published_us"), "author", "body", "excerpt", F.concat_ws(" ", first["kind"], first["url"]).alias("media"), F.array_join("categories", ",").alias("categories"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'read' WHEN c_custkey % 7 = 0 THEN 'failed' WHEN c_custkey % 3 = 0 THEN 'failed' WHEN c_custkey % 11 = 0 THEN 'again' ELSE 'unchanged' END AS outcome,
+    CASE WHEN c_custkey % 5 = 0 THEN 'new' WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN NULL ELSE 'e' || c_custkey END AS etag FROM customer""")
+def feed_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a read says after one with validators: changed settings drop them, answers of other addresses don't count."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    sources = c.select(k.alias("source_id"), F.concat(F.lit('{"v":'), (k % 3 == 0).cast("int"), F.lit("}")).alias("config"), F.concat(F.lit("https://e.com/"), k).alias("url"))
+    before = c.select(k.alias("source_id"), F.sha2(F.lit('{"v":0}'), 256).alias("config_hash"), F.concat(F.lit("https://e.com/"), k).alias("response_url"), F.concat(F.lit("e"), k).alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    s = F.col("source_id")
+    status = F.when(s % 5 == 0, 200).when(s % 7 == 0, 500).otherwise(304)
+    fetched = feeds_.conditional(sources, before).withColumns({"status": status, "response_url": F.when(s % 11 == 0, "https://other.com/").otherwise(F.col("url")), "response_etag": F.when(s % 5 == 0, "new"), "response_last_modified": F.lit(None).cast("string")})
+    return feeds_.outcomes(fetched).select(s.alias("c_custkey"), "outcome", "etag")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN 'group:' || s_nationkey ELSE 'source:' || s_name END AS participant FROM supplier""")

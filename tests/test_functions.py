@@ -33,7 +33,7 @@ def test_urls(spark):
     blocked = ["10.0.0.1", "127.0.0.1", "192.168.3.4", "172.20.0.1", "169.254.1.1", "224.0.0.1", "100.64.0.1", "junk"]
     open_ = ["8.8.8.8", "172.32.0.1", "100.128.0.1", "192.169.0.1"]
     df = spark.createDataFrame([(a, True) for a in blocked] + [(a, False) for a in open_], "a string, want boolean")
-    assert all(r.got == r.want for r in df.select("want", urls.internal_address(F.col("a")).alias("got")).collect())
+    assert all(r.got == r.want for r in df.select("want", urls.blocked_address(F.col("a")).alias("got")).collect())
 
 
 def test_text(spark):
