@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-EXACT = 14  # models up to which the order is proven best
+EXACT = 22  # models of a strong component up to which the order is proven best
+WINDOW = 9  # models beside one another that are put in their best order at once, beyond
 ANCHORLESS = 50.0
 
 
@@ -59,46 +60,133 @@ def reversal_cost(matrix: np.ndarray, order: list[int]) -> float:
     return float(np.maximum(np.tril(m, -1), 0).sum())
 
 
+def strong_parts(edge: np.ndarray) -> list[list[int]]:
+    """The strong components of a directed graph, each sorted, in an order that no edge goes against; of components that may come next that of the
+    smallest index comes first."""
+    n = len(edge)
+    reach = edge | np.eye(n, dtype=bool)
+    for k in range(n):
+        reach |= reach[:, k : k + 1] & reach[k]
+    both = reach & reach.T
+    parts = {int(np.flatnonzero(both[x])[0]): np.flatnonzero(both[x]).tolist() for x in range(n)}
+    before = {p: {q for q in parts if q != p and reach[q, p]} for p in parts}
+    out: list[list[int]] = []
+    done: set[int] = set()
+    while len(done) < len(parts):
+        ready = min(p for p in parts if p not in done and before[p] <= done)
+        done.add(ready)
+        out.append(parts[ready])
+    return out
+
+
+def _exact_order(lose: np.ndarray) -> list[int]:
+    """Dynamic programming over the sets of leading models; of equal orders the first in lexicographic order. tail[s]: the least cost of ordering what is
+    not in s. Sets are taken by size, a size at once; what a model is owed by a set is the sum of two table look-ups, for the set's halves."""
+    n = len(lose)
+    half = (n + 1) // 2
+
+    def sums(part: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, 1 << len(part)))
+        for k, y in enumerate(part):
+            out[:, 1 << k : 2 << k] = out[:, : 1 << k] + lose[y][:, None]
+        return out
+
+    low, high = sums(np.arange(half)), sums(np.arange(half, n))
+    full, mask = (1 << n) - 1, (1 << half) - 1
+    sets = np.arange(1 << n, dtype=np.int64)
+    size = np.zeros(1 << n, np.int8)
+    for k in range(n):
+        size[1 << k : 2 << k] = size[: 1 << k] + 1
+    tail = np.full(1 << n, np.inf)
+    tail[full] = 0.0
+
+    def cost(x: int, s: np.ndarray) -> np.ndarray:
+        rest = full & ~s & ~(1 << x)
+        return tail[s | 1 << x] + low[x, rest & mask] + high[x, rest >> half]
+
+    for k in range(n - 1, -1, -1):
+        level = sets[size == k]
+        best = np.full(len(level), np.inf)
+        for x in range(n):
+            free = (level >> x & 1) == 0
+            best[free] = np.minimum(best[free], cost(x, level[free]))
+        tail[level] = best
+    s, order = 0, []
+    while s != full:
+        x = next(x for x in range(n) if not s >> x & 1 and cost(x, np.array([s]))[0] <= tail[s] + 1e-12)
+        order.append(x)
+        s |= 1 << x
+    return order
+
+
+def lower_bound(matrix: np.ndarray) -> float:
+    """No order reverses less: the lesser direction of every pair, and of cycles of three that share no pair the least of their sides, since one side of
+    each is reversed. Cycles are taken greedily, the largest first."""
+    lose = np.maximum(matrix, 0)
+    total, left = float(np.minimum(lose, lose.T)[np.triu_indices(len(matrix), 1)].sum()), np.maximum(matrix, 0) - np.minimum(lose, lose.T)
+    while True:
+        # through[x, z]: the best of min(x beats y, y beats z) over y
+        through = np.minimum(left[:, :, None], left[None, :, :])
+        worth = np.minimum(through, left.T[:, None, :])
+        x, y, z = np.unravel_index(int(worth.argmax()), worth.shape)
+        if worth[x, y, z] <= 1e-12:
+            return total
+        least = float(worth[x, y, z])
+        total += least
+        for a, b in ((x, y), (y, z), (z, x)):
+            left[a, b] = max(0.0, left[a, b] - least)
+
+
 def best_order(matrix: np.ndarray) -> tuple[list[int], bool]:
     """The order with the least reversed support; ties go to the smaller index first. Whether that is proven.
 
-    Up to EXACT models by dynamic programming over the sets of leading models; beyond, models are moved one at a time while
-    that helps, and the result is proven only if it meets the bound (the lesser direction of every pair).
+    The graph of who is not beaten falls into strong components, whose order among each other every best order keeps; each is solved by itself. Up to
+    EXACT models of a component by dynamic programming. A larger one is split again where models only tie; what is left of it is moved about, one
+    model and one stretch at a time, while that helps, and is proven only if it meets ``lower_bound``.
     """
+    order: list[int] = []
+    proven = True
+    for part in strong_parts(matrix >= 0):
+        own = matrix[np.ix_(part, part)]
+        if len(part) <= EXACT:
+            order += [part[k] for k in _exact_order(np.maximum(own, 0))]
+            continue
+        for inner in strong_parts(own > 0):
+            piece = [part[k] for k in inner]
+            deep = matrix[np.ix_(piece, piece)]
+            if len(piece) <= EXACT:
+                order += [piece[k] for k in _exact_order(np.maximum(deep, 0))]
+                continue
+            found = _moved_order(deep)
+            proven = proven and reversal_cost(deep, found) <= lower_bound(deep) + 1e-9
+            order += [piece[k] for k in found]
+    return order, proven
+
+
+def _moved_order(matrix: np.ndarray) -> list[int]:
+    """A good order: windows of WINDOW models are put in their best order, one after another, and models moved to their best place, until neither helps."""
     n = len(matrix)
     lose = np.maximum(matrix, 0)
-    if n <= EXACT:
-        # tail[s]: least cost of ordering what is not in s; the next model x pays for support of the rest over it
-        full, pick = (1 << n) - 1, {}
-        # owed[x, s]: support of the models in s over x
-        owed = np.zeros((n, 1 << n))
-        for y in range(n):
-            owed[:, 1 << y : 2 << y] = owed[:, : 1 << y] + lose[y][:, None]
-        tail = np.zeros(1 << n)
-        for s in range(full - 1, -1, -1):
-            rest = [x for x in range(n) if not s >> x & 1]
-            costs = [tail[s | 1 << x] + owed[x, full & ~s & ~(1 << x)] for x in rest]
-            tail[s] = min(costs)
-            pick[s] = next(x for x, c in zip(rest, costs, strict=True) if c <= tail[s] + 1e-12)
-        s, order = 0, []
-        while s != full:
-            order.append(pick[s])
-            s |= 1 << pick[s]
-        return order, True
     order = sorted(range(n), key=lambda x: (-matrix[x].sum(), x))
-    better = True
-    while better:
-        better = False
+    cost = reversal_cost(matrix, order)
+    while True:
+        before = cost
         for x in range(n):
             rest = [y for y in order if y != x]
             # at the front x is owed by all after it; each step back it pays for one and is owed by one less
             gain = np.concatenate([[0.0], np.cumsum([lose[x, y] - lose[y, x] for y in rest])])
             at = int(np.argmin(gain))
             moved = rest[:at] + [x] + rest[at:]
-            if reversal_cost(matrix, moved) < reversal_cost(matrix, order) - 1e-12:
-                order, better = moved, True
-    bound = float(np.minimum(lose, lose.T)[np.triu_indices(n, 1)].sum())
-    return order, reversal_cost(matrix, order) <= bound + 1e-9
+            if (now := reversal_cost(matrix, moved)) < cost - 1e-12:
+                order, cost = moved, now
+        for start in range(0, n - WINDOW + 1):
+            piece = order[start : start + WINDOW]
+            best = [piece[k] for k in _exact_order(lose[np.ix_(piece, piece)])]
+            moved = order[:start] + best + order[start + WINDOW :]
+            if (now := reversal_cost(matrix, moved)) < cost - 1e-12:
+                order, cost = moved, now
+        if cost >= before - 1e-12:
+            return order
 
 
 def kemeny(net: DataFrame, board: list[str] | None = None) -> DataFrame:
@@ -135,12 +223,18 @@ def index_values(ranked: DataFrame, anchors: list) -> DataFrame:
     return ranked.withColumn("index", F.round(100 * mean, 1))
 
 
-def scenarios(pairs: DataFrame, units: list[str]) -> DataFrame:
-    """(scenario, a, b, net): without each unit, and with each unit's weight moved by a fifth either way."""
-    each = [F.struct(F.lit(f"{kind}:{u}").alias("scenario"), F.lit(u).alias("u"), F.lit(scale).alias("scale")) for u in units for kind, scale in (("without", 0.0), ("less", 0.8), ("more", 1.2))]
-    spread = pairs.withColumn("s", F.explode(F.array(*each)))
-    w = F.col("weight") * F.when(F.col("unit") == F.col("s.u"), F.col("s.scale")).otherwise(1.0)
-    return spread.groupBy(F.col("s.scenario").alias("scenario"), "a", "b").agg(F.sum(w * F.col("p")).alias("net"))
+def scenarios(pairs: DataFrame, units: list[str], operators: dict[str, str] | None = None, ordinal: DataFrame | None = None) -> DataFrame:
+    """(scenario, a, b, net): without each unit, without all units of each operator (operators: unit to operator), with each unit's weight moved by a fifth
+    either way, and with every comparison as a sign (ordinal: the pairs by sign)."""
+    own = operators or {}
+    gone = {f"without:{u}": [u] for u in units} | {f"operator:{o}": [u for u in units if own.get(u) == o] for o in sorted(set(own.values()))}
+    each = [(name, out, 0.0) for name, out in gone.items()] + [(f"{kind}:{u}", [u], scale) for u in units for kind, scale in (("less", 0.8), ("more", 1.2))]
+    spread = pairs.withColumn("s", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.array(*map(F.lit, out)).alias("out"), F.lit(scale).alias("scale")) for n, out, scale in each])))
+    w = F.col("weight") * F.when(F.array_contains("s.out", F.col("unit")), F.col("s.scale")).otherwise(1.0)
+    found = spread.groupBy(F.col("s.scenario").alias("scenario"), "a", "b").agg(F.sum(w * F.col("p")).alias("net"))
+    if ordinal is not None:
+        found = found.unionByName(ordinal.groupBy("a", "b").agg(F.sum(F.col("weight") * F.col("p")).alias("net")).withColumn("scenario", F.lit("ordinal")))
+    return found
 
 
 def stability(ranks: DataFrame, base: DataFrame, span: int = 3) -> DataFrame:

@@ -52,8 +52,11 @@ def kemeny_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = consensus.pair_support(scores(spark, sf_dir), units(spark)).cache()
-    moved = consensus.kemeny(consensus.scenarios(pairs, [f"u{k}" for k in range(9)]), ["scenario"])
+    """Ranks over scenarios: without each unit and each operator, with weights moved, and by signs alone."""
+    rows = scores(spark, sf_dir)
+    pairs = consensus.pair_support(rows, units(spark)).cache()
+    cases = consensus.scenarios(pairs, [f"u{k}" for k in range(9)], {f"u{k}": f"op{k % 3}" for k in range(9)}, consensus.pair_support(rows, units(spark), ordinal=True))
+    moved = consensus.kemeny(cases, ["scenario"])
     return consensus.stability(moved, consensus.kemeny(consensus.net_support(pairs)))
 
 
