@@ -33,11 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_dir, partitions
+from .common import fresh_dir, partitions, tidy
 
 BLOCK_WORDS = 100_000  # distinct words after which a block ends
 BLOCK_PLACES = 800_000  # and words in all
 ROWS = 128  # documents of one batch to Spark
+REMEMBERED = 64  # bytes of a word up to which its ids are remembered; longer ones are encoded where they come
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -181,7 +182,7 @@ def _blocks(docs: DataFrame, text: str, pattern: str, keep: list[str], slots: in
             yield packets()
 
     head = [T.StructField("place", T.LongType()), T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in kinds]]
-    return docs.mapInArrow(work, T.StructType([*head, *[docs.schema[c] for c in keep]]))
+    return docs.mapInArrow(tidy(work), T.StructType([*head, *[docs.schema[c] for c in keep]]))
 
 
 def _packed(numbers: bytes) -> bytes:
@@ -225,7 +226,9 @@ def _encoded_words(packets: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 for end in ends:
                     w = flat[start:end]
                     if (ids := known.get(w)) is None:
-                        ids = known[w] = np.array(piece(w.decode()), "<u4").tobytes()
+                        ids = np.array(piece(w.decode()), "<u4").tobytes()
+                        if len(w) <= REMEMBERED:
+                            known[w] = ids
                     found.append(ids)
                     start = end
                 sizes_out.append(shrink(_packed(np.array([len(x) // 4 for x in found], np.uint32).tobytes())))
@@ -301,7 +304,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", name: s
                     out.append(ragged_take(data, starts, sizes, np.frombuffer(raw, "<u4")).tobytes() if raw is not None and raw.size else b"")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*names, name])
 
-    return tokens.mapInArrow(work, T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())]))
+    return tokens.mapInArrow(tidy(work), T.StructType([*tokens.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def round_trip_report(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import cache
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +46,23 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    """glibc's way to give memory back; nothing elsewhere."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def tidy(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """work, after which the Python worker, which Spark keeps for other tasks, gives back the memory that it no longer uses."""
+
+    def wrapped(*given) -> Iterator[pa.RecordBatch]:
+        yield from work(*given)
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+    return wrapped
+
+
 class Scratch:
     """Tables in the shared folder that cut the lineage of iterations. ``drop`` removes those that nothing reads any more; what
     the result still reads stays, for as long as the cluster keeps the folder."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, free_name
+from .common import crc_mod, free_name, tidy
 
 SAMPLE_PER_LANGUAGE = 250
 LEAST_PER_LANGUAGE = 10
@@ -115,7 +115,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
                 bits = np.packbits(presence(part.column(3).to_pylist()) > 0, axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([r.tobytes() for r in bits], pa.binary())], ["doc_id", "digest", "lang", "bits"])
 
-    rows = chosen.select("doc_id", F.xxhash64("text").alias("digest"), "lang", "text").mapInArrow(work, "doc_id bigint, digest bigint, lang string, bits binary")
+    rows = chosen.select("doc_id", F.xxhash64("text").alias("digest"), "lang", "text").mapInArrow(tidy(work), "doc_id bigint, digest bigint, lang string, bits binary")
     table = rows.dropDuplicates(["doc_id", "digest", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id", "digest", "lang").select("lang", "bits").toArrow()
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(-1, 1 << BITS - 3)
     return fit_bits(bits, table.column("lang").to_pylist())
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang: str = "lang_
                 new = [pa.array(found, pa.string()), pa.array(sure, pa.float64()), pa.array(top, pa.float64(), mask=~letters), pa.array(grams, pa.float64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*names, lang, score, value, evidence])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), *(T.StructField(c, T.DoubleType()) for c in (score, value, evidence))]))
+    return docs.mapInArrow(tidy(work), T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), *(T.StructField(c, T.DoubleType()) for c in (score, value, evidence))]))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

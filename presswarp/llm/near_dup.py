@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import Scratch, free_name
+from .common import Scratch, free_name, tidy
 
 WORDS = 5
 BINS = 128
@@ -132,7 +132,7 @@ def features(docs: DataFrame) -> DataFrame:
                     buckets.append(bucket_keys(signature(s)) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "buckets"])
 
-    return rows.mapInArrow(work, "doc_id bigint, n_shingles bigint, set_id binary, buckets array<bigint>")
+    return rows.mapInArrow(tidy(work), "doc_id bigint, n_shingles bigint, set_id binary, buckets array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [shingle_set(x.as_py(), memo).view(np.int64) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return rows.mapInArrow(work, "doc_id bigint, shingles array<bigint>")
+    return rows.mapInArrow(tidy(work), "doc_id bigint, shingles array<bigint>")
 
 
 def rare_pairs(sets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -183,7 +183,7 @@ def rare_pairs(sets: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFram
                 if parts:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["doc_id", "n", "s", "place", "early"])
 
-    entries = sets.select("doc_id", "shingles").mapInArrow(work, "doc_id bigint, n bigint, s bigint, place bigint, early boolean")
+    entries = sets.select("doc_id", "shingles").mapInArrow(tidy(work), "doc_id bigint, n bigint, s bigint, place bigint, early boolean")
     entries = scratch.put(entries.join(labels, "doc_id"))
     groups = entries.groupBy("s", "component").agg(F.count(F.lit(1)).alias("size"))
     groups = groups.groupBy("s").agg(F.max_by("component", "size").alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("several")).filter("several > 1")
@@ -327,7 +327,7 @@ def with_set_id(docs: DataFrame, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], name])
 
     rows = docs.withColumn(name, F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return rows.mapInArrow(work, StructType([StructField(f.name, f.dataType) for f in rows.schema]))
+    return rows.mapInArrow(tidy(work), StructType([StructField(f.name, f.dataType) for f in rows.schema]))
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:

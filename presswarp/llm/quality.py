@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, free_name, hash_sample
+from .common import crc_mod, free_name, hash_sample, tidy
 
 SAMPLE_PER_CLASS = 1500
 SPACE = 1 << 18  # hashed n-grams
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
             grams = [ngram_indicators(x.as_py(), memo).astype(np.int32) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(grams, pa.list_(pa.int32()))], ["doc_id", "quality", "grams"])
 
-    found = texts.mapInArrow(work, "doc_id bigint, quality int, grams array<int>").orderBy(F.xxhash64("doc_id"), "doc_id")
+    found = texts.mapInArrow(tidy(work), "doc_id bigint, quality int, grams array<int>").orderBy(F.xxhash64("doc_id"), "doc_id")
     table = found.toArrow()
     grams = [np.asarray(x.values.to_numpy(), np.int64) for x in table.column("grams")]
     n1 = counts.get(1, 0)
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score")
             out = 1 / (1 + np.exp(-np.clip(m["slope"] * out + m["offset"], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, name])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(tidy(work), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
