@@ -45,6 +45,25 @@ def stream_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.groupBy(F.col("key").alias("user_id")).agg(F.count_if(F.col("op") == "upsert").alias("upserts"), F.count_if(F.col("op") == "remove").alias("removes"))
 
 
+@query("""WITH w AS (SELECT unnest(generate_series(date_trunc('day', ts) + INTERVAL 6 HOUR * CAST(floor(hour(ts) / 6) AS INTEGER) - INTERVAL 42 HOUR, date_trunc('day', ts) + INTERVAL 6 HOUR * CAST(floor(hour(ts) / 6) AS INTEGER), INTERVAL 6 HOUR)) AS start, event_type FROM events)
+    SELECT strftime(start, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of two days every six hours."""
+    out = streams.run_available(streams.sliding_counts(event_stream(spark, sf_dir), "ts", ["event_type"]), _place(spark), "update")
+    last = out.groupBy("w", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("w.start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
+@query("""SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 6 HOUR WHERE a.event_type = 'purchase' AND b.event_type = 'view'""")
+def stream_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and the views of their users that came at most six hours before."""
+    from datetime import timedelta
+
+    side = lambda kind, name: event_stream(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", F.col("ts").alias(f"{name}_at"), F.col("event_id").alias(name))
+    joined = streams.waiting_join(side("purchase", "a"), side("view", "b"), "user_id", "a_at", "b_at", timedelta(hours=6))
+    return streams.run_available(joined.select("a", "b"), _place(spark)).select("a", "b")
+
+
 @query("""WITH n AS (SELECT user_id, max_by(event_type, event_id) AS event_type, max_by(CAST(round(value * 100) AS BIGINT), event_id) AS cents FROM events GROUP BY 1) SELECT event_type, count(*) AS users, CAST(sum(cents) AS BIGINT) AS cents FROM n WHERE event_type <> 'signup' GROUP BY 1""")
 def derived_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users by their latest event, kept by signed deltas over seven batches that come out of order, compacted at the end."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cleaning as cl
 from ..functions import text as tx
 from ..functions import urls
 from ..operators import similarity as sim
@@ -55,6 +56,12 @@ def teasers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.is_teaser(F.col("text")).alias("teaser"))
 
 
+@query()
+def model_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as models read them. What goes with the footers has no SQL in DuckDB."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cl.model_text(F.col("text"))).alias("clean"))
+
+
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_extract(url, '(?i)^https?://[^/?#:]+(?::\d*)?([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM pages),
     q AS (SELECT page_id, host, path, array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '(?i)^(utm_[a-z]+|ref|from|source)$'))), '&') AS query FROM p)
     SELECT page_id, CASE WHEN path IN ('', '/') THEN 'https://' || host || '/' || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE regexp_replace('https://' || host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END, '/$', '') END AS canonical FROM q""")
