@@ -21,7 +21,7 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 BITS = 64  # of a block, one long
 PROBES = 4  # bits of a key in its block
 KEYS_PER_BLOCK = 4
-MOST_LITERAL_BLOCKS = 1 << 17  # 1 MB of longs in the plan; larger filters are joined by block
+MOST_LITERAL_BLOCKS = 1 << 17  # 1 MB of longs; larger filters are joined by block
 MOST_PREFIX_LENGTHS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,45 +66,51 @@ def build_bloom(rules: DataFrame, n_rules: int) -> tuple[DataFrame, int]:
     return rules.select(bloom_block(key, blocks).alias("block"), bloom_mask(key).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word")), blocks
 
 
+def words_array(filter_rows: DataFrame, blocks: int) -> Column:
+    """The filter's words as one value of the plan: a text that the optimizer turns into an array once, however many words there are."""
+    words = {r.block: r.word for r in filter_rows.collect()}
+    return F.split(F.lit(",".join(str(words.get(b, 0)) for b in range(blocks))), ",").cast("array<bigint>")
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
     """(key, host, path, rule, verdict), one row for each of ``pages``. rules: (rule_verdict, rule_host, rule_path).
 
-    The filter's words are literals of the plan up to MOST_LITERAL_BLOCKS (a size known before they are fetched) and a table
-    joined by block beyond. The exact join is left to the planner, which broadcasts the rules only below its own threshold.
+    The filter's words are one value of the plan up to MOST_LITERAL_BLOCKS (a size known before they are fetched) and a table joined by block
+    beyond. Pages without a candidate that passes have their verdict at once and are not shuffled. Of the others each distinct host and path is
+    judged once, whatever number of pages has it, and the pages get its verdict by a join, whose small side the planner broadcasts below
+    its own threshold.
     """
     rules = rules.select("rule_verdict", "rule_host", "rule_path").distinct()
     n_rules = rules.count()
     filter_rows, blocks = build_bloom(rules, n_rules)
     lengths = [r.n for r in rules.select(F.length("rule_path").alias("n")).distinct().orderBy("n").limit(MOST_PREFIX_LENGTHS + 1).collect()]
     rows = pages.select(F.col(key).alias("page_id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    # equal rows have equal results: they are judged once and given back as often as they came
-    rows = rows.groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
     sizes = F.array(*map(F.lit, lengths)).cast("array<int>") if len(lengths) <= MOST_PREFIX_LENGTHS else F.sequence(F.lit(0), F.length("path"))
     prefixes = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     candidates = F.flatten(F.transform(host_suffixes(F.col("host")), lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("rule_host"), p.alias("rule_path")))))
-    rows = rows.withColumn("candidates", F.when(F.col("host") != "", candidates))
-    if blocks <= MOST_LITERAL_BLOCKS:
-        words = {r.block: r.word for r in filter_rows.collect()}
-        table = F.array(*[F.lit(words.get(b, 0)).cast("bigint") for b in range(blocks)])
+    none = F.array().cast("array<struct<rule_host: string, rule_path: string>>")
+    literal = blocks <= MOST_LITERAL_BLOCKS
+    if literal:
+        table = words_array(filter_rows, blocks)
 
         def passes(c: Column) -> Column:
             k = bloom_key(c["rule_host"], c["rule_path"])
             return F.get(table, bloom_block(k, blocks)).bitwiseAND(bloom_mask(k)) == bloom_mask(k)
 
-        rows = rows.withColumn("candidates", F.filter("candidates", passes))
-        hits = rows.select("page_id", "host", "path", "copies", F.explode_outer("candidates").alias("c")).select("page_id", "host", "path", "copies", "c.rule_host", "c.rule_path")
-    else:
-        hits = rows.select("page_id", "host", "path", "copies", F.explode_outer("candidates").alias("c")).select("page_id", "host", "path", "copies", "c.rule_host", "c.rule_path")
+        candidates = F.filter(candidates, passes)
+    rows = rows.withColumn("candidates", F.when(F.col("host") != "", candidates).otherwise(none))
+    plain = rows.filter(F.size("candidates") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    some = rows.filter(F.size("candidates") > 0)
+    hits = some.groupBy("host", "path").agg(F.any_value("candidates").alias("c")).select("host", "path", F.explode("c").alias("c")).select("host", "path", "c.rule_host", "c.rule_path")
+    if not literal:
         k = bloom_key(F.col("rule_host"), F.col("rule_path"))
-        hits = hits.withColumn("block", F.when(F.col("rule_host").isNotNull(), bloom_block(k, blocks))).join(filter_rows, "block", "left")
-        keep = F.coalesce(F.col("word").bitwiseAND(bloom_mask(k)) == bloom_mask(k), F.lit(False))
-        hits = hits.withColumn("rule_host", F.when(keep, F.col("rule_host"))).withColumn("rule_path", F.when(keep, F.col("rule_path")))
+        hits = hits.withColumn("block", bloom_block(k, blocks)).join(filter_rows, "block").filter(F.col("word").bitwiseAND(bloom_mask(k)) == bloom_mask(k))
     # the exact join: false positives find no rule
-    found = hits.join(rules, ["rule_host", "rule_path"], "left")
-    rule = F.when(F.col("rule_verdict").isNotNull(), F.struct((-F.length("rule_host") - F.length("rule_path")).alias("order"), (F.col("rule_verdict") != "block").alias("allows"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict"))
-    best = found.groupBy("page_id", "host", "path", "copies").agg(F.min(rule).alias("best"))
-    out = best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("__copy"))
-    return out.drop("__copy")
+    found = hits.join(rules, ["rule_host", "rule_path"])
+    rule = F.struct((-F.length("rule_host") - F.length("rule_path")).alias("order"), (F.col("rule_verdict") != "block").alias("allows"), F.concat("rule_host", "rule_path").alias("rule"), "rule_verdict")
+    best = found.groupBy("host", "path").agg(F.min(rule).alias("best"))
+    judged = some.select("page_id", "host", "path").join(best, ["host", "path"], "left")
+    return plain.unionByName(judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")))
 
 
 def contract_rules(spark) -> DataFrame:

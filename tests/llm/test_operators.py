@@ -299,6 +299,18 @@ def test_url_filter(spark):
     assert len(none) == pages.count() and all(r.rule is None for r in none)
 
 
+def test_many_url_rules(spark):
+    """A hundred thousand rules: the filter is one value of the plan."""
+    rules = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("rule_verdict"), F.concat(F.lit("h"), "id", F.lit(".com")).alias("rule_host"), F.concat(F.lit("/p"), F.col("id") % 7).alias("rule_path"))
+    pages = spark.createDataFrame([(k, f"http://www.h{50 * k}.com/p{50 * k % 7 if k % 3 else 8}/x") for k in range(3000)], "page_id bigint, url string")
+    began = time.time()
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert time.time() - began < 60
+    for k in range(3000):
+        n = 50 * k
+        assert found[k] == ((f"h{n}.com/p{n % 7}", "block" if n % 2 == 0 else "allow") if k % 3 and n < 100_000 else (None, "allow"))
+
+
 def test_byte_bpe(odd, docs):
     ranks = byte_bpe.load_ranks(queries.BYTE_VOCABULARY)
     coder = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
