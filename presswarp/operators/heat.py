@@ -85,9 +85,11 @@ def trend(board: DataFrame, at: datetime) -> DataFrame:
     return board.withColumn("pct", pct).withColumns({"trend": direction, "badge": badge})
 
 
-def hot_board(signals: DataFrame, at: datetime, late: DataFrame | None = None, size: int = BOARD) -> DataFrame:
-    """The hottest stories, ranked."""
+def hot_board(signals: DataFrame, at: datetime, late: DataFrame | None = None, size: int = BOARD, readable: DataFrame | None = None) -> DataFrame:
+    """The hottest stories, ranked; readable: the stories (story) with a report that readers may see, others are passed over."""
     ranked = story_heat(signals, at, late).filter((F.col("participants") >= MIN_PARTICIPANTS) & (F.col("editorial") >= MIN_EDITORIAL))
+    if readable is not None:
+        ranked = ranked.join(readable.select("story").distinct(), "story", "left_semi")
     order = [F.col("heat").desc(), F.col("latest_at").desc_nulls_last(), F.col("story").asc()]
     top = trend(ranked.orderBy(*order).limit(size), at)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).withColumn("shown", F.round(F.col("heat") * 100) / 10)

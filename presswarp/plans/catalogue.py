@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import archives, consensus, editorial, entities, evidence, heat, intake, markup, monitor, ops, pool, reading, relational, stories, streams, surfaces, text  # noqa: F401  they enter their queries
+from . import archives, choices, consensus, editorial, entities, evidence, heat, intake, markup, monitor, ops, pool, reading, relational, stories, streams, surfaces, text  # noqa: F401  they enter their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
