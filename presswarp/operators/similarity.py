@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 4096  # query vectors of a block
 TEXT_BLOCK = 512  # query texts of a block
 CHUNK = 8192  # rows that a task takes with a block, about
+MOST_CODES = 1 << 21  # n-grams of items whose codes go to the tasks: 16 MB
+MEMO = 60_000  # words whose hashes a task remembers
 
 
 def cosine(a, b):
@@ -97,19 +102,66 @@ def lexical_recall(queries: DataFrame, rows: DataFrame, least: float = 0.25, mos
     return _recall(full(queries), full(rows), "text", shares, least, most, TEXT_BLOCK)
 
 
+class _WordHashes(dict):
+    """word -> 64 bits. Forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+def _gram_codes(words: list[bytes], n: int, memo: _WordHashes) -> np.ndarray:
+    """A 64-bit code of each n words that follow one another."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    code = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        code = (code ^ (code >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + h[k : len(words) - n + 1 + k]
+    return code
+
+
+def _gram_rows(df: DataFrame, name: str, n: int, known: np.ndarray | None) -> DataFrame:
+    """(name, g): the distinct n-grams of each row's words; known: codes, of which a gram must have one (others with the same code may pass too)."""
+    rows = df.select(F.col("id").alias(name), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    kind, shared = rows.schema[name], df.sparkSession.sparkContext.broadcast(known) if known is not None else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, codes = _WordHashes(), None if shared is None else shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part, owners, grams = batch.slice(k, 256), [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    words = re.findall(rb"[a-z0-9]+", text.encode())
+                    own = _gram_codes(words, n, memo)
+                    at = range(len(own))
+                    if codes is not None:
+                        place = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
+                        at = np.flatnonzero(codes[place] == own).tolist() if len(codes) else []
+                    found = {b" ".join(words[j : j + n]) for j in at}
+                    owners += [i] * len(found)
+                    grams += found
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners, pa.int64())), pa.array(grams, pa.binary()).cast(pa.string())], [name, "g"])
+
+    return rows.mapInArrow(work, T.StructType([kind, T.StructField("g", T.StringType())]))
+
+
 def ngram_contamination(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     """docs, items: (id, text). (id, item, shared, share): n-grams of words that a document and an item have in common.
-    The items' n-grams are the small side; the planner broadcasts them below its own threshold."""
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-        d = df.select(F.col("id").alias(name), words.alias("w"))
-        each = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.xxhash64(F.array_join(F.slice("w", k, n), " ")))
-        return d.filter(F.size("w") >= n).select(name, F.explode(F.array_distinct(each)).alias("g"))
-
-    own = grams(items, "item")
+    The codes of the items' n-grams go to the tasks up to MOST_CODES, counted first; so of the documents' n-grams only those are made into rows that
+    some item has, or that agree with one in 64 bits, and the join on the words themselves decides. Beyond that bound all are joined.
+    """
+    own = _gram_rows(items, "item", n, None)
     sizes = own.groupBy("item").agg(F.count(F.lit(1)).alias("size"))
-    shared = grams(docs, "id").join(own, "g").groupBy("id", "item").agg(F.count(F.lit(1)).alias("shared"))
+    known = None
+    if own.count() <= MOST_CODES:
+        memo = _WordHashes()
+        grams = own.select("g").distinct().toArrow().column(0).to_pylist()
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_gram_codes(g.encode().split(b" "), n, memo) for g in grams]]))
+    shared = _gram_rows(docs, "id", n, known).join(own, "g").groupBy("id", "item").agg(F.count(F.lit(1)).alias("shared"))
     return shared.join(sizes, "item").select("id", "item", "shared", (F.col("shared") / F.col("size")).alias("share"))
 
 
