@@ -295,16 +295,3 @@ def script_json(df: DataFrame, html: str = "html", variable: str | None = None,
     if (variable is None) == (key is None):
         raise ValueError("a variable or a key")
     return per_page(df, [html], f"{out} string", lambda page: (variable_json(page, variable) if variable is not None else key_json(page, key),))
-
-
-def rendered(template: str, value: Callable[[str], Column]) -> Column:
-    """A template whose {path} stands for an encoded value and {raw:path} for the value itself; null where one is missing. value: the column of a
-    path."""
-    parts: list[Column] = []
-    for plain, raw, path in re.findall(r"([^{}]+)|\{(raw:)?([^}]+)\}", template):
-        own = F.nullif(value(path), F.lit("")) if path else None
-        encoded = lambda c: F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
-        parts.append(F.lit(plain) if own is None else own if raw else encoded(own))
-    return F.concat(*parts)
-
-

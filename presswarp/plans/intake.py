@@ -83,6 +83,23 @@ def json_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_list(docs, "doc", "data.items", {"url": "href", "title": "meta.name"}, "open", ("price", 100000.0))
 
 
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders)
+    SELECT o_custkey, CAST(position AS INTEGER) AS position, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN 'https://e.com/x%20y/' || o_orderkey ELSE 'https://e.com/by/P ' || o_orderkey END AS url, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'T ' || o_orderpriority END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'Someone' END AS author, 1704103200000000 AS published_us, 'A sum ' || o_orderkey AS excerpt
+    FROM o WHERE o_orderstatus = 'F' AND o_totalprice >= 100000 AND (o_orderkey % 4 <> 0 OR o_orderkey % 7 <> 0)""")
+def json_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of nested documents by a source's settings: templates with a fallback, first texts, flags, least numbers."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    item = F.struct(
+        k.alias("k"), F.when(k % 3 == 0, "x y").alias("slug"), F.concat(F.lit("P "), k).alias("name"), F.when(k % 4 != 0, F.concat(F.lit("<b>T</b>  "), "o_orderpriority")).alias("head"), F.when(k % 7 != 0, k).alias("id"), F.array(F.struct(F.when(k % 2 == 0, "Someone").alias("n"))).alias("by"),
+        F.lit("2024-01-01T10:00:00Z").alias("at"), F.concat(F.lit("<p>A sum "), k, F.lit("</p>")).alias("sum"), (F.col("o_orderstatus") == "F").alias("open"), F.col("o_totalprice").alias("price"),
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(k.alias("o"), item.alias("i")))), lambda x: x["i"])
+    docs = o.groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(listed.alias("items")).alias("data"))).alias("doc"))
+    settings = {"items_path": "data.items", "require": ("open", True), "at_least": ("price", 100000.0), "url_template": "https://e.com/{slug}/{id}", "url_fallback": "https://e.com/by/{raw:name}", "titles": ["head", "id"], "summaries": ["none", "sum"], "authors": ["by.0.n"], "published": "at", "external_id": "k"}
+    found = readers.json_candidates(docs, "doc", settings, "o_custkey")
+    return found.select("o_custkey", "position", "url", "title", "author", F.unix_micros("published").alias("published_us"), "excerpt")
+
+
 @query(r"""WITH p AS (SELECT page_id // 60 AS batch, page_id % 60 + 1 AS position, CASE WHEN page_id % 9 = 0 THEN ' ' ELSE 'title' END AS title, 'https://e.com/p/' || page_id % 40 AS canonical, page_id FROM pages),
     n AS (SELECT *, row_number() OVER (PARTITION BY batch, canonical ORDER BY position) AS nth FROM p)
     SELECT page_id, CASE WHEN position > 50 THEN 'too-many' WHEN trim(title) = '' THEN 'no-title' WHEN nth > 1 THEN 'duplicate' END AS reason FROM n""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from ..functions.urls import normalise
 
 BODY_ABOVE = 280  # characters of feed text that make a body
 MOST_IN_BATCH = 50
+MOST_EXCERPT = 2000
 
 
 def csv_rows(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -57,6 +60,63 @@ def json_list(rows: DataFrame, document: str, items: str, paths: dict[str, str],
     return out.filter(F.coalesce(F.trim("url"), F.lit("")) != "") if "url" in paths else out
 
 
+def json_path(path: str) -> str:
+    """a.0.b as a path of Spark: $.a[0].b"""
+    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split(".") if p)
+
+
+def json_value(item: Column, path: str) -> Column:
+    """The value at a path as a text; null where there is none, or an empty one."""
+    return F.nullif(F.get_json_object(item, json_path(path)), F.lit(""))
+
+
+def first_text(item: Column, paths: list[str]) -> Column:
+    """The first of the paths that has a text or a number, without blanks around; lists, objects and flags are none."""
+    value = lambda p: F.trim(json_value(item, p))
+    return F.coalesce(*[F.when((value(p) != "") & ~value(p).rlike(r"^(?:[\[{].*|true|false)$"), value(p)) for p in paths], F.lit(None).cast("string"))
+
+
+def json_candidates(rows: DataFrame, document: str, settings: dict, *keep: str) -> DataFrame:
+    """Items of JSON documents as (keep..., position, url, title, author, published, excerpt, body, external_id), by a source's settings:
+
+    items_path (with object_values: the values of an object stand for a list), require (path, true or false), at_least (path, number), url_template and
+    url_fallback ({path} encoded, {raw:path} as it is; a template that lacks a value gives none), titles, summaries, authors (paths, the first with a text),
+    published, external_id (paths), summary_is_body. Items without a title or an address are left out; documents that are no JSON, or have no list there, give none.
+    """
+    path = json_path(settings["items_path"]) if settings.get("items_path") else "$"
+    held = F.get_json_object(document, path)
+    listed = F.map_values(F.from_json(held, "map<string,string>")) if settings.get("object_values") else None
+    plain = F.from_json(held, "array<string>")
+    each = rows.select(*keep, F.posexplode(plain if listed is None else F.when(held.startswith("{"), listed).otherwise(plain)).alias("position", "item"))
+    item = F.col("item")
+    if settings.get("require"):
+        at, wanted = settings["require"]
+        each = each.filter(F.get_json_object(item, json_path(at)) == str(wanted).lower())
+    if settings.get("at_least"):
+        at, least = settings["at_least"]
+        each = each.filter(F.coalesce(json_value(item, at).try_cast("double") >= least, F.lit(False)))
+    address = F.coalesce(*[rendered(settings[k], lambda p: json_value(item, p)) for k in ("url_template", "url_fallback") if settings.get(k)])
+    text = lambda name: first_text(item, settings.get(name, []))
+    value = lambda name: json_value(item, settings[name]) if settings.get(name) else F.lit(None).cast("string")
+    summary = text("summaries")
+    out = each.select(
+        *keep, "position", address.alias("url"), collapse(strip_tags(text("titles"))).alias("title"), text("authors").alias("author"), parse_published(value("published")).alias("published"), F.substring(collapse(strip_tags(summary)), 1, MOST_EXCERPT).alias("excerpt"),
+        (strip_tags(summary) if settings.get("summary_is_body") else F.lit(None).cast("string")).alias("body"), value("external_id").alias("external_id"),
+    )
+    return out.filter(F.col("url").isNotNull() & F.col("title").isNotNull() & (F.col("title") != ""))
+
+
+def rendered(template: str, value) -> Column:
+    """A template whose {path} stands for an encoded value and {raw:path} for the value itself; null where one is missing. value: the column of a
+    path."""
+    parts: list[Column] = []
+    for plain, raw, path in re.findall(r"([^{}]+)|\{(raw:)?([^}]+)\}", template):
+        own = F.nullif(value(path), F.lit("")) if path else None
+        encoded = lambda c: F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")), F.lit("%7E"), F.lit("~"))
+        parts.append(F.lit(plain) if own is None else own if raw else encoded(own))
+    return F.concat(*parts)
+
+
 def resume_window(listing: DataFrame, position: str, url: str, anchor: str | None, head: int, tail: int) -> DataFrame:
     """The first ``head`` rows of a listing and the ``tail`` rows after the one remembered."""
     if anchor is None:

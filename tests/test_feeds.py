@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswarp.functions import urls
-from presswarp.sources import feeds
+from presswarp.sources import feeds, readers
 
 URL = "https://e.com/dir/feed.xml"
 LONG = "A sentence of a whole text that goes on. " * 12
@@ -79,3 +79,14 @@ def test_ipv6_groups(spark):
     assert got == [[int(g, 16) for g in ipaddress.IPv6Address(t).exploded.split(":")] for t in texts]
     bad = ["", "1:2:3", ":::", "1::2::3", "g::1", "::1.2.3", "::256.1.1.1", "12345::", "1:2:3:4:5:6:7:8:9", None]
     assert all(r[0] is None for r in spark.createDataFrame([(t,) for t in bad], "t string").select(urls.ipv6_groups(F.col("t"))).collect())
+
+
+def test_json_candidates(spark):
+    doc = '{"d": [{"u": "a b/c", "t": " <i>T</i> ", "n": 5, "ok": true, "s": "<p>sum</p>", "w": [{"x": "me"}], "when": "2024-03-05T10:00:00Z"}, {"u": "", "alt": "z", "t": ["no"], "t2": 7, "ok": true, "n": "9"}, {"u": "x", "ok": true, "n": 9}, {"u": "y", "t": "n", "ok": false, "n": 9}, {"u": "y", "t": "n", "ok": true, "n": 1}, 3, null]}'
+    frame = spark.createDataFrame([(1, doc), (2, None), (3, "no json"), (4, '{"d": {"k": {"u": "v", "t": "in an object", "ok": true, "n": 8}}}')], "k int, doc string")
+    settings = {"items_path": "d", "require": ("ok", True), "at_least": ("n", 4), "url_template": "https://e.com/{u}", "url_fallback": "https://e.com/f/{raw:alt}", "titles": ["t", "t2"], "summaries": ["s"], "authors": ["w.0.x"], "published": "when", "external_id": "n", "summary_is_body": True}
+    got = [tuple(r) for r in readers.json_candidates(frame, "doc", settings, "k").orderBy("k", "position").collect()]
+    assert got == [(1, 0, "https://e.com/a%20b/c", "T", "me", datetime(2024, 3, 5, 10), "sum", "sum", "5"), (1, 1, "https://e.com/f/z", "7", None, None, None, None, "9")]
+    more = [r.title for r in readers.json_candidates(frame, "doc", settings | {"object_values": True}, "k").filter("k = 4").collect()]
+    assert more == ["in an object"]
+    assert readers.json_path("a.0.b") == "$['a'][0]['b']" and readers.json_candidates(spark.createDataFrame([('[{"u": 1, "t": "top"}]',)], "doc string"), "doc", {"url_template": "{u}", "titles": ["t"]}).first().title == "top"

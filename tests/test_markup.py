@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presswarp.functions import markup as mk
 from presswarp.operators import markup as om
+from presswarp.sources import readers
 
 BASE = "https://e.com/a/b"
 
@@ -184,4 +185,4 @@ def test_script_json():
 def test_templates(spark):
     frame = spark.createDataFrame([("a b/c", "x?y"), ("", "z"), (None, "z")], "id string, q string")
     value = lambda path: F.col(path)
-    assert [r[0] for r in frame.select(om.rendered("https://e.com/{id}?q={raw:q}", value)).collect()] == ["https://e.com/a%20b/c?q=x?y", None, None]
+    assert [r[0] for r in frame.select(readers.rendered("https://e.com/{id}?q={raw:q}", value)).collect()] == ["https://e.com/a%20b/c?q=x?y", None, None]
