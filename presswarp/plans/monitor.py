@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import developments as dv
 from ..operators import monitor as mo
 from ..sources.tables import table
 from .registry import query
@@ -99,3 +100,38 @@ def alert_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetches = n.select(F.col("n_name").alias("source_key"), (F.col("n_nationkey") % 4 != 0).alias("ok"), F.lit(datetime(2024, 1, 1)).alias("last_ok"))
     found = mo.findings(NOW, articles, sources, reports, backups, receipts, jobs, fetches)
     return found.select("key", "level", "detail", F.unix_micros("since").alias("since_us"))
+
+
+_FACTS = """m AS (SELECT l_suppkey % 20 AS story_id, CASE WHEN l_linenumber <> 4 THEN l_partkey % 300 END AS fact_id, l_orderkey * 10 + l_linenumber AS article_id, l_returnflag = 'R' AS first_party, l_linestatus = 'F' AS full_text, l_quantity AS score, l_shipdate AS shipped FROM lineitem WHERE l_discount < 0.05),
+    d AS (SELECT story_id, fact_id, min(shipped) AS first_at, first(article_id ORDER BY first_party DESC, full_text DESC, score DESC, shipped, article_id) AS representative, count(DISTINCT article_id) AS own FROM m WHERE fact_id IS NOT NULL GROUP BY 1, 2),
+    c AS (SELECT l_partkey % 300 AS fact_id, count(*) AS reports FROM lineitem WHERE l_partkey % 300 % 2 = 0 GROUP BY 1),
+    p AS (SELECT d.*, coalesce(reports, own) AS reports, row_number() OVER (PARTITION BY story_id ORDER BY first_at DESC, CAST(d.fact_id AS VARCHAR)) AS place FROM d LEFT JOIN c ON c.fact_id = d.fact_id)"""
+
+
+def _developments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    fact = F.col("l_partkey") % 300
+    members = li.filter("l_discount < 0.05").select((F.col("l_suppkey") % 20).alias("story_id"), F.when(F.col("l_linenumber") != 4, fact).alias("fact_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("article_id"), (F.col("l_returnflag") == "R").alias("first_party"), F.when(F.col("l_linestatus") == "F", "full").otherwise("summary").alias("body_mode"), F.col("l_quantity").alias("score"), F.col("l_shipdate").alias("timeline_at"), F.lit(None).cast("timestamp").alias("sort_at"))
+    counts = li.groupBy(fact.alias("fact_id")).agg(F.count(F.lit(1)).alias("reports")).filter("fact_id % 2 = 0")
+    facts = counts.select("fact_id", F.lit("title").alias("title"), F.lit(None).cast("timestamp").alias("occurred_at"))
+    return dv.developments(members, counts, facts)
+
+
+@query(f"WITH {_FACTS} SELECT story_id, place, fact_id, representative, reports, substr(sha256(string_agg(fact_id || ':' || representative || ':' || reports, ',' ORDER BY place) OVER (PARTITION BY story_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 1, 10) AS revision FROM p")
+def developments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What happened in each story, the latest first."""
+    return _developments(spark, sf_dir).select("story_id", "place", "fact_id", "representative", "reports", "revision")
+
+
+@query(f"""WITH {_FACTS}, s AS (SELECT story_id, count(*) AS size FROM p GROUP BY 1), r AS (SELECT n_nationkey AS request_id, n_nationkey AS story_id, CASE n_nationkey % 4 WHEN 0 THEN 'start' WHEN 1 THEN 'ok' WHEN 2 THEN 'invalid' ELSE 'changed' END AS said FROM nation),
+    q AS (SELECT request_id, r.story_id, size, CASE WHEN size IS NULL THEN 'missing' ELSE said END AS outcome, CASE WHEN said = 'ok' THEN 5 ELSE 0 END AS o FROM r LEFT JOIN s ON s.story_id = r.story_id)
+    SELECT request_id, outcome, outcome IN ('start', 'ok') AND o + 5 < size AS more, place, fact_id, representative FROM q LEFT JOIN p ON p.story_id = q.story_id AND outcome IN ('start', 'ok') AND place > o AND place <= o + 5""")
+def development_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and second pages, cursors of other queries and of other states, stories without developments."""
+    rows = _developments(spark, sf_dir)
+    k = F.col("n_nationkey")
+    n = table(spark, sf_dir, "nation").select(k.alias("request_id"), k.alias("story_id"), F.lit("news").alias("channel")).join(rows.select("story_id", "revision").distinct(), "story_id", "left")
+    bound, kind = dv.binding(F.col("story_id"), F.col("channel")), F.col("request_id") % 4
+    mark = F.when(kind == 1, dv.cursor(F.lit(5), F.col("revision"), bound)).when(kind == 2, dv.cursor(F.lit(5), F.col("revision"), F.lit("other"))).when(kind == 3, dv.cursor(F.lit(5), F.lit("older"), bound))
+    found = dv.page(rows, n.select("request_id", "story_id", "channel", mark.alias("cursor")), 5, "channel")
+    return found.select("request_id", "outcome", F.col("next").isNotNull().alias("more"), "place", "fact_id", "representative")
