@@ -83,6 +83,16 @@ def json_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_list(docs, "doc", "data.items", {"url": "href", "title": "meta.name"}, "open", ("price", 100000.0))
 
 
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN epoch_us(date_trunc('second', ts)) WHEN 1 THEN epoch_us(date_trunc('second', ts)) WHEN 2 THEN epoch_us(date_trunc('minute', ts)) WHEN 3 THEN epoch_us(date_trunc('day', ts)) - 28800000000 WHEN 4 THEN epoch_us(date_trunc('day', ts)) WHEN 5 THEN epoch_us(date_trunc('minute', ts)) - 28800000000 END AS at_us FROM events""")
+def published_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments written in seven ways, one of which says nothing, read again."""
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id") % 7
+    there = F.timestamp_micros(F.unix_micros(ts) + 8 * 3_600_000_000)
+    shown = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 1, F.date_format(there, "EEE, d MMM yyyy HH:mm:ss '+0800'")).when(k == 2, F.date_format(there, "yyyy年M月d日 星期二 H:mm")).when(k == 3, F.date_format(ts, "MMM d'th', yyyy"))
+    shown = shown.when(k == 4, F.date_format(ts, "yyyy-MM-dd")).when(k == 5, F.date_format(ts, "dd/MM/yyyy - HH:mm")).otherwise(F.date_format(ts, "'between' yyyy 'and 2031'"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_micros(dates.published_at(shown, date_order="dmy")).alias("at_us"))
+
+
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position FROM orders)
     SELECT o_custkey, CAST(position AS INTEGER) AS position, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN 'https://e.com/x%20y/' || o_orderkey ELSE 'https://e.com/by/P ' || o_orderkey END AS url, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'T ' || o_orderpriority END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'Someone' END AS author, 1704103200000000 AS published_us, 'A sum ' || o_orderkey AS excerpt
     FROM o WHERE o_orderstatus = 'F' AND o_totalprice >= 100000 AND (o_orderkey % 4 <> 0 OR o_orderkey % 7 <> 0)""")
