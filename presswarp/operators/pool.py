@@ -51,6 +51,40 @@ def stratified_sample(rows: DataFrame, keys: list[str], id_: str, k: int, seed:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order, id_))).filter(F.col("__n") <= k).drop("__n")
 
 
+# A linear congruential generator of 32 bits.
+LCG_FACTOR, LCG_STEP, LCG_SIZE = 1664525, 1013904223, 1 << 32
+
+
+def lcg_key(position: Column, seed: int) -> Column:
+    """The number that the generator gives for the row at a position (from 0): its state position + 1 steps after the seed. The steps 1, 2, 4, ... are affine maps
+    that are known before, so a row needs 40 small ones at most and no row waits for another."""
+    maps, factor, step = [], LCG_FACTOR, LCG_STEP
+    for k in range(40):
+        maps.append(F.struct(F.lit(k).alias("k"), F.lit(factor).cast("bigint").alias("factor"), F.lit(step).cast("bigint").alias("step")))
+        factor, step = factor * factor % LCG_SIZE, (factor * step + step) % LCG_SIZE
+    steps = position.cast("bigint") + 1
+    used = F.filter(F.array(*maps), lambda m: F.pmod(F.floor(steps / F.pow(F.lit(2.0), m["k"])).cast("bigint"), F.lit(2)) == 1)
+
+    def moved(state: Column, m: Column) -> Column:
+        """The state's halves of 16 bits are taken one by one, so that no product leaves a long."""
+        high = F.pmod(F.floor(state / 65536).cast("bigint") * F.pmod(m["factor"], F.lit(65536)), F.lit(65536)) * 65536
+        return F.pmod(F.pmod(state, F.lit(65536)) * m["factor"] + high + m["step"], F.lit(LCG_SIZE).cast("bigint"))
+
+    return F.aggregate(used, F.lit(seed % LCG_SIZE).cast("bigint"), moved)
+
+
+def seeded_sample(rows: DataFrame, position: str, n: int, seed: int) -> DataFrame:
+    """The n rows that come first in the generator's order; every run with a seed takes the same. A top n, so each task keeps n rows."""
+    return rows.orderBy(lcg_key(F.col(position), seed), position).limit(n)
+
+
+def weight_head(spread: Column, head: Column) -> Column:
+    """A pool's members by weight with the head repeated until it is as many as all others together; as it is without a head that serves, or others."""
+    others = F.size(F.filter(spread, lambda m: m != head))
+    more = F.greatest(others - (F.size(spread) - others), F.lit(0))
+    return F.when(F.coalesce(F.array_contains(spread, head), F.lit(False)) & (others > 0), F.concat(spread, F.array_repeat(head, more))).otherwise(spread)
+
+
 def nearest_ranks(rows: DataFrame, rank: str, of: int, k: int = 5) -> DataFrame:
     """The k rows whose rank is nearest, the better one first."""
     return rows.filter(F.col(rank) != of).orderBy(F.abs(F.col(rank) - of), rank).limit(k)

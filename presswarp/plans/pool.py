@@ -47,6 +47,23 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], "doc_id", 20, 7)
 
 
+@query("""WITH RECURSIVE n AS (SELECT max(doc_id) AS top FROM documents), g(k, s) AS (SELECT CAST(0 AS BIGINT), (CAST(42 AS BIGINT) * 1664525 + 1013904223) % 4294967296 UNION ALL SELECT k + 1, (s * 1664525 + 1013904223) % 4294967296 FROM g, n WHERE k < top)
+    SELECT doc_id FROM documents JOIN g ON k = doc_id ORDER BY s, doc_id LIMIT 50""")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample that a seeded generator takes, row by row, without going through the rows one by one."""
+    return pool.seeded_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 50, 42)
+
+
+@query("""WITH s AS (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS spread, CASE WHEN o_custkey % 3 <> 0 THEN '1-URGENT' END AS head FROM orders GROUP BY 1), c AS (SELECT *, len(list_filter(spread, lambda x: x <> head)) AS others FROM s)
+    SELECT o_custkey, CASE WHEN head IS NOT NULL AND list_contains(spread, head) AND others > 0 THEN greatest(len(spread), 2 * others) ELSE len(spread) END AS members, len(list_filter(spread, lambda x: x = '1-URGENT')) + CASE WHEN head IS NOT NULL AND list_contains(spread, head) AND others > 0 THEN greatest(0, 2 * others - len(spread)) ELSE 0 END AS heads FROM c""")
+def weighted_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools in which the head gets half of the turns at least."""
+    s = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("spread"))
+    out = pool.weight_head(F.col("spread"), F.when(F.col("o_custkey") % 3 != 0, "1-URGENT"))
+    s = s.withColumn("out", out)
+    return s.select("o_custkey", F.size("out").cast("bigint").alias("members"), F.size(F.filter("out", lambda m: m == "1-URGENT")).cast("bigint").alias("heads"))
+
+
 @query("""WITH r AS (SELECT p_partkey, rank() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part WHERE p_size = 7) SELECT p_partkey FROM r WHERE rank <> 10 ORDER BY abs(rank - 10), rank LIMIT 5""")
 def nearest_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
