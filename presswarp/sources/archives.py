@@ -140,16 +140,16 @@ def register(spark: SparkSession) -> None:
 def csv_entries(lines: DataFrame, schema: str) -> DataFrame:
     """(archive, entry, line_no, ...): the rows of CSV entries by the names of their own first line; columns an entry lacks are null. Lines are
     records (no line ends inside fields)."""
-    head = lines.filter("line_no = 0").select(F.col("archive").alias("_a"), F.col("entry").alias("_e"), F.col("line").alias("_h"))
-    fields = "array<string>"
-    cells = lambda c: F.from_csv(c, ", ".join(f"c{k} string" for k in range(MOST_COLUMNS)), {"mode": "PERMISSIVE"})
-    as_list = lambda c: F.array(*[cells(c)[f"c{k}"] for k in range(MOST_COLUMNS)]).cast(fields)
+    names = ", ".join(f"c{k} string" for k in range(MOST_COLUMNS))
+    # a line is taken apart once, however many of its cells are looked at
+    cells = lambda c: F.transform(F.array(F.from_csv(c, names, {"mode": "PERMISSIVE"})), lambda x: F.array(*[x[f"c{k}"] for k in range(MOST_COLUMNS)]))[0]
+    head = lines.filter("line_no = 0").select(F.col("archive").alias("_a"), F.col("entry").alias("_e"), cells(F.col("line")).alias("_names"))
     rows = lines.filter("line_no > 0").join(head, (F.col("archive") == F.col("_a")) & (F.col("entry") == F.col("_e")))
-    rows = rows.withColumns({"_names": as_list(F.col("_h")), "_values": as_list(F.col("line"))})
-    table = F.map_from_entries(F.filter(F.arrays_zip("_names", "_values"), lambda x: x["_names"].isNotNull()))
+    place = lambda n: F.nullif(F.array_position("_names", n), F.lit(0)).cast("int")
     wanted = [tuple(x.strip().split(" ", 1)) for x in schema.split(",")]
-    rows = rows.withColumn("_table", table)
-    return rows.select("archive", "entry", "line_no", *[F.try_element_at("_table", F.lit(n)).try_cast(t).alias(n) for n, t in wanted])
+    picked = F.transform(F.array(cells(F.col("line"))), lambda v: F.struct(*[F.try_element_at(v, place(n)).alias(n) for n, _ in wanted]))[0]
+    rows = rows.withColumn("_row", picked)
+    return rows.select("archive", "entry", "line_no", *[F.col(f"_row.{n}").try_cast(t).alias(n) for n, t in wanted])
 
 
 # ---- results of publishers
