@@ -28,7 +28,7 @@ STRUCTURED = (
     "(?i)\\d+(?:\\.\\d+)?\\s*(?:级|Magnitude|mb|M\\s?\\d)",
     "(?i)正式测定|本报讯|消息|公告|通报|快讯|Advisory|Hurricane|Storm|Rainfall|Warning|Bulletin|KNHC|NHC",
 )
-PLACE, WEATHER = "[省市县州岛海湾洋山河]", "[震雨风潮洪雪雾涝旱灾]"
+PLACE, WEATHER = "(?:省|市|县|州|岛|海|湾|洋|山|河)", "(?:震|雨|风|潮|洪|雪|雾|涝|旱|灾)"
 #: End of fixed values.
 
 
