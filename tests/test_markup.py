@@ -186,3 +186,13 @@ def test_templates(spark):
     frame = spark.createDataFrame([("a b/c", "x?y"), ("", "z"), (None, "z")], "id string, q string")
     value = lambda path: F.col(path)
     assert [r[0] for r in frame.select(readers.rendered("https://e.com/{id}?q={raw:q}", value)).collect()] == ["https://e.com/a%20b/c?q=x?y", None, None]
+
+
+def test_references_that_a_blocks_end_cuts_off():
+    """They stay as they stand where nothing written behind them can make them whole, and mean the same everywhere else."""
+    for cut in ("&", "&a", "&amp", "&#3"):
+        assert clean(f"<h1>x &amp;{cut}</h1><p>y</p>") == f"<h2>x &amp;{cut}</h2><p>y</p>"
+        assert clean(clean(f"<h1>x{cut}</h1>")) == clean(f"<h1>x{cut}</h1>")
+    assert clean("<p>&l<script></script>t;</p>") == "<p>&amp;lt;</p>" and clean("<p><i>&l</i>t;</p>") == "<p><i>&amp;l</i>t;</p>"
+    assert clean("<nav>&l</nav>t;") == "<p>&amp;lt;</p>" and clean("<p>a & b</p>") == "<p>a &amp; b</p>"
+    assert mk.Tree("<h1>x &amp</h1>").words(0) == "x &"
