@@ -88,9 +88,10 @@ def cut_where(text: Column, sign: str, expression: str, by: str = " ") -> Column
     return once(text, lambda t: F.when(t.rlike(sign), cut(t, expression, by)).otherwise(t))
 
 
-def strip_boilerplate(text: Column) -> Column:
-    """Without footers (whole lines, then segments), the chrome of news pages, placeholders and marks of downloads."""
-    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (x != "") & ~(x.rlike(LINE_SIGN) & has(x, BOILERPLATE_LINE)))
+def strip_boilerplate(text: Column, lined: bool = True) -> Column:
+    """Without footers (whole lines, then segments), the chrome of news pages, placeholders and marks of downloads. lined: are the text's lines those
+    of the page? Of a text put into one line a footer takes its segment only, not all that follows it."""
+    lines = F.filter(F.transform(F.split(text, "\n"), trimmed), lambda x: (x != "") & ~(x.rlike(LINE_SIGN) & has(x, BOILERPLATE_LINE)) if lined else x != "")
     # these segments end with their line, so only lines that have a sign of one are looked through
     out = F.array_join(F.transform(lines, lambda x: F.when(x.rlike(SEGMENT_SIGN), cut(x, BOILERPLATE_SEGMENT, " ")).otherwise(x)), "\n")
     for sign, segment in ((CHROME_SIGN, CHROME_SEGMENT), ("\\{\\{", PLACEHOLDER), ("(?i)PDF\\(", PDF_MARK)):
@@ -129,9 +130,9 @@ def template_shell(text: Column) -> Column:
     return F.regexp_count(text, F.lit(PLACEHOLDER)) >= 3
 
 
-def boilerplate_body(text: Column, least: int = 60) -> Column:
+def boilerplate_body(text: Column, least: int = 60, lined: bool = True) -> Column:
     """Is there no real text: none at all, a template's shell, or too little beside boilerplate?"""
-    real = F.char_length(cut(strip_boilerplate(text), r"\s+"))
+    real = F.char_length(cut(strip_boilerplate(text, lined), r"\s+"))
     return F.coalesce((text == "") | template_shell(text) | (real < least), F.lit(True))
 
 

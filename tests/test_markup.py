@@ -196,3 +196,10 @@ def test_references_that_a_blocks_end_cuts_off():
     assert clean("<p>&l<script></script>t;</p>") == "<p>&amp;lt;</p>" and clean("<p><i>&l</i>t;</p>") == "<p><i>&amp;l</i>t;</p>"
     assert clean("<nav>&l</nav>t;") == "<p>&amp;lt;</p>" and clean("<p>a & b</p>") == "<p>a &amp; b</p>"
     assert mk.Tree("<h1>x &amp</h1>").words(0) == "x &"
+
+
+def test_readable_begins_with_a_footer(spark):
+    """A body is one line of text: a footer at its start takes its segment, not the body."""
+    page = f"<article><h1>All rights reserved.</h1><p>{SENTENCE * 3}</p><p>{SENTENCE * 3}</p></article>"
+    found = om.readable(spark.createDataFrame([(page, "https://e.com/s/1")], "html string, url string")).collect()[0]
+    assert found.body_text is not None and found.body_text.count("sentence") == 6 and "rights" not in found.body_text
