@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 4096  # query vectors of a block
-TEXT_BLOCK = 512  # query texts of a block
-CHUNK = 8192  # rows that a task takes with a block, about
+BLOCK, CHUNK = 4096, 8192  # query vectors of a block, rows that a task takes with them, about
+TEXT_BLOCK, TEXT_CHUNK = 16384, 32768  # the same of texts: packed bigrams, a few hundred bytes each
+LEAST_TASKS = 24
+PART = 512  # queries and rows whose scores are one matrix
 MOST_CODES = 1 << 21  # n-grams of items whose codes go to the tasks: 16 MB
 MEMO = 60_000  # words whose hashes a task remembers
 
@@ -24,36 +25,54 @@ def cosine(a, b):
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def _recall(queries: DataFrame, rows: DataFrame, what: str, scores, least: float, most: int, block: int) -> DataFrame:
+def _best(found: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
+    """Of (query, id, fact, score) the best row of each query's fact, then the best ``most`` facts of each query, in order."""
+    query, key, fact, score = found.values()
+    order = np.lexsort((key, -score, fact, query))
+    query, fact = query[order], fact[order]
+    order = order[np.concatenate([[True], (query[1:] != query[:-1]) | (fact[1:] != fact[:-1])])] if len(order) else order
+    query, fact, score = (found[c][order] for c in ("query", "fact", "score"))
+    place = np.lexsort((fact, -score, query))
+    query = query[place]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < most
+    return {c: v[order[place[keep]]] for c, v in found.items()}
+
+
+def _recall(queries: DataFrame, rows: DataFrame, what: str, parts: Callable, least: float, most: int, blocks: int, chunks: int) -> DataFrame:
     """queries: (id, what), rows: (id, what, fact). The best row of each fact that scores ``least`` or more, the best ``most``
-    facts of a query: (query, id, fact, score). scores(queries' values, rows' values) gives a matrix.
+    facts of a query: (query, id, fact, score). parts(queries' values, rows' values) yields (queries' range, rows' range, matrix of scores), all
+    rows of a range of queries one after another.
 
     The queries are stated and meet all rows in blocks: queries are dealt into blocks and rows into chunks, and each task takes
-    one block with one chunk, as arrays. A task's hits are reduced to the best of each (query, fact) before they leave it.
+    one block with one chunk, as arrays. Only the best ``most`` facts of a query leave a task: one that is among the best of all is among those of
+    its chunk. Rows come in the order of facts, so that a later one must score more than the last of the best so far.
     """
-    spark = queries.sparkSession
-    blocks = max(1, -(-queries.count() // block))
-    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // CHUNK))
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select("id", what).withColumn("block", deal(blocks)).withColumn("chunk", every(chunks))
     r = rows.select("id", what, "fact").withColumn("chunk", deal(chunks)).withColumn("block", every(blocks))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {"query": [], "id": [], "fact": [], "score": []}
+        kinds = {"query": np.int64, "id": np.int64, "fact": np.int64, "score": np.float64}
+        found = [{c: np.zeros(0, t) for c, t in kinds.items()}]
         if left.num_rows and right.num_rows:
+            right = right.sort_by([("fact", "ascending"), ("id", "ascending")])
             own, ids, facts = (t.column(c).to_numpy() for t, c in ((left, "id"), (right, "id"), (right, "fact")))
-            score = scores(left.column(what), right.column(what))
-            i, j = np.nonzero(score >= least)
-            keep = own[i] != ids[j]
-            i, j = i[keep], j[keep]
-            order = np.lexsort((ids[j], -score[i, j], facts[j], i))
-            i, j = i[order], j[order]
-            first = np.ones(len(i), bool)
-            first[1:] = (i[1:] != i[:-1]) | (facts[j[1:]] != facts[j[:-1]])
-            i, j = i[first], j[first]
-            found = {"query": own[i], "id": ids[j], "fact": facts[j], "score": score[i, j]}
-        return pa.table({c: pa.array(v, pa.float64() if c == "score" else pa.int64()) for c, v in found.items()})
+            at, best, edge = None, found[0], None
+            for mine, other, score in parts(left.column(what), right.column(what)):
+                if mine != at:
+                    found.append(best | {"query": own[best["query"]]})
+                    at, best, edge = mine, {c: np.zeros(0, t) for c, t in kinds.items()}, np.full(mine.stop - mine.start, -np.inf)
+                i, j = np.nonzero((score >= least) & (score > edge[:, None]))
+                keep = own[mine][i] != ids[other][j]
+                i, j = i[keep], j[keep]
+                if len(i):
+                    new = {"query": i + mine.start, "id": ids[other][j], "fact": facts[other][j], "score": score[i, j]}
+                    best = _best({c: np.concatenate([best[c], new[c]]) for c in kinds}, most)
+                    last = np.flatnonzero(np.arange(len(best["query"])) - np.searchsorted(best["query"], best["query"]) == most - 1)
+                    edge[best["query"][last] - mine.start] = best["score"][last]
+            found.append(best | {"query": own[best["query"]]})
+        return pa.table({c: pa.array(np.concatenate([f[c] for f in found])) for c in kinds})
 
     found = q.groupBy("block", "chunk").cogroup(r.groupBy("block", "chunk")).applyInArrow(work, "query bigint, id bigint, fact bigint, score double")
     best = found.groupBy("query", "fact").agg(F.max(F.struct("score", (-F.col("id")).alias("m"))).alias("b"))
@@ -62,44 +81,98 @@ def _recall(queries: DataFrame, rows: DataFrame, what: str, scores, least: float
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
+def _dealt(queries: DataFrame, rows: DataFrame, block: int, chunk: int) -> tuple[int, int]:
+    """Into how many blocks and chunks: of so many queries and rows at most, and enough tasks for the cores."""
+    blocks, chunks = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // chunk))
+    return blocks, max(chunks, -(-LEAST_TASKS // blocks))
+
+
 def vector_recall(queries: DataFrame, rows: DataFrame, least: float = 0.6, most: int = 10) -> DataFrame:
     """Recall by the cosine of vectors of one length: see _recall. Null vectors are left out."""
 
-    def cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    def cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> Iterator[tuple[slice, slice, np.ndarray]]:
         x, y = (c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) for c in (a, b))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        return x @ y.T
+        for i in range(0, len(x), PART):
+            for j in range(0, len(y), PART):
+                mine, other = slice(i, min(i + PART, len(x))), slice(j, min(j + PART, len(y)))
+                yield mine, other, x[mine] @ y[other].T
 
-    return _recall(queries.filter("vector is not null"), rows.filter("vector is not null"), "vector", cosines, least, most, BLOCK)
+    queries, rows = queries.filter("vector is not null"), rows.filter("vector is not null")
+    return _recall(queries, rows, "vector", cosines, least, most, *_dealt(queries, rows, BLOCK, CHUNK))
 
 
 def _bigram_codes(text: str) -> np.ndarray:
-    x = np.frombuffer(re.sub(r"\s+", "", text).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    return np.unique((x[:-1] << np.uint64(32)) | x[1:])
+    x = np.frombuffer(re.sub("[\t\n\f\r ]+", "", text).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique((x[:-1] << 21) | x[1:])
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Rising numbers as their differences, seven bits a byte, the last of each below 128."""
+    gaps = np.diff(codes, prepend=0)
+    out = np.zeros((len(gaps), 6), np.uint8)
+    for k in range(6):
+        out[:, k] = (gaps >> (7 * (5 - k))) & 127
+    lead = np.minimum((out == 0).cumprod(axis=1).sum(axis=1), 5)
+    out[:, :5] |= 128
+    return out[np.arange(6) >= lead[:, None]].tobytes()
+
+
+def _unpacked(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows one after another, and how many each row has."""
+    column = packed.combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    last = np.flatnonzero(data < 128)
+    width = np.diff(last, prepend=-1)
+    gaps = np.zeros(len(last), np.int64)
+    for k in range(6):  # the k-th byte from the end
+        has = width > k
+        gaps[has] |= (data[last[has] - k] & 127).astype(np.int64) << (7 * k)
+    counts = np.diff(np.searchsorted(last, ends - ends[0]))
+    total = np.concatenate([[0], np.cumsum(gaps)])
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    return total[1:] - np.repeat(total[starts[:-1]], counts), counts
+
+
+def _with_bigrams(texts: DataFrame) -> DataFrame:
+    """(id, fact, grams): the packed bigrams of texts that have one; a fifth of the text or less, and all that is shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [_packed(_bigram_codes(x or "")) for x in batch.column(2).to_pylist()]
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.binary())], ["id", "fact", "grams"])
+            yield whole.filter(pa.array([bool(g) for g in grams], pa.bool_()))
+
+    return texts.select("id", "fact", "text").mapInArrow(work, "id bigint, fact bigint, grams binary")
 
 
 def lexical_recall(queries: DataFrame, rows: DataFrame, least: float = 0.25, most: int = 10) -> DataFrame:
     """Recall by character bigrams of texts: shared ones over the smaller set. See _recall. Texts without a bigram are left out."""
 
-    def shares(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
-        left = [_bigram_codes(x.as_py()) for x in a]
-        known = np.unique(np.concatenate(left))
-        has = np.zeros((len(left), len(known)), np.float32)
-        for k, x in enumerate(left):
-            has[k, np.searchsorted(known, x)] = 1
-        out = np.zeros((len(left), len(b)))
-        for first in range(0, len(b), 256):
-            right = [_bigram_codes(x.as_py()) for x in b.slice(first, 256)]
-            there = np.zeros((len(right), len(known)), np.float32)
-            for k, x in enumerate(right):
-                at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
-                there[k, at[known[at] == x] if len(known) else at[:0]] = 1
-            sizes = np.minimum(np.array([len(x) for x in left])[:, None], np.array([len(x) for x in right])[None, :])
-            out[:, first : first + 256] = np.rint(has @ there.T) / np.maximum(sizes, 1)
-        return out
-
-    full = lambda d: d.filter(F.length(F.regexp_replace("text", r"\s+", "")) > 1)
-    return _recall(full(queries), full(rows), "text", shares, least, most, TEXT_BLOCK)
+    def shares(a: pa.ChunkedArray, b: pa.ChunkedArray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+        (left, n), (right, m) = _unpacked(a), _unpacked(b)
+        known, left = np.unique(left, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, right), len(known) - 1)
+        right = np.where(known[at] == right, at, -1).astype(np.int32)
+        x, y = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])
+        for i in range(0, len(n), PART):
+            mine = slice(i, min(i + PART, len(n)))
+            own = left[x[mine.start] : x[mine.stop]]
+            used = np.unique(own)
+            place = np.full(len(known) + 1, -1, np.int32)  # the last one stands for bigrams that no query has
+            place[used] = np.arange(len(used))
+            has = np.zeros((mine.stop - mine.start, len(used)), np.float32)
+            has[np.repeat(np.arange(len(has)), n[mine]), place[own]] = 1
+            for j in range(0, len(m), PART):
+                other = slice(j, min(j + PART, len(m)))
+                at = place[right[y[other.start] : y[other.stop]]]
+                there = np.zeros((other.stop - other.start, len(used)), np.float32)
+                there[np.repeat(np.arange(len(there)), m[other])[at >= 0], at[at >= 0]] = 1
+                yield mine, other, (has @ there.T).astype(np.float64) / np.minimum(n[mine][:, None], m[other][None, :])
+
+    deal = _dealt(queries, rows, TEXT_BLOCK, TEXT_CHUNK)
+    return _recall(_with_bigrams(queries), _with_bigrams(rows), "grams", shares, least, most, *deal)
 
 
 class _WordHashes(dict):
