@@ -186,3 +186,11 @@ def test_stability_ranges(spark):
         for place, k in enumerate(min(orders_by_force(m))[1]):
             ranks[names[k]].add(place + 1)
     assert got == {n: (min(r), max(r), max(r) - min(r) >= 3) for n, r in ranks.items()}
+
+
+def test_configuration_reads_each_descriptor_once(spark):
+    """What is derived from a descriptor is bound once: its pattern is in the plan once, not in every place that looks at the tokens."""
+    from presswarp.functions import rules
+
+    plan = spark.sql("SELECT 'max, beta' AS d").select(rules.configuration(F.array("d")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("non-thinking") == 1
