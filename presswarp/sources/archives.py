@@ -15,20 +15,28 @@ import io
 import posixpath
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby, islice
+from operator import itemgetter
+from typing import IO
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PARTITION_BYTES = 16 << 20  # of compressed entries
+MOST_PARTITIONS = 512  # beyond that a partition has more than its bytes
+OPEN_AT_ONCE = 16  # archives whose directories are read side by side
+BATCH_LINES = 1024
 BUFFER = 1 << 20
 MOST_COLUMNS = 64  # of a CSV entry
 
 
 class _Entries(InputPartition):
-    def __init__(self, path: str, names: list[str]):
-        super().__init__((path, names))
+    def __init__(self, own: list[tuple[str, str]]):
+        super().__init__(own)
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -89,35 +97,40 @@ class _Reader(DataSourceReader):
         self.paths, self.lines = options["path"], options.get("mode", "lines") == "lines"
         self.pattern, self.bytes = options.get("entries", "*"), int(options.get("partition_bytes", PARTITION_BYTES))
 
+    def _sizes(self, path: str) -> list[tuple[str, str, int]]:
+        with _archive(path) as archive:
+            return [(path, e.filename, e.compress_size) for e in archive.infolist() if not e.is_dir() and fnmatch.fnmatchcase(e.filename, self.pattern)]
+
     def partitions(self) -> list[_Entries]:
-        out = []
-        for path in archives(self.paths):
+        with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+            entries = [e for own in pool.map(self._sizes, archives(self.paths)) for e in own]
+        most, out, size = max(self.bytes, sum(n for *_, n in entries) // MOST_PARTITIONS), [], 0
+        for path, name, n in entries:
+            if not out or size + n > most:
+                out.append([])
+                size = 0
+            out[-1].append((path, name))
+            size += n
+        return [_Entries(own) for own in out] or [_Entries([])]
+
+    def read(self, partition: _Entries) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        for path, own in groupby(partition.value, itemgetter(0)):
             with _archive(path) as archive:
-                names, size = [], 0
-                for entry in archive.infolist():
-                    if entry.is_dir() or not fnmatch.fnmatchcase(entry.filename, self.pattern):
-                        continue
-                    if names and size + entry.compress_size > self.bytes:
-                        out.append(_Entries(path, names))
-                        names, size = [], 0
-                    names.append(entry.filename)
-                    size += entry.compress_size
-                if names:
-                    out.append(_Entries(path, names))
-        return out or [_Entries("", [])]
-
-    def read(self, partition: _Entries) -> Iterator[tuple]:
-        path, names = partition.value
-        if not names:
-            return
-        with _archive(path) as archive:
-            for name in names:
-                with archive.open(name) as entry:
-                    if not self.lines:
-                        yield path, name, entry.read()
-                        continue
-                    for k, line in enumerate(io.TextIOWrapper(entry, "utf-8", errors="replace", newline="\n")):
-                        yield path, name, k, line.rstrip("\n").removesuffix("\r")
+                for _, name in own:
+                    with archive.open(name) as entry:
+                        if self.lines:
+                            yield from _line_batches(path, name, entry)
+                        else:
+                            yield path, name, entry.read()
+
+
+def _line_batches(path: str, name: str, entry: IO[bytes]) -> Iterator[pa.RecordBatch]:
+    text, first = io.TextIOWrapper(entry, "utf-8", errors="replace", newline="\n"), 0
+    while lines := list(islice(text, BATCH_LINES)):
+        n = len(lines)
+        columns = [pa.repeat(path, n), pa.repeat(name, n), pa.array(range(first, first + n), pa.int64()), pa.array([x.rstrip("\n").removesuffix("\r") for x in lines], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["archive", "entry", "line_no", "line"])
+        first += n
 
 
 class ZipSource(DataSource):

@@ -66,3 +66,19 @@ def test_results(spark):
     assert archives.united([three.limit(0)]).columns == list(archives.RESULT)
     with pytest.raises(ValueError):
         archives.results(ranked, "x", {"source_model_name": F.col("name"), "nonsense": F.lit(1)})
+
+
+def test_partitions_are_bounded(tmp_path, monkeypatch):
+    """Entries of several archives share a partition, and many small ones don't make as many partitions; lines come in batches, as they were."""
+    monkeypatch.setattr(archives, "MOST_PARTITIONS", 4)
+    monkeypatch.setattr(archives, "BATCH_LINES", 3)
+    for k in range(40):
+        with zipfile.ZipFile(tmp_path / f"{k:02}.zip", "w") as out:
+            out.writestr("a.txt", b"x\r\ny\xff\n\nz\n" + b"w" * k)
+            out.writestr("empty.txt", b"")
+    reader = archives._Reader({"path": f"{tmp_path}/*.zip", "partition_bytes": "1"})
+    parts = reader.partitions()
+    assert len(parts) <= 8 and sum(len(p.value) for p in parts) == 80
+    rows = [tuple(r.values()) for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    want = [(f"{tmp_path}/{k:02}.zip", "a.txt", n, x) for k in range(40) for n, x in enumerate(["x", "y�", "", "z", *(["w" * k] if k else [])])]
+    assert rows == want
