@@ -164,17 +164,22 @@ def close_sentence(text: Column) -> Column:
 
 
 def _closed(t: Column) -> Column:
-    bare = cut(t, r"(?<![，、；：,;:\s])[，、；：,;:\s]+\z")
-    listed = has(t, r"[：:]\z") | announces_list(F.regexp_extract(bare, r"([^。！？…]*)\z", 1))
+    # the end is looked at by itself: a pattern that is bound to it would be tried at every place of the text
+    end = F.substring(t, -2, 2)
     clause = F.regexp_extract(t, r"(?s)^(.*)[，、；：,;:]", 1)
     return (
-        F.when((t == "") | has(t, "[。！？…!?][”』」'\")）]?\\z"), t)
-        .when(has(t, r"[，、；：,;:]\z"), F.concat(bare, F.when(listed, "……").otherwise("。")))
+        F.when((t == "") | has(end, "[。！？…!?][”』」'\")）]?\\z"), t)
+        .when(has(end, r"[，、；：,;:]\z"), once(F.rtrim(t, F.lit("，、；：,;:" + BLANKS)), lambda bare: F.concat(bare, F.when(has(end, r"[：:]\z") | announces_list(_after_stops(bare)), "……").otherwise("。"))))
         .when(has(t, "[。！？…]"), F.regexp_extract(t, r"(?s)^(.*[。！？…])", 1))
-        .otherwise(F.concat(F.when(F.char_length(clause) >= CLAUSE_LEAST, clause).otherwise(t), F.lit("。")))
+        .otherwise(F.concat(once(clause, lambda c: F.when(F.char_length(c) >= CLAUSE_LEAST, c).otherwise(t)), F.lit("。")))
     )
 
 
+def _after_stops(text: Column) -> Column:
+    """What follows the last stop."""
+    return reduce(lambda rest, stop: F.substring_index(rest, stop, -1), "。！？…", text)
+
+
 def _packed(parts: Column, spare: int) -> Column:
     """The first parts, until they are enough and as long as they fit."""
     empty = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
