@@ -189,21 +189,26 @@ def _packed(parts: Column, spare: int) -> Column:
         stop = state["full"] | (F.char_length(longer) + spare > SUMMARY_MOST) | (F.char_length(state["text"]) >= SUMMARY_ENOUGH)
         return F.struct(F.when(stop, state["text"]).otherwise(longer).alias("text"), stop.alias("full"))
 
-    return F.aggregate(parts, empty, step)["text"]
+    # a part has a character at least, so no later one fits
+    return F.aggregate(F.slice(parts, 1, SUMMARY_MOST + 1), empty, step)["text"]
 
 
 def compact_summary(text: Column) -> Column:
     """A summary of at most 190 characters: whole sentences, else whole clauses, else the text as it is."""
-    return once(cut(trimmed(text), r"\s*\n\s*", " "), _compact)
+    lines = F.filter(F.transform(F.split(trimmed(text), "\n"), trimmed), lambda x: x != "")
+    return once(F.array_join(lines, " "), _compact)
 
 
 def _compact(t: Column) -> Column:
-    sentences = _packed(F.regexp_extract_all(t, F.lit("[^。！？!?]+[。！？!?]?"), F.lit(0)), 0)
-    clauses = _packed(F.regexp_extract_all(t, F.lit("[^，；：、,;:]+[，；：、,;:]?"), F.lit(0)), 1)
-    return (
-        F.when(F.char_length(t) <= SUMMARY_MOST, close_sentence(t)).when(F.char_length(sentences) >= SUMMARY_LEAST, trimmed(sentences))
-        .when(F.char_length(clauses) >= SUMMARY_LEAST, F.concat(F.regexp_replace(clauses, "[，；：、,;:]$", ""), F.lit("。"))).otherwise(t)
-    )
+    def parts(ends: str) -> Column:
+        # a part goes on to the next end; beyond so many characters that are no ends no part fits, whatever it holds
+        start = F.regexp_extract(t, f"^(?:[{ends}]*+[^{ends}]){{0,{SUMMARY_MOST + 1}}}[{ends}]*+", 0)
+        return F.regexp_extract_all(start, F.lit(f"[^{ends}]+[{ends}]?"), F.lit(0))
+
+    sentences, clauses = _packed(parts("。！？!?"), 0), _packed(parts("，；：、,;:"), 1)
+    of_clauses = once(clauses, lambda c: F.when(F.char_length(c) >= SUMMARY_LEAST, F.concat(F.regexp_replace(c, "[，；：、,;:]$", ""), F.lit("。"))).otherwise(t))
+    of_sentences = once(sentences, lambda s: F.when(F.char_length(s) >= SUMMARY_LEAST, trimmed(s)).otherwise(of_clauses))
+    return F.when(F.char_length(t) <= SUMMARY_MOST, close_sentence(t)).otherwise(of_sentences)
 
 
 def name_list(text: Column) -> Column:

@@ -89,3 +89,38 @@ def test_quality_by_address(spark):
     df = spark.createDataFrame(rows, "t string, b string, u string, h string, want string")
     for r in tx.with_quality(df, "t", "b", "u", "h").collect():
         assert ",".join(r.reasons) == r.want, r.b
+
+
+def test_summaries_of_odd_texts(spark):
+    """Ends without words, parts longer than a summary, texts of blanks or ends only, blanks around lines: as by looking at every part."""
+    import random
+    import re
+
+    def packed(parts, spare):
+        out = ""
+        for part in parts:
+            if len(out + part) + spare > 190 or len(out) >= 80:
+                break
+            out += part
+        return out
+
+    def summary(text):
+        t = re.sub(r"\s*\n\s*", " ", text.strip())
+        a, b = packed(re.findall("[^。！？!?]+[。！？!?]?", t), 0), packed(re.findall("[^，；：、,;:]+[，；：、,;:]?", t), 1)
+        return a.strip() if len(a) >= 50 else re.sub("[，；：、,;:]$", "", b) + "。" if len(b) >= 50 else t
+
+    rng = random.Random(3)
+    texts = ["。" * 400, "，" * 400, "x" * 400, "。" * 300 + "x" * 60 + "。" + "y" * 300, "x" * 190 + "。" + "y" * 9, "x" * 60 + "，" * 300 + "y" * 70] + ["".join(rng.choices("ab \n。，!", [9, 9, 3, 1, 1, 2, rng.random()], k=rng.randrange(260, 900))) for _ in range(200)]
+    texts = [x for x in texts if len(re.sub(r"\s*\n\s*", " ", x.strip())) > 190]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", cl.compact_summary(F.col("x")).alias("s")).collect()
+    assert {r.x: r.s for r in got} == {x: summary(x) for x in texts}
+
+
+def test_ends_of_long_texts_take_no_longer(spark):
+    """A text without a stop in its long first part, which breaks off, is looked at once and not from every place."""
+    import time
+
+    frame = spark.createDataFrame([("x" * 200_000 + "。y：",), ("x" * 200_000 + "；1、x，",)], "x string").select(F.right(cl.close_sentence(F.col("x")), F.lit(4)).alias("s"))
+    began = time.time()
+    assert {r.s for r in frame.collect()} == {"。y……", "、x……"}
+    assert time.time() - began < 20
