@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from presswarp.operators.graph import shared_dir
+
 BLOCK, CHUNK = 4096, 8192  # query vectors of a block, rows that a task takes with them, about
 TEXT_BLOCK, TEXT_CHUNK = 16384, 32768  # the same of texts: packed bigrams, a few hundred bytes each
 LEAST_TASKS = 24
-PART = 512  # queries and rows whose scores are one matrix
+PART, ROW_PART = 512, 1024  # queries and rows whose scores are one matrix
+FIRST_PART = 64  # rows of a task's first one, while queries have no edge
+SINGLE, FOLDED = 256, 256  # bigrams that are a group each, groups of the others
+FIRST_ROWS = 32768  # of the first range of facts, about
 MOST_CODES = 1 << 21  # n-grams of items whose codes go to the tasks: 16 MB
 MEMO = 60_000  # words whose hashes a task remembers
 
@@ -38,84 +43,124 @@ def _best(found: dict[str, np.ndarray], most: int) -> dict[str, np.ndarray]:
     return {c: v[order[place[keep]]] for c, v in found.items()}
 
 
-def _recall(queries: DataFrame, rows: DataFrame, what: str, parts: Callable, least: float, most: int, blocks: int, chunks: int) -> DataFrame:
-    """queries: (id, what), rows: (id, what, fact). The best row of each fact that scores ``least`` or more, the best ``most``
-    facts of a query: (query, id, fact, score). parts(queries' values, rows' values) yields (queries' range, rows' range, matrix of scores), all
-    rows of a range of queries one after another.
+def _recall(queries: DataFrame, rows: DataFrame, what: str, scorer: Callable, least: float, most: int, blocks: int, chunks: int, top: float = np.inf) -> DataFrame:
+    """queries: (id, what, edge), rows: (id, what, fact). The best row of each fact that scores ``least`` or more and more than the query's edge, the
+    best ``most`` facts of a query: (query, id, fact, score). scorer(queries' values, rows' values) gives a function of queries' places, a range of rows
+    and floors, which returns pairs (place among these queries, row, score), all those above both the least score and the query's floor. No pair
+    scores more than ``top``.
 
     The queries are stated and meet all rows in blocks: queries are dealt into blocks and rows into chunks, and each task takes
     one block with one chunk, as arrays. Only the best ``most`` facts of a query leave a task: one that is among the best of all is among those of
-    its chunk. Rows come in the order of facts, so that a later one must score more than the last of the best so far.
+    its chunk. Rows come in the order of facts, so that a later one must score more than the last of the best so far; a query whose last one
+    has the top score is done.
     """
     deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("id", what).withColumn("block", deal(blocks)).withColumn("chunk", every(chunks))
+    q = queries.select("id", what, "edge").withColumn("block", deal(blocks)).withColumn("chunk", every(chunks))
     r = rows.select("id", what, "fact").withColumn("chunk", deal(chunks)).withColumn("block", every(blocks))
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = {"query": np.int64, "id": np.int64, "fact": np.int64, "score": np.float64}
-        found = [{c: np.zeros(0, t) for c, t in kinds.items()}]
+        best = {c: np.zeros((left.num_rows, most), t) for c, t in kinds.items()}
+        best["score"][:] = -np.inf
         if left.num_rows and right.num_rows:
             right = right.sort_by([("fact", "ascending"), ("id", "ascending")])
             own, ids, facts = (t.column(c).to_numpy() for t, c in ((left, "id"), (right, "id"), (right, "fact")))
-            at, best, edge = None, found[0], None
-            for mine, other, score in parts(left.column(what), right.column(what)):
-                if mine != at:
-                    found.append(best | {"query": own[best["query"]]})
-                    at, best, edge = mine, {c: np.zeros(0, t) for c, t in kinds.items()}, np.full(mine.stop - mine.start, -np.inf)
-                i, j = np.nonzero((score >= least) & (score > edge[:, None]))
-                keep = own[mine][i] != ids[other][j]
-                i, j = i[keep], j[keep]
-                if len(i):
-                    new = {"query": i + mine.start, "id": ids[other][j], "fact": facts[other][j], "score": score[i, j]}
-                    best = _best({c: np.concatenate([best[c], new[c]]) for c in kinds}, most)
-                    last = np.flatnonzero(np.arange(len(best["query"])) - np.searchsorted(best["query"], best["query"]) == most - 1)
-                    edge[best["query"][last] - mine.start] = best["score"][last]
-            found.append(best | {"query": own[best["query"]]})
-        return pa.table({c: pa.array(np.concatenate([f[c] for f in found])) for c in kinds})
+            best["query"][:] = np.arange(len(own))[:, None]
+            edge = left.column("edge").to_numpy().copy()
+            score, first, size = scorer(left.column(what), right.column(what)), 0, FIRST_PART
+            while first < len(ids):
+                live, other = np.flatnonzero(edge < top), slice(first, min(first + size, len(ids)))
+                if not len(live):
+                    break
+                for k in range(0, len(live), PART):
+                    mine = live[k : k + PART]
+                    i, j, s = score(mine, other, edge[mine])
+                    i = mine[i]
+                    keep = own[i] != ids[j]
+                    i, j, s = i[keep], j[keep], s[keep]
+                    if len(i):
+                        hit = np.unique(i)
+                        there = best["score"][hit] > -np.inf
+                        new = {"query": i, "id": ids[j], "fact": facts[j], "score": s}
+                        new = _best({c: np.concatenate([best[c][hit][there], new[c]]) for c in kinds}, most)
+                        at = new["query"], np.arange(len(new["query"])) - np.searchsorted(new["query"], new["query"])
+                        for c in ("id", "fact", "score"):
+                            best[c][at] = new[c]
+                        edge[hit] = np.maximum(edge[hit], best["score"][hit, -1])
+                first, size = other.stop, min(2 * size, ROW_PART)
+            best["query"] = own[best["query"]]
+        there = best["score"] > -np.inf
+        return pa.table({c: pa.array(best[c][there]) for c in kinds})
 
     found = q.groupBy("block", "chunk").cogroup(r.groupBy("block", "chunk")).applyInArrow(work, "query bigint, id bigint, fact bigint, score double")
+    return _placed(found, most)
+
+
+def _placed(found: DataFrame, most: int) -> DataFrame:
+    """Of (query, id, fact, score) the best row of each fact and the best ``most`` facts of a query."""
     best = found.groupBy("query", "fact").agg(F.max(F.struct("score", (-F.col("id")).alias("m"))).alias("b"))
     best = best.select("query", "fact", F.col("b.score").alias("score"), (-F.col("b.m")).alias("id"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "fact")
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
-def _dealt(queries: DataFrame, rows: DataFrame, block: int, chunk: int) -> tuple[int, int]:
-    """Into how many blocks and chunks: of so many queries and rows at most, and enough tasks for the cores."""
-    blocks, chunks = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // chunk))
-    return blocks, max(chunks, -(-LEAST_TASKS // blocks))
+def _dealt(queries: int, rows: int, block: int, chunk: int) -> tuple[int, int]:
+    """Into how many blocks and chunks: of so many queries and rows at most, and enough tasks for the cores. Rows that fit one chunk stay together: a
+    task that has seen more of them needs fewer of the rest."""
+    blocks, chunks = max(1, -(-queries // block)), max(1, -(-rows // chunk))
+    return (max(blocks, LEAST_TASKS), 1) if chunks == 1 else (blocks, max(chunks, -(-LEAST_TASKS // blocks)))
 
 
 def vector_recall(queries: DataFrame, rows: DataFrame, least: float = 0.6, most: int = 10) -> DataFrame:
     """Recall by the cosine of vectors of one length: see _recall. Null vectors are left out."""
 
-    def cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    def cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> Callable:
         x, y = (c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) for c in (a, b))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        for i in range(0, len(x), PART):
-            for j in range(0, len(y), PART):
-                mine, other = slice(i, min(i + PART, len(x))), slice(j, min(j + PART, len(y)))
-                yield mine, other, x[mine] @ y[other].T
 
-    queries, rows = queries.filter("vector is not null"), rows.filter("vector is not null")
-    return _recall(queries, rows, "vector", cosines, least, most, *_dealt(queries, rows, BLOCK, CHUNK))
+        def score(mine: np.ndarray, other: slice, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            found = x[mine] @ y[other].T
+            i, j = np.nonzero((found >= least) & (found > floor[:, None]))
+            return i, j + other.start, found[i, j]
+
+        return score
+
+    queries, rows = (d.filter("vector is not null") for d in (queries, rows))
+    deal = _dealt(queries.count(), rows.count(), BLOCK, CHUNK)
+    return _recall(queries.withColumn("edge", F.lit(float("-inf"))), rows, "vector", cosines, least, most, *deal)
+
+
+def _bigrams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The rising codes of each text's bigrams one text after another, and how many each has."""
+    for blank in " \n\t\r\f":
+        texts = [t.replace(blank, "") for t in texts]
+    x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    code = ((owner[:-1] << 42) | (x[:-1] << 21) | x[1:])[owner[:-1] == owner[1:]]
+    code.sort()
+    if len(code):
+        code = code[np.concatenate([[True], code[1:] != code[:-1]])]
+    return code & ((1 << 42) - 1), np.bincount(code >> 42, minlength=len(texts))
 
 
 def _bigram_codes(text: str) -> np.ndarray:
-    x = np.frombuffer(re.sub("[\t\n\f\r ]+", "", text).encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.unique((x[:-1] << 21) | x[1:])
+    return _bigrams_of([text])[0]
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """Rising numbers as their differences, seven bits a byte, the last of each below 128."""
+def _packed(codes: np.ndarray, starts: np.ndarray | None = None) -> bytes:
+    """Rising numbers as their differences, seven bits a byte, the last of each below 128; they begin anew at starts."""
     gaps = np.diff(codes, prepend=0)
-    out = np.zeros((len(gaps), 6), np.uint8)
-    for k in range(6):
-        out[:, k] = (gaps >> (7 * (5 - k))) & 127
-    lead = np.minimum((out == 0).cumprod(axis=1).sum(axis=1), 5)
-    out[:, :5] |= 128
-    return out[np.arange(6) >= lead[:, None]].tobytes()
+    if starts is not None:
+        gaps[starts] = codes[starts]
+    width = np.searchsorted(1 << np.arange(7, 42, 7), gaps, "right")
+    last = np.cumsum(width + 1) - 1
+    out = np.empty(len(gaps) + int(width.sum()), np.uint8)
+    out[last] = gaps & 127
+    for k in range(1, 6):  # the k-th byte from the end
+        has = np.flatnonzero(width >= k)
+        out[last[has] - k] = ((gaps[has] >> (7 * k)) & 127) | 128
+    return out.tobytes()
 
 
 def _unpacked(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,9 +170,9 @@ def _unpacked(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     last = np.flatnonzero(data < 128)
     width = np.diff(last, prepend=-1)
-    gaps = np.zeros(len(last), np.int64)
-    for k in range(6):  # the k-th byte from the end
-        has = width > k
+    gaps = data[last].astype(np.int64)
+    for k in range(1, 6):  # the k-th byte from the end
+        has = np.flatnonzero(width > k)
         gaps[has] |= (data[last[has] - k] & 127).astype(np.int64) << (7 * k)
     counts = np.diff(np.searchsorted(last, ends - ends[0]))
     total = np.concatenate([[0], np.cumsum(gaps)])
@@ -140,39 +185,104 @@ def _with_bigrams(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [_packed(_bigram_codes(x or "")) for x in batch.column(2).to_pylist()]
+            grams = []
+            for first in range(0, batch.num_rows, 32):  # few enough for the processor's cache
+                codes, counts = _bigrams_of([x or "" for x in batch.column(2).slice(first, 32).to_pylist()])
+                ends = np.cumsum(counts)
+                packed = _packed(codes, (ends - counts)[counts > 0])
+                at = np.concatenate([[0], np.flatnonzero(np.frombuffer(packed, np.uint8) < 128) + 1])[np.concatenate([[0], ends])]
+                grams += [packed[a:b] for a, b in zip(at, at[1:])]
             whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.binary())], ["id", "fact", "grams"])
             yield whole.filter(pa.array([bool(g) for g in grams], pa.bool_()))
 
     return texts.select("id", "fact", "text").mapInArrow(work, "id bigint, fact bigint, grams binary")
 
 
+def _bits(owner: np.ndarray, place: np.ndarray, rows: int, width: int) -> np.ndarray:
+    """Sets of numbers below width as words of 64 bits, a row each."""
+    out = np.zeros((rows, -(-width // 64) * 8), np.uint8)
+    np.add.at(out.ravel(), owner * out.shape[1] + (place >> 3), np.left_shift(1, place & 7).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _shares(a: pa.ChunkedArray, b: pa.ChunkedArray, least: float) -> Callable:
+    """Shared bigrams over the smaller set, for _recall. What two sets share can't be more than the sum over groups of bigrams of those of a row whose
+    group the query has: the groups are the bigrams that tell rows apart best, one each, and the others dealt into FOLDED. One product of
+    matrices so leaves out most pairs; the sets of the others are compared whole."""
+    (left, n), (right, m) = _unpacked(a), _unpacked(b)
+    known, left = np.unique(left, return_inverse=True)
+    x = np.concatenate([[0], np.cumsum(n)])
+    at = np.minimum(np.searchsorted(known, right), len(known) - 1)
+    has = known[at] == right  # other bigrams no query has
+    owner, right = np.repeat(np.arange(len(m)), m)[has], at[has].astype(np.int32)
+    y = np.searchsorted(owner, np.arange(len(m) + 1))
+    share = np.bincount(right, minlength=len(known)) / len(m)
+    width = min(len(known), SINGLE + FOLDED)
+    group = np.empty(len(known), np.int32)
+    group[np.argsort(-share * (1 - share), kind="stable")] = np.where(np.arange(len(known)) < width, np.arange(len(known)), SINGLE + np.arange(len(known)) % FOLDED)
+    sides = np.zeros((len(n), width), np.float32)
+    sides[np.repeat(np.arange(len(n)), n), group[left]] = 1
+    last: list = [None, None]
+
+    def score(mine: np.ndarray, other: slice, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, rows, count = right[y[other.start] : y[other.stop]], owner[y[other.start] : y[other.stop]] - other.start, other.stop - other.start
+        if last[0] != other:
+            last[:] = other, np.bincount(rows * width + group[codes], minlength=count * width).reshape(count, width).astype(np.float32)
+        size = np.minimum(n[mine].astype(np.float32)[:, None], m[other].astype(np.float32)[None, :])
+        size *= (np.maximum(floor, least) * (1 - 1e-6)).astype(np.float32)[:, None]
+        i, j = np.nonzero(sides[mine] @ last[1].T >= size)
+        if not len(i):
+            return i, j, np.zeros(0)
+        own = np.concatenate([left[x[k] : x[k + 1]] for k in mine])
+        used = np.unique(own)
+        place = np.full(len(known), -1, np.int32)
+        place[used] = np.arange(len(used))
+        mask = place[codes] >= 0
+        p = _bits(np.repeat(np.arange(len(mine)), n[mine]), place[own], len(mine), len(used))
+        q = _bits(rows[mask], place[codes[mask]], count, len(used))
+        step = max(1, (1 << 19) // p.shape[1])
+        shared = np.concatenate([np.bitwise_count(p[i[k : k + step]] & q[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)])
+        found = shared / np.minimum(n[mine][i], m[other][j])
+        keep = (found >= least) & (found > floor[i])
+        return i[keep], j[keep] + other.start, found[keep]
+
+    return score
+
+
+def _ranges(rows: DataFrame) -> list[tuple[int | None, int | None]]:
+    """Ranges of facts, one after another: the first has about FIRST_ROWS rows, and each further one makes them four times as many."""
+    total, ends = rows.count(), []
+    while (size := FIRST_ROWS * 4 ** len(ends)) < total / 2:
+        ends.append(size / total)
+    cuts = sorted(set(rows.agg(F.percentile_approx("fact", ends, F.lit(100_000))).first()[0])) if ends else []
+    return list(zip([None, *cuts], [*cuts, None], strict=True))
+
+
 def lexical_recall(queries: DataFrame, rows: DataFrame, least: float = 0.25, most: int = 10) -> DataFrame:
-    """Recall by character bigrams of texts: shared ones over the smaller set. See _recall. Texts without a bigram are left out."""
-
-    def shares(a: pa.ChunkedArray, b: pa.ChunkedArray) -> Iterator[tuple[slice, slice, np.ndarray]]:
-        (left, n), (right, m) = _unpacked(a), _unpacked(b)
-        known, left = np.unique(left, return_inverse=True)
-        at = np.minimum(np.searchsorted(known, right), len(known) - 1)
-        right = np.where(known[at] == right, at, -1).astype(np.int32)
-        x, y = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])
-        for i in range(0, len(n), PART):
-            mine = slice(i, min(i + PART, len(n)))
-            own = left[x[mine.start] : x[mine.stop]]
-            used = np.unique(own)
-            place = np.full(len(known) + 1, -1, np.int32)  # the last one stands for bigrams that no query has
-            place[used] = np.arange(len(used))
-            has = np.zeros((mine.stop - mine.start, len(used)), np.float32)
-            has[np.repeat(np.arange(len(has)), n[mine]), place[own]] = 1
-            for j in range(0, len(m), PART):
-                other = slice(j, min(j + PART, len(m)))
-                at = place[right[y[other.start] : y[other.stop]]]
-                there = np.zeros((other.stop - other.start, len(used)), np.float32)
-                there[np.repeat(np.arange(len(there)), m[other])[at >= 0], at[at >= 0]] = 1
-                yield mine, other, (has @ there.T).astype(np.float64) / np.minimum(n[mine][:, None], m[other][None, :])
-
-    deal = _dealt(queries, rows, TEXT_BLOCK, TEXT_CHUNK)
-    return _recall(_with_bigrams(queries), _with_bigrams(rows), "grams", shares, least, most, *deal)
+    """Recall by character bigrams of texts: shared ones over the smaller set. See _recall. Texts without a bigram are left out, and rows without an id or a fact.
+
+    Rows are taken by ranges of facts. What is found in one gives the queries' edges for the next, and a query is done as soon as it has ``most`` facts
+    that share all: no later fact comes before them.
+    """
+    shared_dir(queries.sparkSession)
+    rows = rows.select("id", "fact", "text").filter("id is not null and fact is not null")
+    asked = _with_bigrams(queries.filter("id is not null").select("id", F.lit(0).cast("bigint").alias("fact"), "text")).select("id", "grams").checkpoint()
+    live, found = asked.withColumn("edge", F.lit(float("-inf"))), None
+    for low, high in _ranges(rows):
+        part = rows if low is None else rows.filter(F.col("fact") > low)
+        part = part if high is None else part.filter(F.col("fact") <= high)
+        waiting = live.count()
+        if found is not None and not waiting:
+            break
+        deal = _dealt(waiting, part.count(), TEXT_BLOCK, TEXT_CHUNK)
+        new = _recall(live, _with_bigrams(part), "grams", lambda a, b: _shares(a, b, least), least, most, *deal, top=1.0)
+        found = new if found is None else _placed(found.drop("place").unionByName(new.drop("place")), most)
+        if high is None:
+            break
+        found = found.checkpoint()
+        edges = found.filter(F.col("place") == most).select(F.col("query").alias("id"), "score")
+        live = asked.join(edges, "id", "left").select("id", "grams", F.coalesce("score", F.lit(float("-inf"))).alias("edge")).filter("edge < 1")
+    return found
 
 
 class _WordHashes(dict):
